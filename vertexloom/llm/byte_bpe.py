@@ -213,7 +213,7 @@ def encode(df: DataFrame, text_col: str = "text", ranks: str = RANKS, offsets: b
             at += s if offsets else []
         return struct(ids=lists(ids, pa.int32()), **({"piece_starts": lists(at, pa.int32())} if offsets else {}))
 
-    return extend(df, run, "struct<ids:array<int>" + ",piece_starts:array<int>" * offsets + ">", [text_of(df, text_col)], keep)
+    return extend(df, run, "struct<ids:array<int>" + ",piece_starts:array<int>" * offsets + ">", text_of(df, text_col), keep)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", ranks: str = RANKS, keep: list[str] | None = None) -> DataFrame:
@@ -225,7 +225,7 @@ def decode(df: DataFrame, ids_col: str = "ids", ranks: str = RANKS, keep: list[s
         flat, off = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
         return struct(decoded=pa.array([e.decode(flat[a:b].tolist()) for a, b in zip(off, off[1:])], pa.binary()))
 
-    return extend(df, run, "struct<decoded:binary>", [F.coalesce(df[ids_col], F.array().cast("array<int>"))], keep)
+    return extend(df, run, "struct<decoded:binary>", F.coalesce(df[ids_col], F.array().cast("array<int>")), keep)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

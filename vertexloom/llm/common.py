@@ -65,7 +65,7 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def extend(df: DataFrame, fn: Callable[..., pa.Array], ret: str, cols: Sequence[Column | str], keep: Sequence[str] | None = None) -> DataFrame:
+def extend(df: DataFrame, fn: Callable[[pa.Array], pa.Array], ret: str, col: Column, keep: Sequence[str] | None = None) -> DataFrame:
     """Append the fields of the struct that the Arrow function ``fn`` returns.
 
     A column of ``df`` whose name equals a result field is replaced.  ``keep``
@@ -78,8 +78,12 @@ def extend(df: DataFrame, fn: Callable[..., pa.Array], ret: str, cols: Sequence[
     taken = {f.lower() for f in fields}
     stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     out = fresh(df, "__out")
-    udf = F.arrow_udf(fn, ret)
-    return df.select(*[df[c] for c in stay], udf(*cols).alias(out)).select(*stay, *[F.col(out)[f].alias(f) for f in fields])
+
+    def run(array: pa.Array) -> pa.Array:
+        return fn(array)
+
+    udf = F.arrow_udf(run, ret)
+    return df.select(*[df[c] for c in stay], udf(col).alias(out)).select(*stay, *[F.col(out)[f].alias(f) for f in fields])
 
 
 def text_of(df: DataFrame, name: str) -> Column:

@@ -67,7 +67,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", keep: list[str] | No
     def run(texts: pa.Array) -> pa.Array:
         return struct(fp=pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)))
 
-    return extend(df, run, "struct<fp:bigint>", [text_of(df, text_col)], keep)
+    return extend(df, run, "struct<fp:bigint>", text_of(df, text_col), keep)
 
 
 @lru_cache(maxsize=4096)

@@ -82,4 +82,4 @@ def measure(texts: pa.Array) -> pa.StructArray:
 
 def with_stats(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append FIELDS; columns of these names are replaced."""
-    return extend(df, measure, f"struct<{','.join(f'{f}:bigint' for f in FIELDS)}>", [text_of(df, text_col)], keep)
+    return extend(df, measure, f"struct<{','.join(f'{f}:bigint' for f in FIELDS)}>", text_of(df, text_col), keep)

@@ -174,7 +174,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", model: str = MODEL, limi
         c = counter(path)
         return struct(n_tokens=pa.array([c.count(t.as_py()) for t in texts], pa.int64()))
 
-    out = extend(df.withColumn("n_bytes", F.octet_length(text_of(df, text_col)).cast("long")), run, "struct<n_tokens:bigint>", [text_of(df, text_col)])
+    out = extend(df.withColumn("n_bytes", F.octet_length(text_of(df, text_col)).cast("long")), run, "struct<n_tokens:bigint>", text_of(df, text_col))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
