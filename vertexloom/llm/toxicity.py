@@ -30,10 +30,10 @@ from vertexloom.llm.common import crc_mod, extend, flat, per_text, steps, struct
 from vertexloom.llm.labelled import sample
 
 #: Labelled rows that training looks at, about; buckets of the hash (2^BITS).
-BOUND, BITS = 6000, 20
-ALPHA, BETA, L1, L2, ROUNDS = 0.2, 1.0, 2.0, 0.5, 3
+BOUND, BITS = 12_000, 20
+ALPHA, BETA, L1, L2, ROUNDS = 1.0, 1.0, 5.0, 0.1, 5
 #: A feature must occur in so many sampled documents.
-LEAST = 3
+LEAST = 4
 
 _BYTES = np.zeros(256, np.uint64)
 _BYTES[0x80:] = np.arange(0x80, 0x100)
@@ -98,7 +98,7 @@ class Weights:
                 keys.append(text[hit].astype(np.int64) << self.bits | bucket[hit])
             keys = np.unique(np.concatenate(keys))
             logit = self.bias + np.bincount(keys >> self.bits, dense[keys & ((1 << self.bits) - 1)], len(part))
-            out.append(1 / (1 + np.exp(-logit)))
+            out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -114,17 +114,18 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Weights:
     number[often] = np.arange(len(often))
     rows = [(k := number[r])[k >= 0] for r in rows]
     z, n = np.zeros(len(often)), np.zeros(len(often))
+    l1 = L1 * min(1.0, len(y) / BOUND) ** 0.5  # the evidence for a weight grows with the sample, so does the penalty
     zb = nb = 0.0
 
     def weight(z, n):
-        return np.where(np.abs(z) <= L1, 0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+        return np.where(np.abs(z) <= l1, 0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     for _ in range(ROUNDS):
         for r, t in zip(rows, y):
             zr, nr = z[r], n[r]
             w = weight(zr, nr)
             wb = bias - zb / ((BETA + nb**0.5) / ALPHA)
-            g = 1 / (1 + np.exp(-(w.sum() + wb))) - t
+            g = 1 / (1 + np.exp(-max(min(w.sum() + wb, 30.0), -30.0))) - t
             z[r], n[r] = zr + g - (np.sqrt(nr + g * g) - np.sqrt(nr)) / ALPHA * w, nr + g * g
             zb, nb = zb + g - ((nb + g * g) ** 0.5 - nb**0.5) / ALPHA * (wb - bias), nb + g * g
     w = weight(z, n)
