@@ -157,24 +157,27 @@ def scanned(piece: bytes, ranks: dict) -> list[bytes]:
 
 
 class ByteBpe(Cache):
-    """Ids by slice of text."""
+    """Ids by slice of text, packed as 32-bit numbers: few objects are kept, and a text's ids are one join."""
 
     def __init__(self, path: str, cache: int = CACHE):
         super().__init__(cache)
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens])
+        self.place = np.cumsum(self.size) - self.size
 
-    def make(self, piece: str) -> tuple[int, ...]:
+    def make(self, piece: str) -> bytes:
         raw = piece.encode()
-        if (whole := self.ranks.get(raw)) is not None:
-            return (whole,)
-        return tuple([self.ranks[s] for s in (scanned if len(raw) <= 48 else merged)(raw, self.ranks)])
+        whole = self.ranks.get(raw)
+        ids = [whole] if whole is not None else [self.ranks[s] for s in (scanned if len(raw) <= 48 else merged)(raw, self.ranks)]
+        return np.array(ids, np.int32).tobytes()
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[np.ndarray]]:
-        """Ids of each text, and where its slices begin, in code points."""
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
+        """Packed ids of each text, and where its slices begin, in code points."""
         joined = "".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -184,11 +187,13 @@ class ByteBpe(Cache):
         ends = np.append(at, len(codes)).tolist()
         pieces = list(map(joined.__getitem__, map(slice, ends, ends[1:])))
         cut = np.searchsorted(at, bounds).tolist()
-        ids = [list(chain.from_iterable(map(self.__getitem__, pieces[a:b]))) for a, b in zip(cut, cut[1:])]
+        ids = [b"".join(map(self.__getitem__, pieces[a:b])) for a, b in zip(cut, cut[1:])]
         return ids, [at[a:b] - s for a, b, s in zip(cut, cut[1:], bounds)]
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for, one token after the other."""
+        size = self.size[ids]
+        return self.bytes[np.repeat(self.place[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
 @lru_cache(maxsize=4)
@@ -206,12 +211,14 @@ def encode(df: DataFrame, text_col: str = "text", ranks: str = RANKS, offsets: b
     path = tokenizer_file(ranks)
 
     def run(texts: pa.Array) -> pa.Array:
-        e, ids, at = encoder(path), [], []
+        e, ids, at, sizes = encoder(path), [], [], []
         for part in steps(texts, STEP):
             i, s = e.encode(part.to_pylist())
-            ids += i
+            sizes += [len(x) // 4 for x in i]
+            ids.append(b"".join(i))
             at += s if offsets else []
-        return struct(ids=lists(ids, pa.int32()), **({"piece_starts": lists(at, pa.int32())} if offsets else {}))
+        flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+        return struct(ids=pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat), **({"piece_starts": lists(at, pa.int32())} if offsets else {}))
 
     return extend(df, run, "struct<ids:array<int>" + ",piece_starts:array<int>" * offsets + ">", text_of(df, text_col), keep)
 
@@ -221,9 +228,15 @@ def decode(df: DataFrame, ids_col: str = "ids", ranks: str = RANKS, keep: list[s
     path = tokenizer_file(ranks)
 
     def run(ids: pa.Array) -> pa.Array:
-        e = encoder(path)
-        flat, off = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-        return struct(decoded=pa.array([e.decode(flat[a:b].tolist()) for a, b in zip(off, off[1:])], pa.binary()))
+        e, flat = encoder(path), ids.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+        out, bounds = [], np.zeros(len(ids) + 1, np.int64)
+        for at in range(0, len(flat), STEP):
+            out.append(e.decode(flat[at : at + STEP]).tobytes())
+        sizes = np.concatenate([[0], np.cumsum(e.size[flat])])
+        bounds[1:] = sizes[ends]
+        buffers = [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(b"".join(out))]
+        return struct(decoded=pa.Array.from_buffers(pa.binary(), len(ids), buffers))
 
     return extend(df, run, "struct<decoded:binary>", F.coalesce(df[ids_col], F.array().cast("array<int>")), keep)
 
