@@ -31,9 +31,9 @@ from vertexloom.llm.common import extend, steps, struct, table, text_of, tokeniz
 from vertexloom.llm.token_count import Cache, merged
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE = 600_000
+CACHE = 400_000
 #: Texts are worked on in steps of about so many bytes.
-STEP = 1 << 20
+STEP = 1 << 19
 
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, JOIN, ALONE = range(8)
 IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_JOIN, IN_BLANK, FRESH, ONE_MORE, TWO_MORE = range(8)
@@ -229,14 +229,16 @@ def decode(df: DataFrame, ids_col: str = "ids", ranks: str = RANKS, keep: list[s
 
     def run(ids: pa.Array) -> pa.Array:
         e, flat = encoder(path), ids.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
-        out, bounds = [], np.zeros(len(ids) + 1, np.int64)
+        ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        out, bounds, done = [], np.zeros(len(ids) + 1, np.int32), 0
         for at in range(0, len(flat), STEP):
-            out.append(e.decode(flat[at : at + STEP]).tobytes())
-        sizes = np.concatenate([[0], np.cumsum(e.size[flat])])
-        bounds[1:] = sizes[ends]
-        buffers = [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(b"".join(out))]
-        return struct(decoded=pa.Array.from_buffers(pa.binary(), len(ids), buffers))
+            part = flat[at : at + STEP]
+            out.append(e.decode(part).tobytes())
+            inside = np.flatnonzero((ends > at) & (ends <= at + len(part)))
+            bounds[1 + inside] = done + np.cumsum(e.size[part])[ends[inside] - at - 1]
+            done += len(out[-1])
+        bounds = np.maximum.accumulate(bounds)  # texts without ids end where the one before does
+        return struct(decoded=pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(out))]))
 
     return extend(df, run, "struct<decoded:binary>", F.coalesce(df[ids_col], F.array().cast("array<int>")), keep)
 
