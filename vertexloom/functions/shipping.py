@@ -10,12 +10,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch, unless the session says otherwise: bounds what a worker holds, however long texts are.
+BATCH = 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once a Spark context.
 
     Functions are pickled by reference, so what their modules remember (parsed
     vocabularies, caches) lives as long as a worker does.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     context = spark.sparkContext
     if getattr(context, "_loom_shipped", False):
         return

@@ -156,8 +156,8 @@ _case(
 )
 _case(
     "anti_join",
-    '{ Customer { key @output order @fold @transform(op: "count") @filter(op: "=", value: ["$none"]) } }',
-    "SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    '{ Customer { key @output order(minPrice: 400000.0) @fold @transform(op: "count") @filter(op: "=", value: ["$none"]) } }',
+    "SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice >= 400000)",
     none=0,
 )
 _case("coerce_root", "{ Party { ... on Customer { key @output mktsegment @output } } }", "SELECT c_custkey AS key, c_mktsegment AS mktsegment FROM customer")
