@@ -99,7 +99,7 @@ class Compiler:
             right = literal(constant, self.query.variables[p.right.name])
         elif p.right is not None:
             right = F.col(self.ref_name(p.right.ref))
-        out = predicate(p.op, F.col(self.ref_name(p.left)), right, constant, has)
+        out = predicate(p.op, F.col(self.ref_name(p.left)), right, constant, has, filtering=True)
         owners = {self.owner(p.left)} | ({self.owner(p.right.ref)} if isinstance(p.right, ir.TagRef) else set())
         for vid in sorted(owners & self.absent):
             out = ~self.exists(vid) | out
@@ -220,7 +220,7 @@ class Compiler:
             self.absent = absent
         inner = self.component(self.enter(inner, v), s.component, ordered)
         how = fold_join(s, self.arguments, self.used_counts, below)
-        same = lambda: _all(F.col(k).eqNullSafe(F.col(f"k{i}")) if k in carried else F.col(k) == F.col(f"k{i}") for i, k in enumerate(keys))
+        same = lambda: _all(F.col(k).eqNullSafe(F.col(f"k{i}")) if k in carried or isinstance(edge, EdgeArray) else F.col(k) == F.col(f"k{i}") for i, k in enumerate(keys))
         if how in ("semi", "anti"):
             return df.join(inner.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]), same(), f"left_{how}")
         outputs, count = s.component.all_outputs(), f"f{s.eid}__count"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +22,23 @@ def literal(value, kind: Type) -> Column:
     target = kind.spark().replace("bigint", "decimal(20,0)") if large(value) else kind.spark()
 
     def build(v) -> Column:
-        return F.array(*map(build, v)) if isinstance(v, list | tuple) else F.lit(v)
+        return F.array(*map(build, v)) if isinstance(v, list | tuple) else F.lit(Decimal(v) if large(v) else v)
 
     return build(value).cast(target)
 
 
-def _sure(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
+def predicate(op: str, left: Column, right: Column | None = None, constant=None, has_constant: bool = False, filtering: bool = False) -> Column:
+    """``left op right``; ``constant`` is the right side's value where it is known now.
 
-def predicate(op: str, left: Column, right: Column | None = None, constant=None, has_constant: bool = False) -> Column:
-    """``left op right``; ``constant`` is the right side's value where it is known now."""
+    With ``filtering`` an outcome of false may be null instead: in a filter both drop
+    the row, and the bare comparison reaches the scan.
+    """
     if op.startswith("not_"):
         return ~predicate(op[4:], left, right, constant, has_constant)
+
+    def _sure(c: Column) -> Column:
+        return c if filtering else F.coalesce(c, F.lit(False))
+
     match op:
         case "is_null":
             return left.isNull()
@@ -54,7 +60,7 @@ def predicate(op: str, left: Column, right: Column | None = None, constant=None,
             return _sure(F.exists(left, lambda x: x.eqNullSafe(right)))
         case "one_of":
             if has_constant and constant is not None and not any(isinstance(v, list) for v in constant):
-                plain = [v for v in constant if v is not None]
+                plain = [Decimal(v) if isinstance(v, int) and v >= _LONG else v for v in constant if v is not None]
                 hit = _sure(left.isin(plain)) if plain else F.lit(False)
                 return hit | left.isNull() if len(plain) < len(constant) else hit
             return _sure(F.exists(right, lambda x: x.eqNullSafe(left)))

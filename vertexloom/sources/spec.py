@@ -144,9 +144,10 @@ class Source:
             return raw.select(*[self.column(view, n, get).alias(prefix + n) for n in names])
         parts = []
         for t in self.schema.concrete(type_name):
-            table = self.tables.get(t)
-            if table is None:
+            found = self.table_of(t)
+            if found is None:
                 raise SourceError("UnknownVertexType", t)
+            table = found[0]
             have = [n for n in names if n == TYPENAME or n in table.properties or n in table.raw.columns]
             parts.append(self.frame(t, have, prefix))
         if not parts:
