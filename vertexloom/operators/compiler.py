@@ -143,7 +143,10 @@ class Compiler:
             df = df.select("*", explode(array).alias(to + "pos", to + "at"))
             table, holder = self.source.table_of(target)
             get = lambda n: F.col(to + "at")[n]
-            columns = [self.source.column(holder if table.typename else target, n, get).alias(to + n) for n in sorted(names)]
+            made = {n: self.source.column(holder if table.typename else target, n, get) for n in sorted(names)}
+            if how == "left":  # what is worked out from nothing is nothing
+                made = {n: F.when(F.col(to + "pos").isNotNull(), c) for n, c in made.items()}
+            columns = [c.alias(to + n) for n, c in made.items()]
             columns += [F.struct(F.col(to + "pos")).alias(to + "ord")] if ordered else []
             columns += [F.col(to + "pos").isNotNull().alias(to + "exists")] if how == "left" else []
             return df.select(*[c for c in df.columns if c not in (to + "pos", to + "at")], *columns)
