@@ -175,7 +175,7 @@ def test_partitioning_does_not_matter(spark, tiny):
     want = sorted(api.execute_query(s, text).collect())
     for n in (1, 7):
         for t in s.tables.values():
-            t.raw = t.raw.repartition(n)
+            t.rows = t.raw.repartition(n)
         assert sorted(api.execute_query(s, text).collect()) == want
 
 

@@ -25,11 +25,19 @@ TYPENAME = "__typename"
 
 @dataclass
 class VertexTable:
-    raw: DataFrame
+    """``rows`` may be a function, called once if a query needs the table."""
+
+    rows: DataFrame | Callable[[], DataFrame]
     properties: dict[str, Property]
     typename: Callable[[Get], Column] | None
     order: tuple[str, ...]
 
+    @property
+    def raw(self) -> DataFrame:
+        if not isinstance(self.rows, DataFrame):
+            self.rows = self.rows()
+        return self.rows
+
 
 @dataclass
 class EdgeKeys:
@@ -74,7 +82,7 @@ class Source:
 
     # declaring
 
-    def vertex(self, type_name: str, raw: DataFrame, properties: dict[str, Property] | None = None, typename: Callable[[Get], Column] | None = None, order: Sequence[str] = ()) -> Source:
+    def vertex(self, type_name: str, raw: DataFrame | Callable[[], DataFrame], properties: dict[str, Property] | None = None, typename: Callable[[Get], Column] | None = None, order: Sequence[str] = ()) -> Source:
         """``properties`` need to name only those that aren't raw columns of the same name."""
         self.tables[type_name] = VertexTable(raw, properties or {}, typename, tuple(order))
         return self

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.schema import DIRECTIVES, Schema
@@ -65,9 +67,13 @@ def _micros(column: str):
 def warehouse_source(spark: SparkSession, sf_dir: str) -> Source:
     """Vertices over the parquet tables of a folder."""
 
-    def read(name: str, prefix: str = "", **renamed: str) -> DataFrame:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return df.select(*[F.col(c).alias(renamed.get(c, c.removeprefix(prefix))) for c in df.columns])
+    def read(name: str, prefix: str = "", made: dict[str, Column] | None = None, **renamed: str) -> Callable[[], DataFrame]:
+        def rows() -> DataFrame:
+            df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            df = df.select(*[F.col(c).alias(renamed.get(c, c.removeprefix(prefix))) for c in df.columns])
+            return df.withColumns(made) if made else df
+
+        return rows
 
     s = Source(spark, Schema(SDL))
     s.vertex("Region", read("region", "r_", r_regionkey="key"), order=["key"])
@@ -75,13 +81,12 @@ def warehouse_source(spark: SparkSession, sf_dir: str) -> Source:
     s.vertex("Customer", read("customer", "c_", c_custkey="key"), {"premium": lambda get: F.when(get("acctbal") > 5000, get("acctbal"))}, order=["key"])
     s.vertex("Supplier", read("supplier", "s_", s_suppkey="key"), order=["key"])
     s.vertex("Part", read("part", "p_", p_partkey="key"), {"words": lambda get: F.split(get("name"), " ")}, order=["key"])
-    orders = read("orders", "o_", o_orderkey="key", o_orderstatus="status", o_orderpriority="priority")
-    s.vertex("Order", orders.withColumn("orderdate", _micros("orderdate")), order=["key"])
-    s.vertex("LineItem", read("lineitem", "l_").withColumn("shipdate", _micros("shipdate")), order=["orderkey", "linenumber"])
-    events = read("events", event_id="id", user_id="userId", event_type="eventType")
-    s.vertex("Event", events.withColumn("ts", _micros("ts")), order=["id"])
-    messages = read("conversations", conv_id="convId")
-    s.vertex("Message", messages.withColumns({"after": F.col("turn") + 1, "before": F.col("turn") - 1}), order=["convId", "turn"])
+    orders = read("orders", "o_", {"orderdate": _micros("orderdate")}, o_orderkey="key", o_orderstatus="status", o_orderpriority="priority")
+    s.vertex("Order", orders, order=["key"])
+    s.vertex("LineItem", read("lineitem", "l_", {"shipdate": _micros("shipdate")}), order=["orderkey", "linenumber"])
+    s.vertex("Event", read("events", "", {"ts": _micros("ts")}, event_id="id", user_id="userId", event_type="eventType"), order=["id"])
+    messages = read("conversations", "", {"after": F.col("turn") + 1, "before": F.col("turn") - 1}, conv_id="convId")
+    s.vertex("Message", messages, order=["convId", "turn"])
     s.vertex("Document", read("documents", doc_id="id", n_chars="nChars"), order=["id"])
     s.vertex("Label", read("labels", doc_id="docId"), order=["docId"])
     s.vertex("Page", read("pages", page_id="id"), order=["id"])

@@ -20,7 +20,7 @@ from vertexloom.sources.spec import Source
 def with_rows(source: Source, type_name: str, rows: DataFrame) -> Source:
     """The same source with other rows for one vertex type."""
     table = source.tables[type_name]
-    return replace(source, tables=source.tables | {type_name: replace(table, raw=rows)})
+    return replace(source, tables=source.tables | {type_name: replace(table, rows=rows)})
 
 
 def _row_by_row(c: ir.Component) -> bool:
