@@ -6,9 +6,11 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.functions.shipping import ship
+
 _POSIX = {"alpha": r"\p{L}", "digit": r"\p{Nd}", "alnum": r"\p{L}\p{Nd}", "upper": r"\p{Lu}", "lower": r"\p{Ll}", "space": r"\s", "punct": r"\p{Punct}"}
 
 
@@ -75,6 +77,7 @@ def _matches(text: pd.Series, pattern: pd.Series) -> pd.Series:
 
 def matches_column(text: Column, pattern: Column) -> Column:
     """Search with a pattern that differs by row; ``rlike`` would fail at the first bad one."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("boolean")
     def matches(text: pd.Series, pattern: pd.Series) -> pd.Series:
