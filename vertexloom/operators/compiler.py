@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from vertexloom.operators.predicates import literal, predicate
 from vertexloom.plans import ir
+from vertexloom.plans.hints import VertexHints, vertex_hints
 from vertexloom.plans.planner import bind, counts_used, fold_join, predicates
-from vertexloom.sources.spec import TYPENAME, EdgeArray, EdgeKeys, EdgeTable, Source
+from vertexloom.sources.spec import TYPENAME, EdgeArray, EdgeKeys, EdgeTable, Source, asked
 
 
 def _all(conditions) -> Column:
@@ -76,6 +77,10 @@ class Compiler:
     def _target(self, s: ir.Edge | ir.Fold) -> str:
         return self.schema.field(self.types[s.from_vid], s.name).type.name
 
+    def hints(self, v: ir.Vertex, c: ir.Component, binding: bool = True) -> VertexHints:
+        one = lambda f: fold_join(f, self.arguments, self.used_counts, f.from_vid in self.absent) in ("semi", "inner")
+        return vertex_hints(v, c, self.needed[v.vid], self.arguments, binding, one)
+
     # columns
 
     @staticmethod
@@ -118,12 +123,12 @@ class Compiler:
     def _order(self, edge, target: str) -> tuple[str, ...]:
         return self.source.order_of(target) if getattr(edge, "order", None) is None else edge.order
 
-    def far(self, edge: EdgeKeys, target: str, parameters: dict, names: set[str], prefix: str, ordered: bool) -> DataFrame:
+    def far(self, edge: EdgeKeys, target: str, parameters: dict, names: set[str], prefix: str, ordered: bool, hints: VertexHints | None = None) -> DataFrame:
         """The far side of a keyed edge, its columns prefixed; keys are ``{prefix}key{i}``."""
         extra = {b for _, b in edge.on} | (set(self._order(edge, target)) if ordered else set())
         raw = None
         if isinstance(edge, EdgeTable):
-            raw = edge.rows(self.source.spark, **parameters)
+            raw = edge.rows(self.source.spark, **parameters, **asked(edge.rows, hints))
         elif edge.where is not None:
             raw = self.source.table_of(target)[0].raw
             raw = raw.where(edge.where(lambda n: raw[n], **parameters))
@@ -133,7 +138,7 @@ class Compiler:
             columns.append(F.struct(*[F.col(n) for n in self._order(edge, target)] or [F.lit(0)]).alias(prefix + "ord"))
         return df.select(*columns)
 
-    def hop(self, df: DataFrame, edge, target: str, parameters: dict, start: int | str, to: str, names: set[str], how: str, ordered: bool) -> DataFrame:
+    def hop(self, df: DataFrame, edge, target: str, parameters: dict, start: int | str, to: str, names: set[str], how: str, ordered: bool, hints: VertexHints | None = None) -> DataFrame:
         """Append the columns ``{to}{name}`` of the neighbours; with ``how`` left also ``{to}exists``."""
         own = self.name(start, "") if isinstance(start, int) else start
         if isinstance(edge, EdgeArray):
@@ -150,22 +155,22 @@ class Compiler:
             columns += [F.struct(F.col(to + "pos")).alias(to + "ord")] if ordered else []
             columns += [F.col(to + "pos").isNotNull().alias(to + "exists")] if how == "left" else []
             return df.select(*[c for c in df.columns if c not in (to + "pos", to + "at")], *columns)
-        right = self.far(edge, target, parameters, names, to, ordered)
+        right = self.far(edge, target, parameters, names, to, ordered, hints)
         if how == "left":
             right = right.withColumn(to + "exists", F.lit(True))
         on = _all(F.col(own + a) == F.col(f"{to}key{i}") for i, (a, _) in enumerate(edge.on))
         df = df.join(right, on, how).drop(*[f"{to}key{i}" for i in range(len(edge.on))])
         return df.withColumn(to + "exists", F.coalesce(to + "exists", F.lit(False))) if how == "left" else df
 
-    def follow(self, df: DataFrame, s: ir.Edge, v: ir.Vertex, ordered: bool) -> DataFrame:
-        source, to = self.types[s.from_vid], self.name(s.to_vid, "")
+    def follow(self, df: DataFrame, s: ir.Edge, c: ir.Component, ordered: bool) -> DataFrame:
+        v, source, to = c.vertices[s.to_vid], self.types[s.from_vid], self.name(s.to_vid, "")
         edge, target, names = self.source.find_edge(source, s.name), v.coerced_from or v.type_name, self.needed[s.to_vid]
         if s.recursion:
             return self.recurse(df, s, edge, target, ordered)
         below = s.from_vid in self.absent
         if v.coerced_from and not s.optional and not below:
             target = v.type_name  # other types would be dropped at once: don't read them
-        df = self.hop(df, edge, target, s.parameters, s.from_vid, to, names, "left" if s.optional or below else "inner", ordered)
+        df = self.hop(df, edge, target, s.parameters, s.from_vid, to, names, "left" if s.optional or below else "inner", ordered, self.hints(v, c, not s.optional and not below))
         if s.optional or below:
             self.absent.add(s.to_vid)
             if not s.optional:
@@ -213,13 +218,13 @@ class Compiler:
         carried = [c for c in carried if c not in {own + a for a in edge.uses}]
         keys = [own + a for a in edge.uses] + carried
         if isinstance(edge, EdgeKeys) and not carried:
-            inner = self.far(edge, target, s.parameters, names, to, ordered)
+            inner = self.far(edge, target, s.parameters, names, to, ordered, self.hints(v, s.component))
             inner = inner.where(_all(F.col(f"{to}key{i}").isNotNull() for i in range(len(edge.on))))
             inner = inner.withColumnsRenamed({f"{to}key{i}": own + a for i, (a, _) in enumerate(edge.on)})
         else:
             start = df.where(self.exists(s.from_vid)) if below else df
             absent, self.absent = self.absent, self.absent - {s.from_vid}
-            inner = self.hop(start.select(*keys).distinct(), edge, target, s.parameters, s.from_vid, to, names, "inner", ordered)
+            inner = self.hop(start.select(*keys).distinct(), edge, target, s.parameters, s.from_vid, to, names, "inner", ordered, self.hints(v, s.component))
             self.absent = absent
         inner = self.component(self.enter(inner, v), s.component, ordered)
         how = fold_join(s, self.arguments, self.used_counts, below)
@@ -250,14 +255,14 @@ class Compiler:
                 df = self.fold(df, s)
             else:
                 v = c.vertices[s.to_vid]
-                df = self.enter(self.follow(df, s, v, ordered), v)
+                df = self.enter(self.follow(df, s, c, ordered), v)
         return df
 
     def dataframe(self) -> DataFrame:
         q, c = self.query, self.query.component
         v = c.vertices[c.root]
         root_type = v.coerced_from or v.type_name
-        df = self.source.start(q.root_name, root_type, q.root_parameters, self.needed[c.root], self.name(c.root, ""))
+        df = self.source.start(q.root_name, root_type, q.root_parameters, self.needed[c.root], self.name(c.root, ""), self.hints(v, c))
         df = self.component(self.enter(df, v), c, False)
         of = {n: F.col(self.ref_name(r)) for n, r in c.outputs.items()}
         return df.select(*[of.get(n, F.col(f"o__{n}")).alias(n) for n in sorted(c.all_outputs())])

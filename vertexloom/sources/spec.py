@@ -7,6 +7,7 @@ plan, so filters and columns reach the scans.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.errors import SourceError
+from vertexloom.plans.hints import VertexHints
 from vertexloom.schema import Schema
 from vertexloom.types import Type
 
@@ -166,7 +168,7 @@ class Source:
         missing = [n for n in names if prefix + n not in out.columns]
         return out.select("*", *[F.lit(None).cast("string").alias(prefix + n) for n in missing])
 
-    def start(self, name: str, type_name: str, parameters: dict[str, object], names: Iterable[str], prefix: str) -> DataFrame:
+    def start(self, name: str, type_name: str, parameters: dict[str, object], names: Iterable[str], prefix: str, hints: VertexHints | None = None) -> DataFrame:
         root = self.roots.get(name)
         if root is None:
             raise SourceError("UnknownStartingEdge", name)
@@ -175,7 +177,21 @@ class Source:
         found = self.table_of(type_name)
         if found is None:
             raise SourceError("StartingEdgeNeedsTable", name, type_name)
-        return self.frame(type_name, names, prefix, root.rows(found[0].raw, **parameters))
+        return self.frame(type_name, names, prefix, root.rows(found[0].raw, **parameters, **asked(root.rows, hints)))
+
+    def joined_with(self, schema: Schema, *others: Source) -> Source:
+        """One source over several backends, under a schema that spans them; edges between them can be added."""
+        out = Source(self.spark, schema, dict(self.tables), dict(self.edges), dict(self.roots))
+        for o in others:
+            out.tables |= o.tables
+            out.edges |= o.edges
+            out.roots |= o.roots
+        return out
+
+
+def asked(rows: Callable, hints: VertexHints | None) -> dict[str, object]:
+    """The hints, for a function that takes them."""
+    return {"hints": hints} if hints is not None and "hints" in inspect.signature(rows).parameters else {}
 
 
 def check_source(source: Source) -> list[SourceError]:
