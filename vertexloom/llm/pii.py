@@ -287,13 +287,14 @@ def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", bound:
 
     drawn = df.where(hash_share(F.col(id_col)) < share(bound, df.count())).where(df[text_col].rlike("[0-9@]"))
     got = extend(drawn, run, "struct<nodes:array<string>,near:array<int>,skip:array<int>>", text_of(drawn, text_col), [])
-    counts = []
-    for c in ("nodes", "near", "skip"):
-        by = got.select(F.explode(c).alias("x")).groupBy("x").count()
-        counts.append(by)
-    nodes, near, skip = (Counter(dict(c.collect())) for c in counts)
-    return fit(nodes, near, skip)
 
+    def tagged(c: str, kind: int) -> Column:
+        return F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("x")))
+
+    kinds = [tagged(c, i) for i, c in enumerate(("nodes", "near", "skip"))]
+    counted = got.select(F.explode(F.concat(*kinds)).alias("e")).groupBy("e.kind", "e.x").count().collect()
+    nodes, near, skip = (Counter({(x if i == 0 else int(x)): n for k, x, n in counted if k == i}) for i in range(3))
+    return fit(nodes, near, skip)
 
 
 def find(df: DataFrame, model: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
