@@ -1,7 +1,9 @@
 """Operator 1, language identification: nearest of several centroids a language.
 
 A text becomes a vector of hashed byte 2- and 3-grams of its lower-cased letters,
-weighted by log term frequency and inverse document frequency and normalised.
+weighted by the root of term frequency and by inverse document frequency, and
+normalised.  Document frequency is the mean over languages, so that a language with
+few documents doesn't outweigh the others in texts that mix them.
 Each language has up to ``CENTROIDS`` centroids, found by spherical k-means; the
 text gets the language of the centroid of largest cosine.  A text whose cosine is
 lower than nearly all of that language's own training texts is rejected.
@@ -34,6 +36,8 @@ from vertexloom.llm.labelled import hash_share, share
 BOUND, LANGUAGES, BITS, CENTROIDS = 3200, 1000, 13, 4
 #: A text is rejected below this quantile of its language's training cosines, less a margin.
 QUANTILE, MARGIN = 0.005, 0.02
+#: Share of texts that an unseen gram counts as having.
+RARE = 1e-3
 #: Texts in a dense block.
 ROWS = 64
 
@@ -41,7 +45,7 @@ _FOLD = np.zeros(256, np.uint32)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _FOLD[_FOLD == 0] = 32
-_LOG = np.log1p(np.arange(1 << 12)).astype(np.float32)
+_ROOT = np.sqrt(np.arange(1 << 16)).astype(np.float32)
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -76,7 +80,7 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 
 
 def vectors(grams: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = _LOG[np.minimum(grams, len(_LOG) - 1)] * idf
+    v = _ROOT[np.minimum(grams, len(_ROOT) - 1)] * idf
     return v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
 
 
@@ -118,14 +122,20 @@ def k_means(v: np.ndarray, k: int, seed: int = 1, rounds: int = 15) -> np.ndarra
     return centre
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = np.zeros(1 << BITS, np.int64), 0
-    for b in batches:
-        for grams in blocks(b.column(0)):
-            total += (grams > 0).sum(axis=0)
-            n += len(grams)
-    at = np.append(np.flatnonzero(total), -1)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(total[at[:-1]], n))], ["g", "n"])
+def _frequencies(weights: dict[str, float]):
+    """Per task, the weighted share of texts that have each gram; ``weights`` has what a text of a language counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS)
+        for b in batches:
+            weight, at = np.array([weights[x] for x in b.column(0).to_pylist()], np.float32), 0
+            for grams in blocks(b.column(1)):
+                total += weight[at : at + len(grams)] @ (grams > 0)
+                at += len(grams)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["g", "p"])
+
+    return run
 
 
 def train(df: DataFrame, where: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", bound: int = BOUND) -> Centroids:
@@ -139,11 +149,12 @@ def train(df: DataFrame, where: Column | None = None, text_col: str = "text", la
     if not langs:
         return Centroids((), np.zeros(0, int), np.zeros((0, 1 << BITS), np.float32), np.ones(1 << BITS, np.float32), np.zeros(0))
     text = text_of(known, text_col)
-    total = dict(known.select(text.alias("t")).mapInArrow(_frequencies, "g bigint, n bigint").groupBy("g").agg(F.sum("n")).collect())
-    n = total.pop(-1)
-    df_of = np.zeros(1 << BITS)
-    df_of[list(total)] = list(total.values())
-    idf = (np.log((1 + n) / (1 + df_of)) + 1).astype(np.float32)
+    weights = {lang: 1 / (n * len(langs)) for lang, n in sizes.items()}
+    shares = known.select(lang_col, text.alias("__text")).mapInArrow(_frequencies(weights), "g bigint, p double").groupBy("g").agg(F.sum("p"))
+    p = np.zeros(1 << BITS)
+    for g, x in shares.collect():  # at most 2^BITS rows
+        p[g] = x
+    idf = (np.log((1 + RARE) / (RARE + p.round(9))) + 1).astype(np.float32)
 
     def run(texts: pa.Array) -> pa.Array:
         grams = [g for block in blocks(texts) for g in block]
