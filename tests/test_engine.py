@@ -18,9 +18,14 @@ from vertexloom.sources.introspection import introspection_source
 from vertexloom.sources.numbers import numbers_source
 from vertexloom.sources.spec import Source, check_source
 from vertexloom.sources.warehouse import warehouse_source
+from vertexloom.syntax import shorthand
 from vertexloom.types import Type
 
 
+def run(source, query, *arguments):
+    return api.execute_query(source, shorthand(query), *arguments)
+
+
 @pytest.mark.parametrize("text", ["Int", "Int!", "[Int]", "[Int!]!", "[[String]!]", "[[[Float!]]]!"])
 def test_types_print_as_they_parse(text):
     assert str(Type.parse(text)) == text
@@ -101,17 +106,17 @@ def plan(df) -> str:
 
 def test_existence_becomes_semi_and_anti_joins(spark, tiny):
     s = warehouse_source(spark, tiny)
-    q = '{ Customer { key @output order @fold @transform(op: "count") @filter(op: "%s", value: ["$n"]) } }'
+    q = '{ Customer { key @output order @fold &count ?(%s $n) } }'
     for op, n, want in ((">=", 1, "LeftSemi"), (">", 0, "LeftSemi"), ("=", 0, "LeftAnti"), ("<", 1, "LeftAnti")):
-        p = plan(api.execute_query(s, q % op, {"n": n}))
+        p = plan(run(s, q % op, {"n": n}))
         assert want in p and "HashAggregate" not in p
-    inner = plan(api.execute_query(s, q % ">=", {"n": 3}))
+    inner = plan(run(s, q % ">=", {"n": 3}))
     assert "Inner" in inner or "BuildRight" in inner and "LeftOuter" not in inner
 
 
 def test_columns_and_filters_reach_the_scan(spark, tiny):
     s = warehouse_source(spark, tiny)
-    df = api.execute_query(s, '{ Order { key @output totalprice @filter(op: ">", value: ["$p"]) customer { name @output } } }', {"p": 1000.5})
+    df = run(s, '{ Order { key @output totalprice ?(> $p) customer { name @output } } }', {"p": 1000.5})
     p = api.explain(df)
     assert "GreaterThan(o_totalprice,1000.5)" in p
     scans = [x for x in p.split("\n") if x.startswith("ReadSchema")]
@@ -120,10 +125,10 @@ def test_columns_and_filters_reach_the_scan(spark, tiny):
 
 def test_filters_stay_above_optional_edges(spark, tiny):
     s = warehouse_source(spark, tiny)
-    q = '{ Customer { key @output order(minPrice: 400000.0) @optional { totalprice @filter(op: "<", value: ["$p"]) } } }'
-    everyone = api.execute_query(s, "{ Customer { key @output } }").count()
-    with_order = api.execute_query(s, '{ Customer { key @output order(minPrice: 400000.0) @fold @transform(op: "count") @filter(op: ">", value: ["$n"]) } }', {"n": 0}).count()
-    assert 0 < with_order < everyone and api.execute_query(s, q, {"p": 0.5}).count() == everyone - with_order
+    q = '{ Customer { key @output order(minPrice: 400000.0) @optional { totalprice ?(< $p) } } }'
+    everyone = run(s, "{ Customer { key @output } }").count()
+    with_order = run(s, '{ Customer { key @output order(minPrice: 400000.0) @fold &count ?(> $n) } }', {"n": 0}).count()
+    assert 0 < with_order < everyone and run(s, q, {"p": 0.5}).count() == everyone - with_order
 
 
 # sources and sinks
@@ -138,22 +143,22 @@ def test_sources_hold_what_they_promise(spark, tiny):
     found = {e.code for e in check_source(broken)}
     assert {"PropertyDoesNotResolve", "UnknownEdge", "UnknownStartingEdge", "UnknownVertexType"} <= found
     with pytest.raises(SourceError):
-        api.execute_query(broken, "{ One { value @output } }")
+        run(broken, "{ One { value @output } }")
 
 
 def test_introspection(spark, tiny):
     schema = warehouse_source(spark, tiny).schema
     s = introspection_source(spark, schema)
-    got = api.execute_query(s, '{ Entrypoint { name @output to_many @output parameter @fold { p: name @output kinds: type @output } target { target: name @output } } }').collect()
+    got = run(s, '{ Entrypoint { name @output to_many @output parameter @fold { p: name @output kinds: type @output } target { target: name @output } } }').collect()
     assert {r.name: (r.to_many, r.p, r.kinds, r.target) for r in got}["CustomerByKey"] == (False, ["key"], ["Int!"], "Customer")
-    docs = api.execute_query(s, '{ VertexType { name @output docs @filter(op: "is_not_null") @output implementer @fold { below: name @output } } }').collect()
+    docs = run(s, '{ VertexType { name @output docs ?(is_not_null) @output implementer @fold { below: name @output } } }').collect()
     assert [(r.name, r.docs, sorted(r.below)) for r in docs] == [("Party", "Whoever buys or sells.", ["Customer", "Supplier"])]
-    assert api.execute_query(s, "{ Schema { vertex_type { name @output } } }").count() == len(schema.vertex_types)
+    assert run(s, "{ Schema { vertex_type { name @output } } }").count() == len(schema.vertex_types)
 
 
 def test_sinks(spark):
     s = numbers_source(spark)
-    df = api.execute_query(s, "{ Number(max: 21, min: 20) { value @output name @output } }")
+    df = run(s, "{ Number(max: 21, min: 20) { value @output name @output } }")
 
     @dataclass
     class Row:
@@ -165,18 +170,18 @@ def test_sinks(spark):
     assert sorted(r.json for r in api.as_json(df).collect()) == ['{"name":"twenty","value":20}', '{"name":null,"value":21}']
     with pytest.raises(ValueError):
         list(api.as_structs(df.select("value"), Row))
-    assert {k: str(t) for k, t in api.output_types(s, "{ One { value @output predecessor @optional { multiple(max: 2) @fold @transform(op: \"count\") @output(name: \"n\") { m: value @output } } } }").items()} == {"value": "Int", "n": "Int", "m": "[Int]"}
+    assert {k: str(t) for k, t in api.output_types(s, shorthand('{ One { value @output predecessor @optional { multiple(max: 2) @fold &count @output(name: "n") { m: value @output } } } }')).items()} == {"value": "Int", "n": "Int", "m": "[Int]"}
 
 
 def test_partitioning_does_not_matter(spark, tiny):
     """The same rows, lists included, however the tables are split."""
     text = "{ Region { name @output nation @fold { nations: name @output customer @fold { c: name @output } } } }"
     s = warehouse_source(spark, tiny)
-    want = sorted(api.execute_query(s, text).collect())
+    want = sorted(run(s, text).collect())
     for n in (1, 7):
         for t in s.tables.values():
             t.rows = t.raw.repartition(n)
-        assert sorted(api.execute_query(s, text).collect()) == want
+        assert sorted(run(s, text).collect()) == want
 
 
 def test_skeletons_and_inferred_schemas(spark, tiny):
@@ -186,12 +191,12 @@ def test_skeletons_and_inferred_schemas(spark, tiny):
     assert "s.root('TopOrders', lambda raw, max: raw)" in text and "s.edge_keys('Party', 'nation'" in text
     made = Schema(sdl.infer_from_frames(Nation=spark.read.parquet(f"{tiny}/nation.parquet"), Vec=spark.read.parquet(f"{tiny}/embeddings.parquet")))
     assert str(made.field("Vec", "embedding").type) == "[Float]" and str(made.field("Nation", "n_name").type) == "String"
-    query = '{ Shop(city: "X") { name @output item @fold { price @output @filter(op: ">", value: ["$p"]) ... on Book { title @output } } } }'.replace("price @output @filter(op: \">\", value: [\"$p\"]) ", "")
+    query = '{ Shop(city: "X") { name @output item @fold { ... on Book { title @output } } } }'
     from vertexloom.plans.frontend import compile_query
 
-    assert str(compile_query(Schema(sdl.infer_from_query(query)), query).output_types["title"]) == "[String]!"
-    deep = '{ Node(id: 1) { next @recurse(depth: 3) { id @output @filter(op: ">", value: ["$p"]) } } }'
-    assert compile_query(Schema(sdl.infer_from_query(deep)), deep)
+    assert str(compile_query(Schema(sdl.infer_from_query(shorthand(query))), shorthand(query)).output_types["title"]) == "[String]!"
+    deep = '{ Node(id: 1) { next @recurse(depth: 3) { id @output ?(> $p) } } }'
+    assert compile_query(Schema(sdl.infer_from_query(shorthand(deep))), shorthand(deep))
 
 
 def test_weather(spark, tmp_path):
@@ -213,11 +218,11 @@ def test_weather(spark, tmp_path):
     path.write_text("\n".join(lines) + "\n")
     s = readers.weather_source(spark, str(path))
     assert check_source(s) == []
-    got = api.execute_query(s, "{ MetarReport { station_id @output wind_direction @output wind_direction_variable @output visibility_statute_mi @output visibility_unlimited @output cloud_cover @fold { sky_cover @output base_altitude @output } } }").collect()
+    got = run(s, "{ MetarReport { station_id @output wind_direction @output wind_direction_variable @output visibility_statute_mi @output visibility_unlimited @output cloud_cover @fold { base_altitude @output sky_cover @output } } }").collect()
     by = {(r.station_id, r.wind_direction): r for r in got}
     assert len(got) == 3 and by["KBOS", 310].sky_cover == ["FEW", "OVC"] and by["KBOS", 310].base_altitude == [5000, None] and by["KBOS", 310].visibility_statute_mi == 10.0
     assert by["KBOS", None].wind_direction_variable is True and by["KBOS", None].visibility_statute_mi == 1.5 and by["EGLL", None].visibility_unlimited is True
-    latest = api.execute_query(s, '{ LatestMetarReportForAirport(airport_code: "KBOS") { temperature @output } }').collect()
+    latest = run(s, '{ LatestMetarReportForAirport(airport_code: "KBOS") { temperature @output } }').collect()
     assert [r.temperature for r in latest] == [2.8]
     path.write_text("a,b\n1,2\n")
     with pytest.raises(SourceError):
@@ -231,11 +236,11 @@ def test_feeds(spark, tmp_path):
     rss.write_text("<rss><channel><title>Blog</title><link>http://b/</link><ttl>60</ttl><image><url>http://b/i.png</url></image><item><guid>g1</guid><title>Post</title><description>D</description></item></channel></rss>")
     s = readers.feeds_source(spark, str(atom), str(rss))
     assert check_source(s) == []
-    got = api.execute_query(s, "{ Feed { feed_type @output id @output ttl @output title { content @output } entries @fold { entry: id @output } } }").collect()
+    got = run(s, "{ Feed { feed_type @output id @output ttl @output title { content @output } entries @fold { entry: id @output } } }").collect()
     assert sorted((r.feed_type, r.id, r.ttl, r.content, r.entry) for r in got) == [("Atom", "f1", None, "News", ["e1", "e2"]), ("RSS", "http://b/", 60, "Blog", ["g1"])]
-    inner = api.execute_query(s, "{ Feed { entries { id @output summary @optional { s: content @output } content @optional { body @output length @output } links @fold { href @output } } } }").collect()
+    inner = run(s, "{ Feed { entries { id @output summary @optional { s: content @output } content @optional { body @output length @output } links @fold { href @output } } } }").collect()
     assert {r.id: (r.s, r.body, r.length, r.href) for r in inner} == {"e1": ("S", "Hé", 3, ["http://x/1"]), "e2": (None, None, None, []), "g1": ("D", None, None, [])}
-    assert [r.uri for r in api.execute_query(s, "{ Feed { logo { uri @output } } }").collect()] == ["http://b/i.png"]
+    assert [r.uri for r in run(s, "{ Feed { logo { uri @output } } }").collect()] == ["http://b/i.png"]
 
 
 def test_news(spark):
@@ -246,11 +251,11 @@ def test_news(spark):
     users = spark.createDataFrame([("ann", 7, None, 1, None, [1, 3, 4]), ("bob", 1, "b", 2, None, [2, 6])], readers._USER_COLUMNS)
     s = readers.news_source(spark, items, users)
     assert check_source(s) == []
-    assert sorted((r.id, r.t) for r in api.execute_query(s, "{ FrontPage { id @output t: __typename @output } }").collect()) == [(1, "Story"), (5, "Job")]
-    assert [r.id for r in api.execute_query(s, "{ Top(max: 1) { id @output } }").collect()] == [5]
-    story = api.execute_query(s, "{ Latest(max: 5) { id @output commentsCount @output byUser { karma @output } comment { c: id @output reply @recurse(depth: 2) { r: id @output } } } }").collect()
+    assert sorted((r.id, r.t) for r in run(s, "{ FrontPage { id @output t: __typename @output } }").collect()) == [(1, "Story"), (5, "Job")]
+    assert [r.id for r in run(s, "{ Top(max: 1) { id @output } }").collect()] == [5]
+    story = run(s, "{ Latest(max: 5) { id @output commentsCount @output byUser { karma @output } comment { c: id @output reply @recurse(depth: 2) { r: id @output } } } }").collect()
     assert sorted((r.c, r.r) for r in story) == [(2, 2), (2, 4), (3, 3)] and {r.karma for r in story} == {7}
-    sent = api.execute_query(s, '{ User(name: "ann") { submitted { ... on Comment { text @output parent { up: id @output __typename @output } } } } }').collect()
+    sent = run(s, '{ User(name: "ann") { submitted { ... on Comment { text @output parent { up: id @output __typename @output } } } } }').collect()
     assert sorted((r.text, r.up, r.__typename) if False else (r.text, r.up, r["__typename"]) for r in sent) == [("re", 2, "Comment"), ("yo", 1, "Story")]
 
 
@@ -261,9 +266,9 @@ def test_files(spark, tmp_path):
         p.write_text(body)
     s = readers.files_source(spark, str(tmp_path))
     assert check_source(s) == []
-    got = api.execute_query(s, "{ OriginDirectory { out_Directory_Subdirectory @recurse(depth: 3) { path @output out_Directory_ContainsFile @fold { files: name @output size @output } } } }").collect()
+    got = run(s, "{ OriginDirectory { out_Directory_Subdirectory @recurse(depth: 3) { path @output out_Directory_ContainsFile @fold { files: name @output size @output } } } }").collect()
     assert {r.path: r.files for r in got} == {"": ["a.txt"], "sub": ["b.bin"], "sub/deep": ["c.md"]}
-    lines = api.execute_query(s, "{ OriginDirectory { out_Directory_ContainsFile { ... on TextFile { out_TextFile_HasLine { line_number @output trimmed_contents @output } } } } }").collect()
+    lines = run(s, "{ OriginDirectory { out_Directory_ContainsFile { ... on TextFile { out_TextFile_HasLine { line_number @output trimmed_contents @output } } } } }").collect()
     assert sorted((r.line_number, r.trimmed_contents) for r in lines) == [(1, "one"), (2, "two")]
 
 
@@ -298,15 +303,15 @@ def test_streams(spark, tiny, tmp_path):
     raw = s.tables["Order"].raw
     raw.repartition(3).write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in"))
-    text = '{ Order { key @output totalprice @filter(op: ">", value: ["$p"]) customer @optional { name @output } } }'
-    out = stream_query(s, "Order", live, text, {"p": 100000.0})
+    text = '{ Order { key @output totalprice ?(> $p) customer @optional { name @output } } }'
+    out = stream_query(s, "Order", live, shorthand(text), {"p": 100000.0})
     q = out.writeStream.format("memory").queryName("live_orders").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert sorted(spark.table("live_orders").collect()) == sorted(api.execute_query(s, text, {"p": 100000.0}).collect())
+    assert sorted(spark.table("live_orders").collect()) == sorted(run(s, text, {"p": 100000.0}).collect())
     seen = []
-    folded = '{ Order { key @output lineitem @fold @transform(op: "count") @output(name: "n") } }'
+    folded = '{ Order { key @output lineitem @fold &count @output(name: "n") } }'
     with pytest.raises(ValueError):
-        stream_query(s, "Order", live, folded)
-    q = live.writeStream.foreachBatch(each_batch(s, "Order", folded, None, lambda df, _: seen.extend(df.collect()))).trigger(availableNow=True).start()
+        stream_query(s, "Order", live, shorthand(folded))
+    q = live.writeStream.foreachBatch(each_batch(s, "Order", shorthand(folded), None, lambda df, _: seen.extend(df.collect()))).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert sorted(seen) == sorted(api.execute_query(s, folded).collect())
+    assert sorted(seen) == sorted(run(s, folded).collect())

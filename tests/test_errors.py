@@ -5,10 +5,15 @@ from __future__ import annotations
 import pytest
 
 from vertexloom.errors import ArgumentError, ErrorGroup, FrontendError, LoomError, ParseError, SchemaError, ValidationError
-from vertexloom.plans.frontend import compile_query
+from vertexloom.plans import frontend
 from vertexloom.plans.planner import bind
 from vertexloom.schema import Schema
 from vertexloom.sources.numbers import SDL
+from vertexloom.syntax import shorthand
+
+
+def compile_query(schema: Schema, text: str):
+    return frontend.compile_query(schema, shorthand(text))
 
 
 def codes(e: LoomError) -> list[str]:
@@ -27,22 +32,22 @@ PARSE = {
     "{ One { value @filter(op: 3) } }": "InappropriateTypeForDirectiveArgument",
     '{ One { value @filter(op: "=") } }': "MissingRequiredDirectiveArgument",
     '{ One { value @filter(op: "=", value: "$x") } }': "FilterExpectsListNotString",
-    '{ One { value @filter(op: "like", value: ["$x"]) } }': "UnsupportedFilterOperator",
-    '{ One { value @filter(op: "=", value: ["x"]) } }': "InvalidFilterOperandName",
-    '{ One { value @filter(op: "=", value: ["$"]) } }': "InvalidFilterOperandName",
-    '{ One { value @filter(op: "=", value: ["%"]) } }': "InvalidFilterOperandName",
-    '{ One { value @filter(op: "=", value: ["$2x"]) } }': "InvalidFilterOperandName",
-    '{ One { value @filter(op: "=", value: ["$å"]) } }': "InvalidFilterOperandName",
+    '{ One { value ?(like $x) } }': "UnsupportedFilterOperator",
+    '{ One { value ?(= x) } }': "InvalidFilterOperandName",
+    '{ One { value ?(= $) } }': "InvalidFilterOperandName",
+    '{ One { value ?(= %) } }': "InvalidFilterOperandName",
+    '{ One { value ?(= $2x) } }': "InvalidFilterOperandName",
+    '{ One { value ?(= $å) } }': "InvalidFilterOperandName",
     '{ One { value @filter(op: "=", value: []) } }': "OtherError",
     '{ One { value @output(name: "a b-c") } }': "InvalidOutputName",
     '{ One { value @tag(name: "a$") } }': "InvalidTagName",
     '{ One { multiple(max: 2) @fold @transform(op: "sum") } }': "UnsupportedTransformOperator",
-    '{ One { multiple(max: 2) @transform(op: "count") @fold } }': "UnsupportedDirectivePosition",
+    '{ One { multiple(max: 2) &count @fold } }': "UnsupportedDirectivePosition",
     "{ One { multiple(max: 2) @fold @output } }": "UnsupportedDirectivePosition",
     "{ One { multiple(max: 2) @fold @tag } }": "UnsupportedDirectivePosition",
     "{ One { multiple(max: 2) @fold @optional { value @output } } }": "UnsupportedDirectivePosition",
     "{ One { successor @fold @recurse(depth: 2) { value @output } } }": "UnsupportedDirectivePosition",
-    '{ One { successor @fold @transform(op: "count") @optional { value } } }': "UnsupportedDirectivePosition",
+    '{ One { successor @fold &count @optional { value } } }': "UnsupportedDirectivePosition",
     "{ One { successor @fold @fold { value @output } } }": "UnsupportedDuplicatedDirective",
     "{ One { successor @optional @optional { value @output } } }": "UnsupportedDuplicatedDirective",
     "{ One { successor @recurse(depth: 1) @recurse(depth: 2) { value @output } } }": "UnsupportedDuplicatedDirective",
@@ -80,35 +85,35 @@ FRONTEND = {
     "{ One { size @output } }": ["NonExistentPath"],
     "{ Two { ... on Composite { value @output } } }": ["CannotCoerceNonInterfaceType"],
     "{ One { ... on Nothing { value @output } } }": ["NonExistentType"],
-    "{ One { ... on Letter { name @output } } }": ["CannotCoerceToUnrelatedType"],
+    "{ One { ... on Letter { its: name @output } } }": ["CannotCoerceToUnrelatedType"],
     "{ One { __typename { value @output } } }": ["PropertyMetaFieldUsedAsEdge"],
-    '{ One { __typename @filter(op: "is_not_null") @output } }': ["NonNullableTypeFilteredForNullability"],
+    '{ One { __typename ?(is_not_null) @output } }': ["NonNullableTypeFilteredForNullability"],
     "{ One { value @output @output } }": ["MultipleOutputsWithSameName"],
     "{ One { value @output successor { value @output } } }": ["MultipleOutputsWithSameName"],
     "{ One { a: value @output(name: \"x\") successor { x: value @output } } }": ["MultipleOutputsWithSameName"],
-    '{ One { value @output successor @fold @transform(op: "count") @output(name: "value") } }': ["MultipleOutputsWithSameName"],
+    '{ One { value @output successor @fold &count @output(name: "value") } }': ["MultipleOutputsWithSameName"],
     "{ One { value @tag @output } }": ["UnusedTags"],
-    '{ One { value @tag name @tag(name: "value") @output successor { value @filter(op: "=", value: ["%value"]) } } }': ["MultipleTagsWithSameName"],
-    '{ One { value @output @filter(op: "=", value: ["%no"]) } }': ["UndefinedTagInFilter"],
-    '{ One { value @output @filter(op: "=", value: ["%t"]) successor { value @tag(name: "t") } } }': ["TagUsedBeforeDefinition"],
-    '{ One { successor @fold { value @tag(name: "t") @output } predecessor { value @filter(op: "=", value: ["%t"]) } } }': ["TagUsedOutsideItsFoldedSubquery"],
-    '{ One { successor @fold { value @filter(op: "=", value: ["%t"]) @output } value @tag(name: "t") } }': ["UndefinedTagInFilter"],
-    '{ One { successor @fold @transform(op: "count") @tag(name: "n") { value @output @filter(op: "=", value: ["%n"]) } } }': ["UndefinedTagInFilter"],
-    '{ One { value @output successor @fold @transform(op: "count") @tag } }': ["ExplicitTagNameRequired"],
-    '{ One { value @output @filter(op: "contains", value: ["$x"]) } }': ["ListFilterOperationOnNonListSubject"],
-    '{ One { value @output vowelsInName @filter(op: "contains", value: ["%v"]) v: value @tag(name: "v") } }': ["TypeMismatchBetweenFilterSubjectAndArgument"],
-    '{ One { value @output @filter(op: "one_of", value: ["%n"]) name @tag(name: "n") } }': ["ListFilterOperationOnNonListArgument"],
-    '{ One { value @output @filter(op: "one_of", value: ["%n"]) vowelsInName @tag(name: "n") } }': ["TypeMismatchBetweenFilterSubjectAndArgument"],
-    '{ One { value @output @filter(op: "regex", value: ["$x"]) } }': ["StringFilterOperationOnNonStringSubject"],
-    '{ One { name @output @filter(op: "regex", value: ["%v"]) value @tag(name: "v") } }': ["StringFilterOperationOnNonStringArgument"],
-    '{ One { name @output @filter(op: "=", value: ["%v"]) value @tag(name: "v") } }': ["TypeMismatchBetweenFilterSubjectAndArgument"],
-    '{ One { value @output @filter(op: "=", value: ["$x"]) name @filter(op: "=", value: ["$x"]) } }': ["IncompatibleVariableTypeRequirements"],
-    '{ One { value @output @filter(op: "one_of", value: ["$x"]) @filter(op: "=", value: ["$x"]) } }': ["IncompatibleVariableTypeRequirements"],
+    '{ One { value @tag name @tag(name: "value") @output successor { value ?(= %value) } } }': ["MultipleTagsWithSameName"],
+    '{ One { value @output ?(= %no) } }': ["UndefinedTagInFilter"],
+    '{ One { value @output ?(= %t) successor { value @tag(name: "t") } } }': ["TagUsedBeforeDefinition"],
+    '{ One { successor @fold { value @tag(name: "t") @output } predecessor { value ?(= %t) } } }': ["TagUsedOutsideItsFoldedSubquery"],
+    '{ One { successor @fold { value ?(= %t) @output } value @tag(name: "t") } }': ["UndefinedTagInFilter"],
+    '{ One { successor @fold &count @tag(name: "n") { value @output ?(= %n) } } }': ["UndefinedTagInFilter"],
+    '{ One { value @output successor @fold &count @tag } }': ["ExplicitTagNameRequired"],
+    '{ One { value @output ?(contains $x) } }': ["ListFilterOperationOnNonListSubject"],
+    '{ One { value @output vowelsInName ?(contains %v) v: value @tag(name: "v") } }': ["TypeMismatchBetweenFilterSubjectAndArgument"],
+    '{ One { value @output ?(one_of %n) name @tag(name: "n") } }': ["ListFilterOperationOnNonListArgument"],
+    '{ One { value @output ?(one_of %n) vowelsInName @tag(name: "n") } }': ["TypeMismatchBetweenFilterSubjectAndArgument"],
+    '{ One { value @output ?(regex $x) } }': ["StringFilterOperationOnNonStringSubject"],
+    '{ One { name @output ?(regex %v) value @tag(name: "v") } }': ["StringFilterOperationOnNonStringArgument"],
+    '{ One { name @output ?(= %v) value @tag(name: "v") } }': ["TypeMismatchBetweenFilterSubjectAndArgument"],
+    '{ One { value @output ?(= $x) name ?(= $x) } }': ["IncompatibleVariableTypeRequirements"],
+    '{ One { value @output ?(one_of $x) ?(= $x) } }': ["IncompatibleVariableTypeRequirements"],
     "{ One { value @output @fold } }": ["UnsupportedDirectiveOnProperty"],
     "{ One { value @output @optional } }": ["UnsupportedDirectiveOnProperty"],
     "{ One { value @output @recurse(depth: 2) } }": ["UnsupportedDirectiveOnProperty"],
     "{ One { value @output successor @output } }": ["UnsupportedEdgeOutput"],
-    '{ One { value @output successor @filter(op: "=", value: ["$x"]) } }': ["UnsupportedEdgeFilter"],
+    '{ One { value @output successor ?(= $x) } }': ["UnsupportedEdgeFilter"],
     "{ One { value @output successor @tag } }": ["UnsupportedEdgeTag"],
     "{ One { successor @optional @fold { value @output } } }": ["UnsupportedDirectiveOnFoldedEdge"],
     "{ One { successor @recurse(depth: 2) @fold { value @output } } }": ["UnsupportedDirectiveOnFoldedEdge"],
@@ -119,7 +124,7 @@ FRONTEND = {
     "{ Four { primeFactor @recurse(depth: 2) { value @output } } }": ["RecursingNonRecursableEdge"],
     "{ Number(max: 3) { multiple(max: 3) @recurse(depth: 2) { value @output } } }": ["RecursionToSubtype"],
     "{ One { value } }": ["OtherError"],
-    '{ One { successor @fold @transform(op: "count") @transform(op: "count") @output { value } } }': ["OtherError"],
+    '{ One { successor @fold &count &count @output { value } } }': ["OtherError"],
 }
 
 
@@ -133,10 +138,10 @@ def test_frontend_errors(numbers, query):
 RECURSION = """
 schema { query: Q }
 type Q { Top: Final  Mid: Deeper  Twice: Twice }
+type Final implements Deeper & Derived & Base { away: Other  side: Derived  down: Derived  field: Int }
+interface Deeper implements Derived & Base { side: Base  down: Derived  field: Int }
+interface Derived implements Base { down: Base  field: Int }
 interface Base { field: Int }
-interface Derived implements Base { field: Int  down: Base }
-interface Deeper implements Derived & Base { field: Int  down: Derived  side: Base }
-type Final implements Deeper & Derived & Base { field: Int  down: Derived  side: Derived  away: Other }
 type Other { field: Int  away: Final }
 type Twice implements Base { field: Int  only: Base }
 """
@@ -205,7 +210,7 @@ def test_schema_errors(text):
 
 
 def test_arguments(numbers):
-    q = compile_query(numbers, '{ Number(max: 5) { value @output @filter(op: "<", value: ["$a"]) name @filter(op: "one_of", value: ["$b"]) @filter(op: "regex", value: ["$c"]) } }')
+    q = compile_query(numbers, '{ Number(max: 5) { value @output ?(< $a) name ?(one_of $b) ?(regex $c) } }')
     assert {n: str(t) for n, t in q.variables.items()} == {"a": "Int!", "b": "[String]!", "c": "String!"}
     good = {"a": 3, "b": ["x", None], "c": "a|b"}
     assert bind(q, good) == good
@@ -226,6 +231,6 @@ def test_arguments(numbers):
     with pytest.raises(ErrorGroup) as e:
         bind(q, {"d": 1, "a": "x"})
     assert e.value.codes == ["MissingArguments", "UnusedArguments", "ArgumentTypeError"]
-    narrowed = compile_query(numbers, '{ One { value @output @filter(op: "=", value: ["$a"]) @filter(op: ">", value: ["$a"]) } }')
+    narrowed = compile_query(numbers, '{ One { value @output ?(= $a) ?(> $a) } }')
     with pytest.raises(ArgumentError):
         bind(narrowed, {"a": None})

@@ -7,11 +7,17 @@ import random
 
 from pyspark.sql import functions as F
 
-from vertexloom.api import execute_query
+from vertexloom import api
 from vertexloom.plans.hints import Candidates
 from vertexloom.schema import Schema
 from vertexloom.sources.crates import crates_source
 from vertexloom.sources.spec import Source, check_source
+from vertexloom.syntax import shorthand
+
+
+def execute_query(source, query, *arguments):
+    return api.execute_query(source, shorthand(query), *arguments)
+
 
 SDL = """
 schema { query: Q }
@@ -58,16 +64,16 @@ def make(spark, seen: list) -> Source:
 def test_functions_get_hints(spark):
     seen = []
     s = make(spark, seen)
-    text = '{ Thing { id @output size @filter(op: ">", value: ["$a"]) @filter(op: "<=", value: ["$b"]) tag { word @output @filter(op: "one_of", value: ["$w"]) } } }'
+    text = '{ Thing { id @output size ?(> $a) ?(<= $b) tag { word @output ?(one_of $w) } } }'
     assert [r.id for r in execute_query(s, text, {"a": 4, "b": 8, "w": ["x", "q"]}).collect()] == [1]
     root, edge = seen
     assert root.required == {"id", "size"} and root.candidates["size"].low == (4, False) and root.candidates["size"].high == (8, True)
     assert root.mandatory_edges == ("tag",) and edge.candidates["word"].values == ("x", "q") and edge.required == {"word"}
     seen.clear()
-    execute_query(s, '{ Thing { id @output tag @optional { word @filter(op: "=", value: ["$w"]) } } }', {"w": "x"})
+    execute_query(s, '{ Thing { id @output tag @optional { word ?(= $w) } } }', {"w": "x"})
     assert seen[0].mandatory_edges == () and seen[1].candidates == {}
     seen.clear()
-    execute_query(s, '{ Thing { id @output tag @fold @transform(op: "count") @filter(op: ">=", value: ["$n"]) { word @output } } }', {"n": 2})
+    execute_query(s, '{ Thing { id @output tag @fold &count ?(>= $n) { word @output } } }', {"n": 2})
     assert seen[0].mandatory_edges == ("tag",)
 
 
@@ -95,5 +101,5 @@ def test_library_documentation(spark, tmp_path):
     assert check_source(s) == []
     got = execute_query(s, '{ Crate { item { ... on Module { module: name @output item @fold { names: name @output kinds: __typename @output } } } } }').collect()
     assert [(r.module, r.names, r.kinds) for r in got] == [("lib", ["Point", "go"], ["Struct", "Function"])]
-    public = execute_query(s, '{ Crate { crate_version @output item { name @output visibility @filter(op: "=", value: ["$v"]) } } }', {"v": "public"})
+    public = execute_query(s, '{ Crate { crate_version @output item { name @output visibility ?(= $v) } } }', {"v": "public"})
     assert sorted(r.name for r in public.select(F.col("name")).collect()) == ["Point", "lib"]

@@ -10,20 +10,21 @@ from vertexloom.api import as_json, execute_query
 from vertexloom.sources.introspection import introspection_source
 from vertexloom.sources.numbers import numbers_source
 from vertexloom.sources.warehouse import warehouse_source
+from vertexloom.syntax import shorthand
 
-#: Query text, arguments and SQL by name.
+#: Query text, arguments and SQL by name; texts are given in the shorthand of ``syntax.shorthand``.
 CASES: dict[str, tuple[str, dict, str]] = {}
 
 
 def _case(name: str, text: str, sql: str, **arguments) -> None:
-    CASES[name] = (text, arguments, sql)
+    CASES[name] = (shorthand(text), arguments, sql)
 
 
 _case(
     "flagship",
-    """{ Region { name @filter(op: "=", value: ["$region"])
+    """{ Region { name ?(= $region)
          nation { nation: name @output
-           customer @fold @transform(op: "count") @output(name: "customers") { customer_names: name @output } } } }""",
+           customer @fold &count @output(name: "customers") { customer_names: name @output } } } }""",
     """SELECT n_name AS nation, count(c_custkey) AS customers,
          coalesce(list(c_name ORDER BY c_custkey, c_name) FILTER (WHERE c_custkey IS NOT NULL), []) AS customer_names
        FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey
@@ -42,13 +43,13 @@ _case(
     "{ Party { __typename @output key @output } }",
     "SELECT 'Customer' AS __typename, c_custkey AS key FROM customer UNION ALL SELECT 'Supplier', s_suppkey FROM supplier",
 )
-_case("typename_filter", '{ Party { __typename @filter(op: "=", value: ["$t"]) name @output } }', "SELECT s_name AS name FROM supplier", t="Supplier")
+_case("typename_filter", '{ Party { __typename ?(= $t) name @output } }', "SELECT s_name AS name FROM supplier", t="Supplier")
 
 _CUSTOMER = "SELECT c_custkey AS key FROM customer WHERE "
 
 
 def _customers(name: str, prop: str, op: str, where: str, **arguments) -> None:
-    _case(name, f'{{ Customer {{ key @output {prop} @filter(op: "{op}", value: ["$x"]) }} }}', _CUSTOMER + where, **arguments)
+    _case(name, f'{{ Customer {{ key @output {prop} ?({op} $x) }} }}', _CUSTOMER + where, **arguments)
 
 
 _customers("filter_eq", "mktsegment", "=", "c_mktsegment = 'BUILDING'", x="BUILDING")
@@ -69,13 +70,13 @@ _customers("filter_has_substring", "mktsegment", "has_substring", "contains(c_mk
 _customers("filter_not_has_substring", "mktsegment", "not_has_substring", "NOT contains(c_mktsegment, 'IL')", x="IL")
 _customers("filter_regex", "mktsegment", "regex", "regexp_matches(c_mktsegment, '^(AUTO|MACH).*[YE]$')", x="^(AUTO|MACH).*[YE]$")
 _customers("filter_not_regex", "mktsegment", "not_regex", "NOT regexp_matches(c_mktsegment, '[AO]U')", x="[AO]U")
-_case("filter_is_null", '{ Customer { key @output premium @filter(op: "is_null") } }', _CUSTOMER + "c_acctbal <= 5000")
-_case("filter_is_not_null", '{ Customer { key @output premium @filter(op: "is_not_null") @output } }', "SELECT c_custkey AS key, c_acctbal AS premium FROM customer WHERE c_acctbal > 5000")
-_case("filter_contains", '{ Part { key @output words @filter(op: "contains", value: ["$w"]) } }', "SELECT p_partkey AS key FROM part WHERE list_contains(string_split(p_name, ' '), 'red')", w="red")
-_case("filter_not_contains", '{ Part { key @output words @filter(op: "not_contains", value: ["$w"]) } }', "SELECT p_partkey AS key FROM part WHERE NOT list_contains(string_split(p_name, ' '), 'red')", w="red")
+_case("filter_is_null", '{ Customer { key @output premium ?(is_null) } }', _CUSTOMER + "c_acctbal <= 5000")
+_case("filter_is_not_null", '{ Customer { key @output premium ?(is_not_null) @output } }', "SELECT c_custkey AS key, c_acctbal AS premium FROM customer WHERE c_acctbal > 5000")
+_case("filter_contains", '{ Part { key @output words ?(contains $w) } }', "SELECT p_partkey AS key FROM part WHERE list_contains(string_split(p_name, ' '), 'red')", w="red")
+_case("filter_not_contains", '{ Part { key @output words ?(not_contains $w) } }', "SELECT p_partkey AS key FROM part WHERE NOT list_contains(string_split(p_name, ' '), 'red')", w="red")
 _case(
     "filter_multiple",
-    '{ Order { key @output totalprice @filter(op: ">", value: ["$low"]) @filter(op: "<", value: ["$high"]) status @filter(op: "=", value: ["$s"]) } }',
+    '{ Order { key @output totalprice ?(> $low) ?(< $high) status ?(= $s) } }',
     "SELECT o_orderkey AS key FROM orders WHERE o_totalprice > 100000 AND o_totalprice < 200000 AND o_orderstatus = 'F'",
     low=100000.0,
     high=200000.0,
@@ -83,7 +84,7 @@ _case(
 )
 _case(
     "filter_regex_tag",
-    '{ Nation { name @tag(name: "pattern") @output customer { key @output name @filter(op: "not_regex", value: ["%pattern"]) } } }',
+    '{ Nation { name @tag(name: "pattern") @output customer { key @output name ?(not_regex %pattern) } } }',
     "SELECT n_name AS name, c_custkey AS key FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE NOT contains(c_name, n_name)",
 )
 _case(
@@ -106,7 +107,7 @@ _case(
 )
 _case(
     "optional_then_filter",
-    '{ Document { id @output label @optional { toxic @filter(op: "=", value: ["$one"]) @output } } }',
+    '{ Document { id @output label @optional { toxic ?(= $one) @output } } }',
     "SELECT d.doc_id AS id, CAST(toxic AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR toxic = 1",
     one=1,
 )
@@ -132,31 +133,31 @@ _case(
 )
 _case(
     "tag_theta",
-    '{ Supplier { name @output acctbal @tag(name: "mine") nation { customer { customer: key @output acctbal @filter(op: ">", value: ["%mine"]) } } } }',
+    '{ Supplier { name @output acctbal @tag(name: "mine") nation { customer { customer: key @output acctbal ?(> %mine) } } } }',
     "SELECT s_name AS name, c_custkey AS customer FROM supplier JOIN customer ON c_nationkey = s_nationkey WHERE c_acctbal > s_acctbal",
 )
 _case(
     "tag_equi",
-    '{ Order { key @output customer { nation { key @tag(name: "home") } } lineitem { linenumber @output supplier { nation { key @filter(op: "=", value: ["%home"]) } } } } }',
+    '{ Order { key @output customer { nation { key @tag(name: "home") } } lineitem { linenumber @output supplier { nation { key ?(= %home) } } } } }',
     """SELECT o_orderkey AS key, CAST(l_linenumber AS BIGINT) AS linenumber FROM orders JOIN customer ON c_custkey = o_custkey
        JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = c_nationkey""",
 )
 _case(
     "tag_from_absent_optional",
-    '{ Message { convId @output turn @output next @optional { turn @tag(name: "n") } previous { back: turn @output @filter(op: ">", value: ["%n"]) } } }',
+    '{ Message { convId @output turn @output next @optional { turn @tag(name: "n") } previous { back: turn @output ?(> %n) } } }',
     """SELECT a.conv_id AS convId, a.turn AS turn, p.turn AS back FROM conversations a
        LEFT JOIN conversations n ON n.conv_id = a.conv_id AND n.turn = a.turn + 1
        JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1 WHERE n.turn IS NULL OR p.turn > n.turn""",
 )
 _case(
     "semi_join",
-    '{ Customer { key @output order(minPrice: 250000.0) @fold @transform(op: "count") @filter(op: ">=", value: ["$one"]) } }',
+    '{ Customer { key @output order(minPrice: 250000.0) @fold &count ?(>= $one) } }',
     "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice >= 250000)",
     one=1,
 )
 _case(
     "anti_join",
-    '{ Customer { key @output order(minPrice: 400000.0) @fold @transform(op: "count") @filter(op: "=", value: ["$none"]) } }',
+    '{ Customer { key @output order(minPrice: 400000.0) @fold &count ?(= $none) } }',
     "SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice >= 400000)",
     none=0,
 )
@@ -187,7 +188,7 @@ _case(
 )
 _case(
     "recurse_filter",
-    '{ Message { convId @output turn @output next @recurse(depth: 3) { to: turn @output role @filter(op: "=", value: ["$r"]) } } }',
+    '{ Message { convId @output turn @output next @recurse(depth: 3) { to: turn @output role ?(= $r) } } }',
     f"SELECT a.conv_id AS convId, a.turn AS turn, b.turn AS \"to\" FROM conversations {_HOPS.format(3)} WHERE b.role = 'assistant'",
     r="assistant",
 )
@@ -200,39 +201,39 @@ _case(
 )
 _case(
     "fold_count",
-    '{ Customer { key @output order @fold @transform(op: "count") @output } }',
+    '{ Customer { key @output order @fold &count @output } }',
     "SELECT c_custkey AS key, count(o_orderkey) AS ordercount FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
 )
 _case(
     "fold_count_filter",
-    '{ Customer { key @output order @fold @transform(op: "count") @filter(op: ">=", value: ["$n"]) @output(name: "n") { totalprice @filter(op: ">", value: ["$p"]) } } }',
+    '{ Customer { key @output order @fold &count ?(>= $n) @output(name: "n") { totalprice ?(> $p) } } }',
     "SELECT c_custkey AS key, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 150000 GROUP BY c_custkey HAVING count(*) >= 5",
     n=5,
     p=150000.0,
 )
 _case(
     "fold_count_tag",
-    '{ Nation { name @output customer @fold @transform(op: "count") @tag(name: "n") @output(name: "n") supplier { sup: key @output @filter(op: "<", value: ["%n"]) } } }',
+    '{ Nation { name @output customer @fold &count @tag(name: "n") @output(name: "n") supplier { sup: key @output ?(< %n) } } }',
     """SELECT n_name AS name, coalesce(n, 0) AS n, s_suppkey AS sup FROM nation
        LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey
        JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey < coalesce(n, 0)""",
 )
 _case(
     "fold_empty",
-    '{ Region { name @output nation @fold @transform(op: "count") @output(name: "n") { name @filter(op: "=", value: ["$none"]) list: key @output } } }',
+    '{ Region { name @output nation @fold &count @output(name: "n") { name ?(= $none) list: key @output } } }',
     "SELECT r_name AS name, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS list FROM region",
     none="Atlantis",
 )
 _case(
     "fold_absent_optional",
-    '{ Message { convId @output turn @output next @optional { previous @fold @transform(op: "count") @output(name: "n") { back: turn @output } } } }',
+    '{ Message { convId @output turn @output next @optional { previous @fold &count @output(name: "n") { back: turn @output } } } }',
     """SELECT a.conv_id AS convId, a.turn AS turn, CASE WHEN b.turn IS NOT NULL THEN CAST(1 AS BIGINT) END AS n,
          CASE WHEN b.turn IS NOT NULL THEN [a.turn] END AS back
        FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""",
 )
 _case(
     "fold_nested",
-    '{ Region { name @output nation @fold { nations: name @output supplier @fold @transform(op: "count") @output(name: "counts") { keys: key @output } } } }',
+    '{ Region { name @output nation @fold { nations: name @output supplier @fold &count @output(name: "counts") { keys: key @output } } } }',
     """WITH n AS (SELECT n_regionkey, n_nationkey, n_name, count(s_suppkey) AS c, coalesce(list(s_suppkey ORDER BY s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL), []) AS k
          FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2, 3)
        SELECT r_name AS name, list(n_name ORDER BY n_nationkey) AS nations, list(c ORDER BY n_nationkey) AS counts, list(k ORDER BY n_nationkey) AS keys
@@ -240,12 +241,12 @@ _case(
 )
 _case(
     "fold_imported_tag",
-    '{ Supplier { name @output acctbal @tag(name: "mine") nation { customer @fold @transform(op: "count") @output(name: "richer") { acctbal @filter(op: ">", value: ["%mine"]) } } } }',
+    '{ Supplier { name @output acctbal @tag(name: "mine") nation { customer @fold &count @output(name: "richer") { acctbal ?(> %mine) } } } }',
     """SELECT s_name AS name, count(c_custkey) AS richer FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal GROUP BY s_suppkey, s_name""",
 )
 _case(
     "fold_inner_edges",
-    '{ Nation { name @output customer @fold { mktsegment @filter(op: "=", value: ["$s"]) order(minPrice: 200000.0) { orders: key @output } } } }',
+    '{ Nation { name @output customer @fold { mktsegment ?(= $s) order(minPrice: 200000.0) { orders: key @output } } } }',
     """SELECT n_name AS name, coalesce(list(o_orderkey ORDER BY c_custkey, o_orderkey) FILTER (WHERE o_orderkey IS NOT NULL), []) AS orders FROM nation
        LEFT JOIN (customer JOIN orders ON o_custkey = c_custkey AND o_totalprice >= 200000) ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING'
        GROUP BY n_nationkey, n_name""",
@@ -261,23 +262,23 @@ _case(
 _case("top_orders", "{ TopOrders(max: 10) { key @output totalprice @output } }", "SELECT o_orderkey AS key, o_totalprice AS totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 _case(
     "time_range",
-    '{ Order { key @output orderdate @filter(op: ">=", value: ["$from"]) @filter(op: "<", value: ["$to"]) @output } }',
+    '{ Order { key @output orderdate ?(>= $from) ?(< $to) @output } }',
     "SELECT o_orderkey AS key, epoch_us(o_orderdate) AS orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-04-01'",
     **{"from": 788918400000000, "to": 796694400000000},
 )
-_case("events_scan", '{ Event { id @output ts @output eventType @filter(op: "=", value: ["$t"]) value @output } }', "SELECT event_id AS id, epoch_us(ts) AS ts, value FROM events WHERE event_type = 'purchase'", t="purchase")
-_case("pages_scan", '{ Page { id @output url @output html @filter(op: "has_substring", value: ["$s"]) } }', "SELECT page_id AS id, url FROM pages WHERE contains(html, '<p>')", s="<p>")
+_case("events_scan", '{ Event { id @output ts @output eventType ?(= $t) value @output } }', "SELECT event_id AS id, epoch_us(ts) AS ts, value FROM events WHERE event_type = 'purchase'", t="purchase")
+_case("pages_scan", '{ Page { id @output url @output html ?(has_substring $s) } }', "SELECT page_id AS id, url FROM pages WHERE contains(html, '<p>')", s="<p>")
 _case("benchmark_scan", "{ BenchmarkItem { id @output text @output } }", "SELECT item_id AS id, text FROM benchmark")
 _case("label_document", "{ Label { docId @output quality @output document { lang @output nChars @output } } }", "SELECT l.doc_id AS docId, CAST(quality AS BIGINT) AS quality, lang, n_chars AS nChars FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
 _case(
     "list_property",
-    '{ Vector { id @output embedding @output label @filter(op: "=", value: ["$l"]) } }',
+    '{ Vector { id @output embedding @output label ?(= $l) } }',
     "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE label = 3",
     l=3,
 )
 _case(
     "pricing",
-    '{ Part { brand @output size @filter(op: "<=", value: ["$small"]) lineitem { quantity @output @filter(op: ">=", value: ["$q"]) order { priority @output status @filter(op: "!=", value: ["$s"]) } } } }',
+    '{ Part { brand @output size ?(<= $small) lineitem { quantity @output ?(>= $q) order { priority @output status ?(!= $s) } } } }',
     """SELECT p_brand AS brand, l_quantity AS quantity, o_orderpriority AS priority FROM part JOIN lineitem ON l_partkey = p_partkey
        JOIN orders ON o_orderkey = l_orderkey WHERE p_size <= 10 AND l_quantity >= 40 AND o_orderstatus <> 'O'""",
     small=10,

@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.schema import DIRECTIVES, Schema
+from vertexloom.schema import Schema
 from vertexloom.sources.spec import Get, Source
 
-_NUMBER = "name: String  value: Int  vowelsInName: [String]  predecessor: Number  successor: Number!  multiple(max: Int!): [Composite!]"
+_NUMBER = "vowelsInName: [String]  value: Int  name: String  multiple(max: Int!): [Composite!]  successor: Number!  predecessor: Number"
 SDL = f"""
 schema {{ query: RootSchemaQuery }}
-{DIRECTIVES}
 type RootSchemaQuery {{
-  Number(min: Int! = 0, max: Int!): [Number!]
-  NumberImplicitNullDefault(min: Int, max: Int!): [Number!]
-  Zero: Number!
-  One: Number!
-  Two: Prime!
-  Four: Composite!
+  Four: Composite!  Two: Prime!  One: Number!  Zero: Number!
+  NumberImplicitNullDefault(max: Int!, min: Int): [Number!]
+  Number(max: Int!, min: Int! = 0): [Number!]
 }}
 interface Named {{ name: String }}
 interface Number implements Named {{ {_NUMBER} }}

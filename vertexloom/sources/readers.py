@@ -13,7 +13,7 @@ from vertexloom.sources.spec import Get, Source
 # weather
 
 WEATHER_SDL = schema_sdl(
-    "MetarReport: [MetarReport] LatestMetarReportForAirport(airport_code: String!): MetarReport",
+    "LatestMetarReportForAirport(airport_code: String!): MetarReport MetarReport: [MetarReport]",
     vertex_sdl(
         "MetarReport",
         String="raw_report station_id",
@@ -32,7 +32,9 @@ METAR_COLUMNS = (
     "three_hr_pressure_tendency_mb max_t_c min_t_c max_t24hr_c min_t24hr_c precip_in pcp3hr_in pcp6hr_in pcp24hr_in snow_in vert_vis_ft metar_type elevation_m"
 ).split()
 _HEADER = ["sky_cover" if c.startswith("sky_cover") else "cloud_base_ft_agl" if c.startswith("cloud_base") else c for c in METAR_COLUMNS]
-_SIGHT = r"[A-Z]{4} \d{6}Z (?:AUTO )?(?:(?:(?:VRB|[0-9/]{3})[0-9/]{2}(?:G[0-9/]{2})?(?:MPS|KPH|KT)?|/{5}) )?(?:[0-9/]{3}V[0-9/]{3} )?([0-9]{4}|CAVOK|[0-9/ ]+SM) "
+_SOME, _UNIT = "[0-9/]", "(?:KT|MPS|KPH)?"
+_WIND = f"(?:(?://///|(?:{_SOME}{{3}}|VRB){_SOME}{{2}}(?:G{_SOME}{{2}})?{_UNIT}) )?(?:{_SOME}{{3}}V{_SOME}{{3}} )?"
+_SIGHT = rf"[A-Z]{{4}} [0-9]{{6}}Z (?:AUTO )?{_WIND}(CAVOK|[0-9]{{4}}|[0-9/ ]+SM) "
 _METRES_A_MILE = 1609.344
 
 
@@ -97,7 +99,7 @@ def weather_source(spark: SparkSession, path: str, check_header: bool = True) ->
 # feeds
 
 FEEDS_SDL = schema_sdl(
-    "Feed: [Feed!]! FeedAtUrl(url: String!): Feed",
+    "FeedAtUrl(url: String!): Feed Feed: [Feed!]!",
     vertex_sdl("Feed", String="feed_type id language?", Int="ttl?", edges="entries: [FeedEntry] links: [FeedLink] logo: ChannelImage title: FeedText rights: FeedText description: FeedText"),
     vertex_sdl("FeedText", String="content content_type src?"),
     vertex_sdl("FeedEntry", String="source? id", edges="summary: FeedText title: FeedText rights: FeedText links: [FeedLink] content: FeedContent"),
@@ -148,7 +150,7 @@ def feeds_source(spark: SparkSession, *paths: str) -> Source:
 
 _ITEM = {"Int": "unixTime id", "String": "url"}
 NEWS_SDL = schema_sdl(
-    "Top(max: Int): [Item!]! Latest(max: Int): [Story!]! FrontPage: [Item!]! User(name: String!): User",
+    "Latest(max: Int): [Story!]! Top(max: Int): [Item!]! User(name: String!): User FrontPage: [Item!]!",
     vertex_sdl("Item", interface=True, **_ITEM),
     vertex_sdl("Job", "Item", Int="score unixTime id", String="title url"),
     vertex_sdl("Story", "Item", Int="commentsCount score unixTime id", String="title url byUsername submittedUrl? text?", edges="comment: [Comment!] byUser: User!"),

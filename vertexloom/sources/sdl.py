@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from vertexloom.plans.directives import Node, query_tree
 from vertexloom.plans.frontend import TYPENAME
-from vertexloom.schema import DIRECTIVES, Schema
+from vertexloom.schema import Schema
 from vertexloom.syntax import parse_query
 
 
@@ -19,7 +19,7 @@ def vertex_sdl(name: str, implements: str = "", interface: bool = False, edges:
 
 
 def schema_sdl(roots: str, *types: str, query: str = "RootSchemaQuery") -> str:
-    return "\n".join([f"schema {{ query: {query} }}", DIRECTIVES, f"type {query} {{ {roots} }}", *types])
+    return "\n".join([f"schema {{ query: {query} }}", f"type {query} {{ {roots} }}", *types])
 
 
 def skeleton(schema: Schema) -> str:

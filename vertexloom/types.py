@@ -6,7 +6,7 @@ import math
 import re
 from dataclasses import dataclass, replace
 
-BUILTIN = ("Int", "Float", "String", "Boolean", "ID")
+BUILTIN = ("Boolean", "Float", "ID", "Int", "String")
 MAX_LISTS = 30
 LOW, HIGH = -(1 << 63), (1 << 64) - 1
 _TEXT = re.compile(r"(?P<open>\[*)(?P<name>[A-Za-z_][A-Za-z0-9_]*)(?P<close>[!\]]*)")
