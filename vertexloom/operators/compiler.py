@@ -34,6 +34,7 @@ class Compiler:
         self.needed: dict[int, set[str]] = defaultdict(set)
         self.absent: set[int] = set()
         self.fold_parent: dict[int, int] = {}
+        self.selective = False  # some filter with a constant has been applied
         self._survey(query.component)
         while self._copy_needs(query.component):
             pass
@@ -117,6 +118,7 @@ class Compiler:
             fits = F.col(self.name(v.vid, TYPENAME)).isin(self.schema.concrete(v.type_name))
             df = df.where(~self.exists(v.vid) | F.coalesce(fits, F.lit(False)) if v.vid in self.absent else fits)
         for p in v.filters:
+            self.selective |= isinstance(p.right, ir.VariableRef)
             df = df.where(self.keep_if(p))
         return df
 
@@ -221,6 +223,9 @@ class Compiler:
             inner = self.far(edge, target, s.parameters, names, to, ordered, self.hints(v, s.component))
             inner = inner.where(_all(F.col(f"{to}key{i}").isNotNull() for i in range(len(edge.on))))
             inner = inner.withColumnsRenamed({f"{to}key{i}": own + a for i, (a, _) in enumerate(edge.on)})
+            if self.selective and ordered:  # lists don't shrink before the shuffle: collect only those asked for
+                few = (df.where(self.exists(s.from_vid)) if below else df).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).distinct()
+                inner = inner.join(few, _all(F.col(k) == F.col(f"k{i}") for i, k in enumerate(keys)), "left_semi")
         else:
             start = df.where(self.exists(s.from_vid)) if below else df
             absent, self.absent = self.absent, self.absent - {s.from_vid}

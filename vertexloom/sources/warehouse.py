@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vertexloom.schema import Schema
 from vertexloom.sources.spec import Source
@@ -58,6 +59,19 @@ type BenchmarkItem {{ id: Int!  text: String! }}
 """
 
 
+_schemas: dict[tuple[str, int], StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; its schema is looked up once as long as the file or folder stays as it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place)
+    key = (path, status.getModificationTime())
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
 def _micros(column: str):
     """Microseconds since 1970, whatever the session's time zone."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
@@ -68,7 +82,7 @@ def warehouse_source(spark: SparkSession, sf_dir: str) -> Source:
 
     def read(name: str, prefix: str = "", made: dict[str, Column] | None = None, **renamed: str) -> Callable[[], DataFrame]:
         def rows() -> DataFrame:
-            df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            df = read_table(spark, f"{sf_dir}/{name}.parquet")
             df = df.select(*[F.col(c).alias(renamed.get(c, c.removeprefix(prefix))) for c in df.columns])
             return df.withColumns(made) if made else df
 
