@@ -105,7 +105,9 @@ class Compiler:
             right = literal(constant, self.query.variables[p.right.name])
         elif p.right is not None:
             right = F.col(self.ref_name(p.right.ref))
-        out = predicate(p.op, F.col(self.ref_name(p.left)), right, constant, has, filtering=True)
+        right_type = p.right.ref.type if isinstance(p.right, ir.TagRef) else None
+        never_null = (has and constant is not None) or not p.left.type.is_nullable or (right_type is not None and not right_type.is_nullable)
+        out = predicate(p.op, F.col(self.ref_name(p.left)), right, constant, has, filtering=True, never_null=never_null)
         owners = {self.owner(p.left)} | ({self.owner(p.right.ref)} if isinstance(p.right, ir.TagRef) else set())
         for vid in sorted(owners & self.absent):
             out = ~self.exists(vid) | out

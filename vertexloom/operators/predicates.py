@@ -27,11 +27,12 @@ def literal(value, kind: Type) -> Column:
     return build(value).cast(target)
 
 
-def predicate(op: str, left: Column, right: Column | None = None, constant=None, has_constant: bool = False, filtering: bool = False) -> Column:
+def predicate(op: str, left: Column, right: Column | None = None, constant=None, has_constant: bool = False, filtering: bool = False, never_null: bool = False) -> Column:
     """``left op right``; ``constant`` is the right side's value where it is known now.
 
     With ``filtering`` an outcome of false may be null instead: in a filter both drop
-    the row, and the bare comparison reaches the scan.
+    the row, and the bare comparison reaches the scan.  With ``never_null`` one side is
+    known to hold a value, so equality needs no regard for nulls.
     """
     if op.startswith("not_"):
         return ~predicate(op[4:], left, right, constant, has_constant)
@@ -45,7 +46,7 @@ def predicate(op: str, left: Column, right: Column | None = None, constant=None,
         case "is_not_null":
             return left.isNotNull()
         case "=":
-            return left.eqNullSafe(right)
+            return left == right if filtering and never_null else left.eqNullSafe(right)
         case "!=":
             return ~left.eqNullSafe(right)
         case "<":
