@@ -141,13 +141,14 @@ def _frequencies(weights: dict[str, float]):
 def train(df: DataFrame, where: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", bound: int = BOUND) -> Centroids:
     """Learn from the rows of ``df`` with a text and a language for which ``where`` holds."""
     ship(df.sparkSession)
-    known = df.where(F.lit(True) if where is None else where).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(LANGUAGES + 1).collect()}
+    taught = df.where(F.lit(True) if where is None else where).where(F.col(lang_col).isNotNull())  # counted without reading texts
+    sizes = {r[0]: r[1] for r in taught.groupBy(lang_col).count().limit(LANGUAGES + 1).collect()}
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     langs = tuple(sorted(sizes))
     if not langs:
         return Centroids((), np.zeros(0, int), np.zeros((0, 1 << BITS), np.float32), np.ones(1 << BITS, np.float32), np.zeros(0))
+    known = taught.where(F.col(text_col).isNotNull())
     text = text_of(known, text_col)
     weights = {lang: 1 / (n * len(langs)) for lang, n in sizes.items()}
     shares = known.select(lang_col, text.alias("__text")).mapInArrow(_frequencies(weights), "g bigint, p double").groupBy("g").agg(F.sum("p"))
