@@ -14,7 +14,8 @@ lang are learned from.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text if there is nothing to learn from.  Texts are read whole.  Repeated rows
-are labelled each; an empty table gives an empty table.  Input columns
+are labelled each; an empty table gives an empty table.  In the query a null doc_id
+is in neither fold: ``held_out`` is null, and nothing is learned from the row.  Input columns
 named as a result column are replaced.
 """
 

@@ -12,7 +12,8 @@ lang, source and doc_id are no features.
 
 Cases: null, empty and wordless texts score by the bias alone.  Without labels, or
 with one class only, the score is the smoothed share of label 1.  Texts are read
-whole.  Repeated rows are scored each; an empty table gives an empty table.
+whole.  Repeated rows are scored each; an empty table gives an empty
+table.  In the query a null doc_id is in neither fold (``held_out`` is null).
 Input columns named as a result column are replaced.
 """
 
