@@ -208,10 +208,9 @@ def lists(of: list, kind: pa.DataType) -> pa.Array:
 
 def encode(df: DataFrame, text_col: str = "text", ranks: str = RANKS, offsets: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Append ``ids`` (array<int>) and, on request, ``piece_starts`` (array<int>), the code point at which each pre-token begins."""
-    path = tokenizer_file(ranks)
 
     def run(texts: pa.Array) -> pa.Array:
-        e, ids, at, sizes = encoder(path), [], [], []
+        e, ids, at, sizes = encoder(tokenizer_file(ranks)), [], [], []
         for part in steps(texts, STEP):
             i, s = e.encode(part.to_pylist())
             sizes += [len(x) // 4 for x in i]
@@ -225,10 +224,9 @@ def encode(df: DataFrame, text_col: str = "text", ranks: str = RANKS, offsets: b
 
 def decode(df: DataFrame, ids_col: str = "ids", ranks: str = RANKS, keep: list[str] | None = None) -> DataFrame:
     """Append ``decoded`` (binary), the bytes that the ids stand for; null ids give empty bytes."""
-    path = tokenizer_file(ranks)
 
     def run(ids: pa.Array) -> pa.Array:
-        e, flat = encoder(path), ids.flatten().to_numpy(zero_copy_only=False)
+        e, flat = encoder(tokenizer_file(ranks)), ids.flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
         out, bounds, done = [], np.zeros(len(ids) + 1, np.int32), 0
         for at in range(0, len(flat), STEP):

@@ -168,10 +168,9 @@ def counter(path: str) -> PieceCounter:
 
 def count_tokens(df: DataFrame, text_col: str = "text", model: str = MODEL, limit: int = 4096) -> DataFrame:
     """Append ``n_bytes``, ``n_tokens`` (long) and ``over_limit`` (more than ``limit`` tokens)."""
-    path = tokenizer_file(model)
 
     def run(texts: pa.Array) -> pa.Array:
-        c = counter(path)
+        c = counter(tokenizer_file(model))  # where this worker has it
         return struct(n_tokens=pa.array([c.count(t.as_py()) for t in texts], pa.int64()))
 
     out = extend(df.withColumn("n_bytes", F.octet_length(text_of(df, text_col)).cast("long")), run, "struct<n_tokens:bigint>", text_of(df, text_col))
