@@ -184,6 +184,25 @@ def test_partitioning_does_not_matter(spark, tiny):
         assert sorted(run(s, text).collect()) == want
 
 
+def test_recursion_expands_only_what_has_the_edge(spark):
+    """Places lead to things; only some things are places, and only those lead on."""
+    schema = Schema("""
+        schema { query: Q }
+        type Q { Place: [Place!] }
+        type Rock implements Thing { id: Int! }
+        type Town implements Place & Thing { id: Int!  road: [Thing!] }
+        interface Place implements Thing { id: Int!  road: [Thing!] }
+        interface Thing { id: Int! }
+    """)
+    roads = spark.createDataFrame([(1, 2), (2, 3), (2, 10), (3, 1), (10, 1)], "a long, b long")
+    things = spark.createDataFrame([(1, "Town"), (2, "Town"), (3, "Town"), (10, "Rock")], "id long, kind string")
+    s = Source(spark, schema).vertex("Thing", things, typename=lambda get: get("kind"), order=["id"]).root("Place")
+    s.edge_table("Place", "road", lambda spark: roads.join(things, roads["b"] == things["id"]).select("a", "id", "kind"), [("id", "a")])
+    got = run(s, "{ Place { start: id @output road @recurse(depth: 3) { id @output kind: __typename @output } } }").collect()
+    assert sorted((r.id, r.kind) for r in got if r.start == 1) == [(1, "Town"), (1, "Town"), (2, "Town"), (3, "Town"), (10, "Rock")]
+    assert {r.start for r in got} == {1, 2, 3}
+
+
 def test_skeletons_and_inferred_schemas(spark, tiny):
     schema = warehouse_source(spark, tiny).schema
     text = sdl.skeleton(schema)
