@@ -6,15 +6,32 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.functions.shipping import ship
 
-_POSIX = {"alpha": r"\p{L}", "digit": r"\p{Nd}", "alnum": r"\p{L}\p{Nd}", "upper": r"\p{Lu}", "lower": r"\p{Ll}", "space": r"\s", "punct": r"\p{Punct}"}
-
-
-def _walk(pattern: str, end: str, posix: bool) -> str:
+#: Named classes inside brackets; they are ASCII in the dialect.
+_POSIX = {
+    "alpha": "A-Za-z",
+    "digit": "0-9",
+    "alnum": "0-9A-Za-z",
+    "upper": "A-Z",
+    "lower": "a-z",
+    "word": "0-9A-Za-z_",
+    "xdigit": "0-9A-Fa-f",
+    "blank": r"\t ",
+    "space": r"\t\n\x0B\f\r ",
+    "punct": r"!-/:-@\[-`{-~",
+    "graph": "!-~",
+    "print": " -~",
+    "cntrl": r"\x00-\x1F\x7F",
+    "ascii": r"\x00-\x7F",
+}
+
+
+def _walk(pattern: str, end: str) -> str:
     """Replace what differs; raise ValueError at what the dialect doesn't have."""
     out, i, inside, multiline = [], 0, 0, False
     while i < len(pattern):
@@ -27,7 +44,9 @@ def _walk(pattern: str, end: str, posix: bool) -> str:
             i += 2
             continue
         if inside:
-            if c == "[" and pattern[i + 1 : i + 2] == ":" and posix and (m := re.match(r"\[:(\w+):\]", pattern[i:])) and m[1] in _POSIX:
+            if c == "[" and (m := re.match(r"\[:(\^?\w+):\]", pattern[i:])):
+                if m[1] not in _POSIX:
+                    raise ValueError(f"not supported: {m[0]}")
                 out.append(_POSIX[m[1]])
                 i += m.end()
                 continue
@@ -53,14 +72,17 @@ def _walk(pattern: str, end: str, posix: bool) -> str:
 
 def java(pattern: str) -> str:
     """For ``rlike``: Unicode classes, a dot that stops at \\n only, an end that is the end."""
-    text = _walk(pattern, r"\z", True).replace("(?P<", "(?<")
-    python(pattern)
+    text = _walk(pattern, r"\z").replace("(?P<", "(?<")
+    try:
+        python(pattern)
+    except regex.error as e:
+        raise ValueError(str(e)) from None
     return "(?Ud)" + text
 
 
 @lru_cache(maxsize=4096)
-def python(pattern: str) -> re.Pattern:
-    return re.compile(_walk(pattern, r"\Z", False))
+def python(pattern: str) -> regex.Pattern:
+    return regex.compile(_walk(pattern, r"\Z"))
 
 
 def _matches(text: pd.Series, pattern: pd.Series) -> pd.Series:
@@ -69,7 +91,7 @@ def _matches(text: pd.Series, pattern: pd.Series) -> pd.Series:
             return False
         try:
             return python(p).search(t) is not None
-        except (ValueError, re.error):
+        except (ValueError, regex.error):
             return False  # a pattern that isn't one matches nothing
 
     return pd.Series([one(t, p) for t, p in zip(text, pattern)], dtype=bool)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from vertexloom.errors import ArgumentError, raise_all
 from vertexloom.functions import regex
 from vertexloom.plans import ir
@@ -24,7 +22,7 @@ def bind(query: ir.Query, arguments: dict[str, object]) -> dict[str, object]:
         if p.op in ("regex", "not_regex") and isinstance(p.right, ir.VariableRef):
             try:
                 regex.java(arguments[p.right.name])
-            except (ValueError, re.error) as e:
+            except ValueError as e:
                 raise ArgumentError("InvalidPattern", p.right.name, arguments[p.right.name], e) from None
     return {n: list(v) if isinstance(v, tuple) else v for n, v in arguments.items()}
 

@@ -317,7 +317,7 @@ EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
            SELECT v AS value, list(f ORDER BY f) AS factors FROM d WHERE f IN (SELECT v FROM p) GROUP BY v""",
     ),
     "recurse_param": (
-        lambda spark, sf_dir: execute_query(numbers_source(spark), "{ Four { value @output multiple(max: 2) @recurse(depth: 2) { to: value @output } } }"),
+        lambda spark, sf_dir: execute_query(numbers_source(spark), "{ Four { multiple(max: 2) @recurse(depth: 2) { to: value @output } value @output } }"),
         "SELECT CAST(4 AS BIGINT) AS value, CAST(v AS BIGINT) AS \"to\" FROM (VALUES (4), (4), (8), (4), (8), (8), (16)) t(v)",
     ),
     "json_sink": (_json_sink, "SELECT '{\"key\":' || r_regionkey || ',\"name\":\"' || r_name || '\"}' AS json FROM region"),
