@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm import packing, pii, quality_model, quality_rules, simhash, token_count
-from vertexloom.llm.common import shared_dir, table
+from vertexloom.llm.common import Shared, fresh, shared_dir, table
 
 #: Tokens in a bin.
 WINDOW = 4096
@@ -27,17 +27,19 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each group of near duplicates, the document of the smallest id stays.
+    """Operator 2: of each group of near duplicates, the row of the smallest id stays.
 
-    Rows without id can't be named and all stay; of rows that repeat an id, one stays.
+    Rows count as documents of their own, whether they repeat an id or have none: they
+    are told apart by a number, which is written with them so that it can't change.  Of
+    rows of equal id the first stays; a row without id stays only where no other row of
+    its group has one.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1)
-    if again.isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    row = fresh(docs, "__row")
+    rows = Shared(spark).save(docs.withColumn(row, F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))
+    groups = simhash.near_duplicates(rows.select(key.alias("key"), "text"), "key")
+    stay = groups.where("key.row = component_id.row").select(F.col("key.row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

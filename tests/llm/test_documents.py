@@ -259,6 +259,18 @@ def test_stage_decisions(spark, tiny):
         assert clean[i].n_chars == len(clean[i].text) and all(t[a:b] not in clean[i].text for a, _, b in plain_spans(t))
 
 
+def test_near_duplicates_are_told_apart_by_row(spark, tiny):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma", "delta"))
+    rows = [(5, one), (1, one), (5, two), (9, two)]  # a copy in one group, the representative of another
+    rows += [(7, three), (7, four)]  # unlike texts of one id
+    rows += [(None, "lone " + three)] * 50 + [(None, four)] * 50  # copies without id, alone and beside one
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__row", F.lit("mine")).repartition(5)
+    out = corpus_pipeline.near_duplicates(spark, docs, tiny)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, one), (5, two), (7, three), (7, four), (None, "lone " + three)], key=str)
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages_take_odd_rows(spark, tiny, stage):
     body = " ".join(f"word{i}" for i in range(80))
