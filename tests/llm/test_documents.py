@@ -114,6 +114,21 @@ def test_skip_edges_carry_labels(field):
     assert again and set(base) <= set(every)
 
 
+def test_evidence_reaches_every_occurrence():
+    import numpy as np
+
+    labels = len(pii.KINDS) + 1
+    alike = 10 * np.eye(labels) - 5
+    field = pii.Field({"bias": 0}, np.zeros((1, labels)), np.zeros((labels, labels)), alike)
+    text = "call +1 (988) 555-2485 today" + " or just 555-2485 later" * 50
+    other = "on 2024-05-17 " * 3
+    ((base, every),) = field.spans([text])
+    assert len(base) == 1 and len(every) == 51 and {k for _, k, _ in every} == {3}
+    assert field.spans([other, text, other])[1] == (base, every)
+    swing = pii.Field({"bias": 0}, np.zeros((1, labels)), -alike, -alike)  # no labelling pleases all edges
+    assert np.isfinite(swing.marginals([pii.read("1111 2222 1111 2222 " * 200, [])])).all()
+
+
 def test_clean_texts_have_no_spans(field):
     clean = ["Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0", "in 1999 and 2024", "", None, "no digits here", "chapter 3."]
     assert all(not every for _, every in field.spans(clean))
