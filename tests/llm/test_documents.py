@@ -129,6 +129,16 @@ def test_evidence_reaches_every_occurrence():
     assert np.isfinite(swing.marginals([pii.read("1111 2222 1111 2222 " * 200, [])])).all()
 
 
+def test_secrets_without_digits(spark, field):
+    texts = ["password: hunterhunter, he said", "set token=abcdefgh now", "API-KEY\n= swordfish", "a pa\u017f\u017fword: hunterhunter", f"AKIA{'ABCD' * 4} here", f'"{"abcdef" * 6}"', "the password is plain"]
+    values = ["hunterhunter", "token=abcdefgh", "swordfish", "hunterhunter", "AKIA" + "ABCD" * 4, "abcdef" * 6]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.find(df, field).collect()}
+    assert every == {i: [("secret", v)] for i, v in enumerate(values)} | {6: []}
+    clean = {r.doc_id: r.text for r in pii.redact(df, field).collect()}
+    assert clean[0] == "password: [SECRET], he said" and clean[6] == texts[6]
+
+
 def test_clean_texts_have_no_spans(field):
     clean = ["Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0", "in 1999 and 2024", "", None, "no digits here", "chapter 3."]
     assert all(not every for _, every in field.spans(clean))

@@ -2,11 +2,12 @@
 
 Base patterns find e-mail addresses, IPv4 addresses, card and phone numbers; what
 they find always stays.  The field adds spans: its nodes are the words that hold a
-digit or ``@`` (any other word can carry no label, which cuts the chain exactly
-there), with potentials for a word's own features, for neighbouring nodes, and for
+digit or ``@`` or in which a secret ends (any other word can carry no label, which cuts
+the chain exactly there), with potentials for a word's own features, for neighbouring nodes, and for
 skip edges between occurrences of the same or a similar word anywhere in the
 document.  An occurrence is linked to the next one, so a document has no more skip
-edges than words.  Words under base spans enter as evidence, and loopy message
+edges than words.  Words under base spans and
+under secret formats enter as evidence, and loopy message
 passing carries it along skip edges, over any number of them until the messages
 rest: a number that is a phone number in one place is one where it is written
 without its country code too.
@@ -50,6 +51,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?)\S{6,}|\"[0-9a-f]{32,64}\"")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MARKED = re.compile(r"[0-9@]")
+#: What a text holds that has a secret without digits, for Spark: at least what ``_SECRET`` finds.
+_KEYWORD = r"(?siu)(?:password|passwd|pwd|secret|token|api[_-]?key).?[=:]|A[KS]IA[0-9A-Z]{16}|\"[a-f]{32}"
 _RUNS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]")
 _EDGE = "\"'`,;:!?.()[]{}<>|*$%&"
 
@@ -120,14 +123,19 @@ class Document:
     near: list[tuple[int, int]]
     skip: list[tuple[int, int]]
     base: list[int]  # label of a node under a base span, 0 if none
+    secret: list[bool]  # whether a secret format ends in the node
 
 
 def read(text: str, found: list[tuple[int, int, int]]) -> Document:
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    doc, last, previous, f = Document([], [], [], [], []), {}, -2, 0
+    secrets = [m.end() for m in _SECRET.finditer(text)]
+    doc, last, previous, f, s = Document([], [], [], [], [], []), {}, -2, 0, 0
     for i, (a, b) in enumerate(words):
         raw = text[a:b]
-        if not _MARKED.search(raw):
+        while s < len(secrets) and secrets[s] <= a:
+            s += 1
+        secret = s < len(secrets) and secrets[s] <= b
+        if not secret and not _MARKED.search(raw):
             continue
         word = raw.strip(_EDGE)
         start = a + len(raw) - len(raw.lstrip(_EDGE))
@@ -136,8 +144,9 @@ def read(text: str, found: list[tuple[int, int, int]]) -> Document:
         doc.names.append(_feature_names(word, text[slice(*words[i - 1])] if i else "", text[slice(*words[i + 1])] if i + 1 < len(words) else ""))
         while f < len(found) and found[f][2] <= a:
             f += 1
-        under = [k for s, k, e in found[f : f + 5] if s < b and e > a]
+        under = [k for x, k, e in found[f : f + 5] if x < b and e > a]
         doc.base.append(under[0] + 1 if under else 0)
+        doc.secret.append(secret and not under)
         if previous == i - 1:
             doc.near.append((n - 1, n))
         previous = i
@@ -175,6 +184,7 @@ class Field:
             np.add.at(own, r, self.weight[f])
         base = np.array([b for d in docs for b in d.base], int)
         own[np.flatnonzero(base), base[base > 0]] += EVIDENCE
+        own[np.array([x for d in docs for x in d.secret], bool), KINDS.index("secret") + 1] += EVIDENCE
         shift = np.concatenate([[0], np.cumsum(sizes)])
         edges = [(a + s, b + s, t) for d, s in zip(docs, shift) for t, pairs in enumerate((d.near, d.skip)) for a, b in pairs]
         if not edges or not len(own):
@@ -208,7 +218,7 @@ class Field:
     def spans(self, texts: list[str | None]) -> list[tuple[list, list]]:
         """For each text its base spans and all spans, both sorted (start, kind, end)."""
         base = [base_spans(t) if t else [] for t in texts]
-        at = [i for i, t in enumerate(texts) if t and _MARKED.search(t)]
+        at = [i for i, t in enumerate(texts) if t and (_MARKED.search(t) or _SECRET.search(t))]
         docs = [read(texts[i], base[i]) for i in at]
         chance = self.marginals(docs)
         out = [(b, b) for b in base]
@@ -292,14 +302,14 @@ def fit(nodes: Counter, near: Counter, skip: Counter, rounds: int = 300) -> Fiel
 
 
 def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", bound: int = BOUND) -> Field:
-    """Fit on the texts with a digit or ``@`` among about ``bound`` rows drawn by hash."""
+    """Fit on the texts that can hold something among about ``bound`` rows drawn by hash."""
 
     def run(texts: pa.Array) -> pa.Array:
         lessons = [_lesson(t) for t in texts.to_pylist()]
         kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
         return struct(**{n: pa.array([x[i] for x in lessons], k) for i, (n, k) in enumerate(zip(("nodes", "near", "skip"), kinds))})
 
-    drawn = df.where(hash_share(F.col(id_col)) < share(bound, df.count())).where(df[text_col].rlike("[0-9@]"))
+    drawn = df.where(hash_share(F.col(id_col)) < share(bound, df.count())).where(_holds(df[text_col]))
     got = extend(drawn, run, "struct<nodes:array<string>,near:array<int>,skip:array<int>>", text_of(drawn, text_col), [])
 
     def tagged(c: str, kind: int) -> Column:
@@ -331,7 +341,11 @@ def find(df: DataFrame, model: Field, text_col: str = "text", keep: list[str] |
 def _marked(df: DataFrame, text_col: str) -> Column:
     """The text, or null if it can hold nothing: most texts then never leave the JVM."""
     text = df[text_col].cast("string")
-    return F.when(text.rlike("[0-9@]"), text)
+    return F.when(_holds(text), text)
+
+
+def _holds(text: Column) -> Column:
+    return text.rlike("[0-9@]") | text.rlike(_KEYWORD)
 
 
 def redact(df: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
