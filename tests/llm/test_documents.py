@@ -242,6 +242,14 @@ def test_pack_documents(spark):
     assert packing.pack_documents(df.limit(0), F.octet_length("text")).count() == 0
 
 
+def test_sources_below_a_sixteenth_have_quotas(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 20).alias("source"))
+    out = packing.pack_documents(df, F.lit(100), source=df["source"]).cache()
+    bins = out.select("bin_id").distinct().count()
+    assert out.count() == 4000 and 4000 * 101 / (bins * packing.CAPACITY) > 0.7  # 0.12 with one document of a source a bin
+    assert out.join(df, "doc_id").groupBy("bin_id", "source").count().agg(F.max("count")).first()[0] <= 13
+
+
 def test_packing_query(spark, tiny):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     got = packing.op5_best_fit_packing(spark, tiny).collect()

@@ -8,13 +8,12 @@ by one task, longest rest first.
 
 Open bins stand in order of what they have left, as a bitmap over residuals.  A
 bin carries a bitmap of its sources and one of its duplicate clusters.  It may hold one
-document of a cluster, and one of a source; a source with at least 1/16 of all
-units, of which there are at most 16, may take as many places in a bin as its share
-calls for.  The successor search starts at the smallest residual that fits
+document of a cluster, and of a source as many as its share of all units calls for,
+which is one for a rare source.  The successor search starts at the smallest residual that fits
 and goes on until a bin without conflict is found, which is the tightest one; if
 there is none, a bin is opened.  Copies of equal length follow one another, so a
 search resumes where the last one ended: bins passed by still conflict.  For hot
-sources a bitmap of their own lists the residuals with a bin still open to them.
+sources (at least 1/16 of all units, so at most 16) a bitmap of their own lists the residuals with a bin still open to them.
 
 Cases: null and empty texts take the separator alone.  A null source or cluster
 conflicts with nothing.  Rows that repeat are packed each.  No row is dropped:
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm.common import Shared, ship, table, text_of
 
-#: Units a bin holds (here bytes), rows a group holds, and what share makes a source hot.
+#: Units a bin holds (here bytes), rows a group holds, and what share makes a source hot, which is then indexed.
 CAPACITY, GROUP, HOT = 16_384, 16_384, 16
 SLACK = 1.5
 
@@ -41,7 +40,7 @@ SLACK = 1.5
 class Bins:
     """Open bins of one group, by residual."""
 
-    def __init__(self, capacity: int, quota: dict[int, int]):
+    def __init__(self, capacity: int, quota: dict[int, int], hot: Sequence[int]):
         self.capacity, self.quota = capacity, quota
         self.left: list[int] = []
         self.sources: list[int] = []  # bitmap by bin
@@ -50,9 +49,9 @@ class Bins:
         self.occupied = 0
         self.bits: dict[int, int] = {}  # bits of a source's places
         self.width = 0
-        for s in quota:
+        for s in hot:
             self._places(s)
-        self.open = {s: [0, Counter()] for s in quota}
+        self.open = {s: [0, Counter()] for s in hot}
         self.resume = (None, 0, 0)
 
     def _places(self, source: int) -> int:
@@ -129,11 +128,11 @@ class Bins:
         return b, offset
 
 
-def pack(sizes: Sequence[int], sources: Sequence[int], clusters: Sequence[int], capacity: int, quota: dict[int, int]):
-    """(bin, offset) of each rest, in the given order; a source or cluster below 0 is none."""
+def pack(sizes: Sequence[int], sources: Sequence[int], clusters: Sequence[int], capacity: int, quota: dict[int, int], hot: Sequence[int] | None = None):
+    """(bin, offset) of each rest, in the given order; a source or cluster below 0 is none.  ``hot`` sources, by default all with a quota, are indexed."""
     many = Counter(c for c in clusters if c >= 0)
     number: dict[int, int] = {}
-    bins = Bins(capacity, quota)
+    bins = Bins(capacity, quota, list(quota) if hot is None else hot)
     out = []
     for size, s, c in zip(sizes, sources, clusters):
         bit = 1 << number.setdefault(c, len(number)) if c >= 0 and many[c] > 1 else 0
@@ -141,21 +140,21 @@ def pack(sizes: Sequence[int], sources: Sequence[int], clusters: Sequence[int],
     return out, len(bins.left)
 
 
-def _pack_group(capacity: int, hot: dict[str, int]):
+def _pack_group(capacity: int, quota: dict[str, int], hot: list[str]):
     body = capacity - 1
 
     def run(t: pa.Table) -> pa.Table:
         group = t.column("group")[0].as_py() if t.num_rows else 0
         n = t.column("n").to_numpy()
         source, cluster = t.column("source").to_pylist(), t.column("cluster").to_pylist()
-        names: dict[str, int] = {s: i for i, s in enumerate(hot)}
+        names: dict[str, int] = {s: i for i, s in enumerate(quota)}
         code = np.array([-1 if s is None else names.setdefault(s, len(names)) for s in source], np.int64)
         kinds: dict[int, int] = {}
         dup = np.array([-1 if c is None else kinds.setdefault(c, len(kinds)) for c in cluster], np.int64)
         full = np.maximum(n - 1, 0) // body  # pieces that fill a bin, before the rest
         rest = n - full * body + 1
         order = np.lexsort((t.column("row").to_numpy(), code, dup, -rest))
-        spots, used = pack(rest[order].tolist(), code[order].tolist(), dup[order].tolist(), capacity, {names[s]: q for s, q in hot.items()})
+        spots, used = pack(rest[order].tolist(), code[order].tolist(), dup[order].tolist(), capacity, {names[s]: q for s, q in quota.items()}, [names[s] for s in hot])
         pieces = full + 1
         doc = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -182,13 +181,14 @@ def pack_documents(df: DataFrame, units: Column, id_col: str = "doc_id", source:
     slim = shared.save(slim.withColumn("row", F.monotonically_increasing_id()))
     count, total = slim.agg(F.count("*"), F.coalesce(F.sum(F.col("n") + 1), F.lit(0))).first()
     by_source = slim.where("source IS NOT NULL").groupBy("source").agg(F.sum(F.col("n") + 1).alias("u"))
-    large = by_source.where(F.col("u") * HOT >= total).collect()  # at most HOT rows
     in_a_bin = max(1.0, capacity * count / max(total, 1))
-    hot = {s: max(1, int(np.ceil(u / total * in_a_bin * SLACK))) for s, u in sorted(large, key=lambda x: x[0])}
+    large = by_source.where((F.col("u") * HOT >= total) | (F.col("u") * in_a_bin * SLACK > total)).collect()  # at most capacity * SLACK rows
+    quota = {s: max(1, int(np.ceil(u / total * in_a_bin * SLACK))) for s, u in sorted(large, key=lambda x: x[0])}
+    hot = sorted(s for s, u in large if u * HOT >= total)
     groups = max(1, -(-count // group))
     dealt = slim.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     kind = slim.schema["id"].dataType.simpleString()
-    out = dealt.groupBy("group").applyInArrow(_pack_group(capacity, hot), f"id {kind}, piece int, piece_start bigint, n_units bigint, bin_id bigint, bin_offset bigint")
+    out = dealt.groupBy("group").applyInArrow(_pack_group(capacity, quota, hot), f"id {kind}, piece int, piece_start bigint, n_units bigint, bin_id bigint, bin_offset bigint")
     return out.withColumnRenamed("id", id_col)
 
 
