@@ -259,6 +259,18 @@ def test_packing_query(spark, tiny):
     assert total == {i: len(r.text.encode()) for i, r in docs.items()}
 
 
+def test_near_copies_conflict(spark, tmp_path):
+    body = [f"word{i}" for i in range(200)]
+    texts = [" ".join(body[:k] + ["other"] + body[k + 1 :]) for k in range(0, 200, 20)] + [" ".join(body), " ".join(body).upper(), "", None]
+    rows = [(None if i % 2 else 5, t, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    near = packing.simhash.near_duplicates(spark.createDataFrame([(i, t.lower()) for i, t in enumerate(texts[:12])], "doc_id long, text string"))
+    largest = max(Counter(r.component_id for r in near.collect()).values())
+    got = packing.op5_best_fit_packing(spark, str(tmp_path)).collect()
+    assert largest > 2 and sum(r.piece == 0 for r in got) == len(rows)
+    assert len({r.bin_id for r in got}) == largest  # two bins would hold them all
+
+
 # pipeline
 
 

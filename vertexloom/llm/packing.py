@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.llm import simhash
 from vertexloom.llm.common import Shared, ship, table, text_of
 
 #: Units a bin holds (here bytes), rows a group holds, and what share makes a source hot, which is then indexed.
@@ -199,6 +200,15 @@ def text_cluster(df: DataFrame, text_col: str = "text") -> Column:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths in UTF-8 bytes, as a byte-level model reads them; clusters of equal texts."""
-    docs = table(spark, sf_dir, "documents")
-    return pack_documents(docs, F.octet_length(text_of(docs, "text")), source=docs["source"], cluster=text_cluster(docs))
+    """Lengths in UTF-8 bytes, as a byte-level model reads them; clusters of near copies.
+
+    Clusters are the components of operator 2 over rows and lower-cased texts, so those
+    that are equal but for case share one; texts without a word have none.
+    """
+    docs, shared = table(spark, sf_dir, "documents"), Shared(spark)
+    text = text_of(docs, "text")
+    rows = docs.select("doc_id", "source", F.octet_length(text).alias("units"), F.lower(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = shared.save(simhash.with_fingerprint(rows, "text", ["doc_id", "source", "units", "row"]))
+    near = simhash.linked(rows.select(F.col("row").alias("id"), "fp"), shared).select("fp", "component_id")
+    rows = rows.join(near, "fp")
+    return pack_documents(rows, rows["units"], source=rows["source"], cluster=F.when(rows["fp"] != 0, rows["component_id"]))

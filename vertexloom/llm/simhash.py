@@ -243,6 +243,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(df.sparkSession)
     shared = Shared(df.sparkSession)
     docs = shared.save(with_fingerprint(df.select(df[id_col].alias("id"), df[text_col].alias("text")), "text", ["id"]))
+    return docs.join(linked(docs, shared, hot), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+
+
+def linked(docs: DataFrame, shared: Shared, hot: int = HOT) -> DataFrame:
+    """One row per ``fp`` of the saved ``docs`` (id, fp): ``fp``, ``n_near`` and ``component_id``."""
     classes = shared.save(docs.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")))
     rows, done, paths = _spread(classes.select("fp", "n", F.lit("").alias("path")), [""]), None, [""]
     while True:
@@ -261,8 +266,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     about = classes.join(links, "fp", "left").join(star.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "n", "least", "links", F.coalesce("b", "fp").alias("root"))
     smallest = about.groupBy("root").agg(F.min("least").alias("component_id"))
-    about = about.join(smallest, "root").select("fp", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_near"), "component_id")
-    return docs.join(about, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+    return about.join(smallest, "root").select("fp", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_near"), "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
