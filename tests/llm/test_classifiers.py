@@ -50,6 +50,15 @@ def test_language_odd_rows(spark, docs):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_language_of_mostly_null_texts(spark):
+    import pyarrow as pa
+
+    rows = [(i, f"the house and the garden {i}", "en") for i in range(40)] + [(100 + i, None, "fr") for i in range(3000)] + [(5000 + i, f"la maison est dans le jardin {i}", "fr") for i in range(20)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bound=40)
+    assert {model.langs[k] for k in model.owner} == {"en", "fr"}
+    assert model.predict(pa.array(["la maison est dans le jardin"])).field("lang_pred").to_pylist() == ["fr"]
+
+
 def test_language_without_lessons(spark):
     df = spark.createDataFrame([(1, EN, None), (2, None, "fr")], "doc_id long, text string, lang string")
     got = language.identify(df, language.train(df)).collect()
