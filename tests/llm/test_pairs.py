@@ -39,8 +39,8 @@ def test_fingerprints_agree_with_spark_hash(spark):
     assert spark.sql("select xxhash64('a b c') h").first().h % 2**64 == xxhash.xxh64_intdigest(b"a b c", 42)
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT, 3])
-def test_near_duplicates(spark, hot):
+@pytest.mark.parametrize("cell, hot, hub", [(simhash.CELL, simhash.HOT, simhash.HUB), (8, 3, 5)])
+def test_near_duplicates(spark, cell, hot, hub):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(50)]
     texts = [None, "", " \n", "one", "one two", "ONE two", "É é x", "x" * 3000 + " y"]
@@ -53,10 +53,20 @@ def test_near_duplicates(spark, hot):
     texts += ["copy of a text that is found many times"] * 60
     ids = [None, *range(7, len(texts) + 5), 7]
     df = spark.createDataFrame([(i, t, "e") for i, t in zip(ids, texts)], "doc_id long, text string, fingerprint string").repartition(3)
-    got = simhash.near_duplicates(df, hot=hot).collect()
+    got = simhash.near_duplicates(df, cell=cell, hot=hot, hub=hub).collect()
     assert sorted(((r.doc_id, r.fingerprint, r.n_near, r.component_id) for r in got), key=str) == plain_links(ids, texts)
 
 
+def test_fingerprints_over_many_steps(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("aB é\t\n \x1c漢z"), rng.integers(0, 90))) for _ in range(400)] + ["w " * 5000, "long" * 20 + " b c", None, "", "A"]
+    monkeypatch.setattr(simhash, "STEP", 700)
+    monkeypatch.setattr(simhash, "VOTES", 64)
+    assert simhash.fingerprints(pa.array(texts)).tolist() == [plain_fingerprint(t) for t in texts]
+
+
 def test_no_documents(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -67,29 +77,66 @@ def test_query(spark, tiny):
     assert sorted(((r.doc_id, r.fingerprint, r.n_near, r.component_id) for r in got), key=str) == plain_links([r.doc_id for r in docs], [r.text for r in docs])
 
 
-def test_index_finds_every_pair():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**63, 20, dtype=np.uint64)
-    flip = lambda n: np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base[rng.integers(0, 20, 800)] ^ flip(800) ^ flip(800), rng.integers(0, 2**63, 500, dtype=np.uint64)]))
+def gray(fps):
     rank = fps.copy()
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
-    fps = fps[np.argsort(rank)]
+    return fps[np.argsort(rank)]
+
+
+def test_index_finds_every_pair(monkeypatch):
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    flip = lambda n: np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    fps = gray(np.unique(np.concatenate([base[rng.integers(0, 20, 800)] ^ flip(800) ^ flip(800), rng.integers(0, 2**63, 500, dtype=np.uint64)])))
+    monkeypatch.setattr(simhash, "WORK", 300)
     for begins in (np.array([0]), np.array([0, 1, 2, 400, 401, 1000])):
-        bucket = np.searchsorted(begins, np.arange(len(fps)), side="right")
-        want = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 2) & (bucket[:, None] == bucket[None])
+        cell = np.searchsorted(begins, np.arange(len(fps)), side="right")
+        want = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 2) & (cell[:, None] == cell[None])
         got = np.zeros_like(want)
-        for i, j in simhash.GrayIndex(fps, begins).pairs(work=500):
+        index = simhash.GrayIndex(fps, begins)
+        for i, j in index.near(fps, index.cell, np.arange(len(fps))):
             assert not got[i, j].any() and (i < j).all()
             got[i, j] = True
         assert (got == np.triu(want, 1)).all()
 
 
-def test_ranges_cover_all_bits():
-    for path in ("", "0", "12", "201"):
-        fixed, differ, left = simhash.ranges(path)
-        assert sum(left) + fixed == (1 << 64) - 1 and len(differ) == sum(map(int, path))
+def test_upper_nodes_prune_whole_groups():
+    rng = np.random.default_rng(1)
+    fps = gray(rng.integers(0, 2**64, 40_000, dtype=np.uint64))
+    index = simhash.GrayIndex(fps, np.array([0]))
+    assert index.depth >= 3
+    for _ in index.near(fps, index.cell):
+        pass
+    assert index.compared[0] < 0.06 * len(fps) ** 2  # leaves looked at, of all
+    share = [many / -(-len(fps) // simhash.FAN**k) / len(fps) for k, many in enumerate(index.compared)]
+    assert share == sorted(share)  # of nodes looked at grows upwards: groups go as a whole
+
+
+def test_visits_meet_each_pair_once(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    pick = lambda: np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base[rng.integers(0, 12, 600)] ^ pick() ^ pick(), np.arange(40, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x), 1) for x in fps.view(np.int64)], "fp long, n long")
+    shared = simhash.Shared(spark)
+    for cell, hot in ((64, 40), (1 << 20, 1 << 20)):
+        rows = simhash.in_cells(df, shared, cell, hot).collect()
+        owner, met = {r.fp: r.cell for r in rows if r.apart == 0}, {}
+        assert len(owner) == len(fps) == sum(r.apart == 0 for r in rows)
+        for r in rows:
+            met.setdefault(r.fp, []).append(r.cell)
+        for k, x in enumerate(fps):
+            for y in fps[k + 1 :][np.bitwise_count(fps[k + 1 :] ^ x) <= 2]:
+                a, b = int(x.view(np.int64)), int(y.view(np.int64))
+                assert (met[a].count(owner[b]) + met[b].count(owner[a]) if owner[a] != owner[b] else 1) == 1
+
+
+def test_one_component_of_many_classes(spark):
+    n = 100_000
+    star = spark.range(1, n).selectExpr("id AS a", "CAST(IF(id % 2 = 0, 0, id - 1) AS BIGINT) AS b")
+    got = simhash.components(star, simhash.Shared(spark), hub=1000)
+    assert got.where("b = 0").count() == got.count() == n - 1
 
 
 def plain_top(rows, asked, k=5):
