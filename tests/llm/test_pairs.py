@@ -151,7 +151,7 @@ def plain_top(rows, asked, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [topk.BLOCK, 3])
+@pytest.mark.parametrize("block", [topk.BLOCK, 300])
 def test_top_k(spark, block):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=12).round(2) / (1 + i % 3)).tolist()) for i in range(300)]
@@ -168,12 +168,35 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(none, none).count() == 0
 
 
+@pytest.mark.parametrize("big", [3e7, 4e7, 1e30, 1e200, 1.7e308])
+def test_top_k_of_large_components(spark, big):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.integers(-9, 9, 6) * (big / 10 if i % 3 else 1.0)).tolist()) for i in range(120)] + [(200, [big] * 6), (201, [big, -big, big, -big, 1.0, 0.0]), (50, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ints = [(i, [int(np.floor(256 * x)) if abs(x) < 1e300 else int(x) * 256 for x in v]) for i, v in rows]
+    want, low, high = [], -(2**63), 2**63 - 1
+    for q, v in ints:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q)[:5]
+            want += [(q, n + 1, i, max(low, min(high, -s))) for n, (s, i) in enumerate(best)]
+    got = topk.top_k(df, df.where("vec_id % 50 = 0")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
-    x, y = rng.integers(-256, 256, (40, 30)).astype(float), rng.integers(-256, 256, (50, 30)).astype(float)
-    exact, before = x @ y.T, None
-    for parts in topk.LEVELS:
-        bound = topk.segments(x, parts) @ topk.segments(y, parts).T
-        assert (bound >= exact - 1e-6).all()
-        before = bound
-    assert before is not None
+    x, y = (topk.Vectors(np.arange(n), rng.normal(size=(n, 30)), 256.0) for n in (40, 50))
+    exact = x.x @ y.x.T / np.outer(x.norm, y.norm)
+    for mine, theirs in zip(x.stats, y.stats):
+        assert (mine @ theirs.T + topk.slack(mine.shape[1]) >= exact).all()
+    assert sorted(np.concatenate(topk.tiles(y.stats[0], 8)).tolist()) == list(range(50))
+
+
+def test_few_pairs_reach_the_exact_step(spark, tiny):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(20, 32)) * 3
+    rows = [(i, (centre[rng.integers(20)] + rng.normal(size=32) * 0.3).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    left = {r.step: r.pairs for r in topk.survivors(df, df.where("vec_id % 50 = 0")).collect()}
+    assert left["all"] == 60 * 3000 >= left["tiles"] and left["24"] < 0.1 * left["all"]
+    assert left["1"] >= left["4"] >= left["16"] >= left["24"]
