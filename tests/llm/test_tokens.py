@@ -42,9 +42,19 @@ def fuzz(n: int = 2000) -> list[str]:
 
 def test_counts(pieces):
     counter = token_count.PieceCounter(public_path(token_count.MODEL), cache=500)
+    import pyarrow as pa
+
     texts = fuzz()
-    assert [counter.count(t) for t in texts] == [len(x) for x in pieces.encode(texts, num_threads=1)]
-    assert len(counter) <= 500
+    want = [len(x) for x in pieces.encode(texts, num_threads=1)]
+    assert counter.count(pa.array(texts)).tolist() == want == counter.count(pa.array(texts)).tolist()
+    assert len(counter.new) <= 250 and len(counter.old) <= 250
+    assert counter.count(pa.array([None, "a b"]).fill_null("")).tolist() == [0, 2]
+
+
+def test_forest_counts_as_the_heap_does():
+    counter, rng = token_count.PieceCounter(public_path(token_count.MODEL)), random.Random(2)
+    chunks = [" " + "".join(rng.choice("thequickéñ.,AB1") for _ in range(rng.randint(0, 90))) for _ in range(3000)]
+    assert counter.fresh(chunks).tolist() == [len(token_count.merged(c, counter.ranks)) for c in chunks]
 
 
 def test_encode_and_round_trip(reference):

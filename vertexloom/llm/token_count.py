@@ -3,8 +3,11 @@
 A text is cut into chunks that no vocabulary piece can cross.  Within a chunk
 the adjacent pair of lowest rank is popped from a heap again and again and its
 two symbols are joined in a doubly linked list.  The count is the number of
-initial symbols less the merges; token ids are never made.  Chunk counts are
-kept in a bounded cache, since words repeat.
+initial symbols less the merges, which are counted as they are made; token ids
+are never put out.  A step's distinct chunks are looked up in a bounded cache, since words
+repeat; those not in it go through ``Forest``, which holds a heap (as a tree of
+winners) and a linked list for each of thousands of chunks in arrays and makes a merge in all of
+them at once.  Parts of more than ``WIDEST`` symbols are merged one by one.
 
 Null text counts as empty (0 bytes, 0 tokens).  A text of any length is handled
 whole; merging takes n log n steps in the longest chunk.  Rows that repeat are
@@ -16,19 +19,26 @@ empty table.
 from __future__ import annotations
 
 import re
+import sys
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import extend, struct, table, text_of, tokenizer_file
+from vertexloom.llm.common import extend, per_text, steps, struct, table, text_of, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct chunks that a worker remembers before it starts afresh.
 CACHE = 800_000
+#: Symbols that a chunk of a forest has at most, and chunks in a forest.
+WIDEST, TREES = 64, 1 << 14
+#: No pair; above every rank.
+NONE = np.int32(1 << 30)
 
 
 def merges(chunk, ranks: dict) -> int:
@@ -111,13 +121,72 @@ class Cache(dict):
         return value
 
 
-class PieceCounter(Cache):
+class Forest:
+    """Chunks of at most ``width`` symbols (a power of two), each with a heap of its adjacent pairs and a linked list.
+
+    A heap is a tree of winners: leaf i has the rank of the pair that begins at
+    symbol i, and the place i, so that of equal ranks the leftmost goes first.
+    """
+
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, width: int, pair):
+        self.width, self.pair, n = width, pair, len(symbols)
+        self.symbols, self.merges = symbols.ravel(), np.zeros(n, np.int64)
+        self.after = np.tile(np.arange(1, width + 1, dtype=np.int8), n)
+        self.before = np.tile(np.arange(-1, width - 1, dtype=np.int8), n)
+        self.sizes = sizes
+        ranks = np.full((n, width), NONE, np.int32)
+        inside = np.arange(1, width) < sizes[:, None]
+        ranks[:, :-1][inside] = self.pair(symbols[:, :-1][inside], symbols[:, 1:][inside])[0]
+        heap = np.full((n, 2 * width), NONE, np.int32)
+        heap[:, width:] = np.where(ranks < NONE, ranks * width + np.arange(width, dtype=np.int32), NONE)
+        at = width
+        while at > 1:
+            heap[:, at // 2 : at] = np.minimum(heap[:, at : 2 * at : 2], heap[:, at + 1 : 2 * at : 2])
+            at //= 2
+        self.heap = heap.ravel()
+
+    def _set(self, row: np.ndarray, place: np.ndarray, rank: np.ndarray) -> None:
+        """New leaves, and the winners above them."""
+        heap, node, base = self.heap, place.astype(np.int64) + self.width, row * (2 * self.width)
+        heap[base + node] = np.where(rank < NONE, rank * self.width + place, NONE)
+        while node[0] > 1:
+            node >>= 1
+            heap[base + node] = np.minimum(heap[base + 2 * node], heap[base + 2 * node + 1])
+
+    def run(self) -> np.ndarray:
+        """How many merges each chunk takes."""
+        width, live = self.width, np.arange(len(self.merges))
+        while True:
+            best = self.heap[live * (2 * width) + 1]
+            live, best = live[best < NONE], best[best < NONE]
+            if not len(live):
+                return self.merges
+            self.merges[live] += 1
+            base, i = live * width, best % width
+            j = self.after[base + i].astype(np.int64)
+            whole = self.pair(self.symbols[base + i], self.symbols[base + j])[1]
+            self.symbols[base + i] = whole
+            k = self.after[base + j].astype(np.int64)
+            self.after[base + i] = k
+            some = k < self.sizes[live]
+            self.before[(base + k)[some]] = i[some]
+            right = np.full(len(live), NONE, np.int32)
+            right[some] = self.pair(whole[some], self.symbols[(base + k)[some]])[0]
+            self._set(live, j, np.full(len(live), NONE, np.int32))
+            self._set(live, i, right)
+            h = self.before[base + i]
+            some = h >= 0
+            if some.any():
+                self._set(live[some], h[some], self.pair(self.symbols[(base + h)[some]], whole[some])[0])
+
+
+class PieceCounter:
     """Token count by chunk; a chunk is a run of spaces and the other characters up to the next space."""
 
     def __init__(self, path: str, cache: int = CACHE):
         import sentencepiece
 
-        super().__init__(cache)
+        self.most, self.new, self.old = cache // 2, {}, {}
         with open(path, "rb") as f:
             spec = dict(_fields(f.read()))
         trainer, norm = dict(_fields(spec[2])), dict(_fields(spec[3]))
@@ -133,29 +202,80 @@ class PieceCounter(Cache):
         self.single = {p for p in self.ranks if len(p) == 1}
         if any(" " in p.lstrip(" ") for p in self.ranks) or any(c not in self.single for p in self.ranks for c in p):
             raise ValueError("expected pieces that don't span words, made of known characters")
-        self.joined = {a + b for p in self.ranks for a, b in pairwise(p)}
-
-    def make(self, chunk: str) -> int:
-        joined = self.joined
-        cuts = [i for i, pair in enumerate(map(str.__add__, chunk, chunk[1:]), 1) if pair not in joined]
-        if not cuts:
-            return self._count(chunk)
-        # no piece has the two characters at a cut side by side: merging stops there
-        return sum(map(self.__getitem__, [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]))
-
-    def _count(self, part: str) -> int:
-        initial = len(part)
-        if not self.single.issuperset(part):
-            initial = sum(1 if c in self.single else len(c.encode()) for c in part)
-        return initial - (merges(part, self.ranks) if len(part) > 1 else 0)
-
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        text = " " + text.replace("▁", " ")
-        if "  " in text or text[-1] == " ":
-            return sum(map(self.__getitem__, _CHUNK.findall(text)))
-        return sum(map(self.__getitem__, map(" ".__add__, text[1:].split(" "))))
+        number = {p: i for i, p in enumerate(self.ranks)}
+        self.of = np.full(sys.maxunicode + 1, -1, np.int32)  # number of a character's piece
+        self.of[[ord(c) for c in self.single]] = [number[c] for c in self.single]
+        self.many = len(number)
+        pairs = sorted((number[p[:k]] * self.many + number[p[k:]], r, number[p]) for p, r in self.ranks.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.keys, self.rank, self.whole = np.array([x[0] for x in pairs], np.int64), np.array([x[1] for x in pairs], np.int32), np.array([x[2] for x in pairs], np.int32)
+        self.joined = np.array(sorted({number[a] * self.many + number[b] for p in self.ranks for a, b in pairwise(p)}), np.int64)
+
+    def _find(self, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of two neighbouring symbols, NONE if they don't merge, and what they merge to."""
+        at, hit = self._find(self.keys, left.astype(np.int64) * self.many + right)
+        return np.where(hit, self.rank[at], NONE), self.whole[at]
+
+    def fresh(self, chunks: list[str]) -> np.ndarray:
+        """Token counts of chunks that aren't remembered."""
+        text = "".join(chunks)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        begin = np.cumsum([0, *map(len, chunks)])
+        symbol = self.of[codes]
+        cut = symbol < 0  # no piece has the two characters at a cut side by side: merging stops there
+        cut[1:] |= (symbol[:-1] < 0) | ~self._find(self.joined, symbol[:-1].astype(np.int64) * self.many + symbol[1:])[1]
+        cut[begin[:-1]] = True
+        part = np.flatnonzero(cut)
+        sizes = np.diff(np.append(part, len(codes)))
+        tokens = np.where(symbol < 0, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), 1)
+        tokens = np.add.reduceat(tokens, part)
+        width = 2
+        while width < WIDEST:
+            width *= 2
+            own = np.flatnonzero((sizes > (width // 2 if width > 4 else 1)) & (sizes <= width))
+            for at in range(0, len(own), TREES):
+                rows = own[at : at + TREES]
+                places = np.minimum(part[rows, None] + np.arange(width), len(codes) - 1)
+                tokens[rows] -= Forest(symbol[places], sizes[rows], width, self.pair).run()
+        for i in np.flatnonzero(sizes > WIDEST):
+            tokens[i] -= merges(text[part[i] : part[i] + sizes[i]], self.ranks)
+        return np.add.reduceat(tokens, np.searchsorted(part, begin[:-1]))
+
+    def known(self, chunks: list[str]) -> np.ndarray:
+        """Token counts of distinct chunks, each given without its first space."""
+        new, old = self.new, self.old
+        out = np.fromiter((new.get(c, 0) or old.get(c, 0) for c in chunks), np.int64, len(chunks))
+        miss = np.flatnonzero(out == 0)
+        for at in range(0, len(miss), self.most):
+            own = miss[at : at + self.most]
+            names = [chunks[i] for i in own.tolist()]
+            out[own] = self.fresh([" " + c for c in names])
+            if len(self.new) + len(own) > self.most:
+                self.old, self.new = self.new, {}
+            self.new.update(zip(names, out[own].tolist()))
+        return out
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Token counts of texts."""
+        out = [np.zeros(0, np.int64)]
+        for part in steps(texts):
+            part = pc.replace_substring(part.cast(pa.large_string()), "▁", " ")
+            odd = pc.or_(pc.match_substring(part, "  "), pc.or_(pc.starts_with(part, " "), pc.ends_with(part, " "))).to_numpy(zero_copy_only=False)
+            count = np.zeros(len(part), np.int64)
+            plain = np.flatnonzero(~odd & (pc.binary_length(part).to_numpy() > 0))
+            words = pc.split_pattern(part.take(pa.array(plain)), " ")
+            found = words.flatten().dictionary_encode()
+            count[plain] = per_text(self.known(found.dictionary.to_pylist())[found.indices.to_numpy()], np.append(0, np.cumsum(words.value_lengths().to_numpy())))
+            if odd.any():  # runs of spaces
+                chunks = [[c[1:] for c in _CHUNK.findall(" " + t)] for t in part.filter(pa.array(odd)).to_pylist()]
+                kinds = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(chunks)))}
+                each = self.known(list(kinds))[np.fromiter((kinds[c] for c in chain.from_iterable(chunks)), np.int64, sum(map(len, chunks)))]
+                count[odd] = per_text(each, np.cumsum([0, *map(len, chunks)]))
+            out.append(count)
+        return np.concatenate(out)
 
 
 _CHUNK = re.compile(" +[^ ]*")
@@ -171,7 +291,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", model: str = MODEL, limi
 
     def run(texts: pa.Array) -> pa.Array:
         c = counter(tokenizer_file(model))  # where this worker has it
-        return struct(n_tokens=pa.array([c.count(t.as_py()) for t in texts], pa.int64()))
+        return struct(n_tokens=pa.array(c.count(texts)))
 
     out = extend(df.withColumn("n_bytes", F.octet_length(text_of(df, text_col)).cast("long")), run, "struct<n_tokens:bigint>", text_of(df, text_col))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
