@@ -250,13 +250,60 @@ def test_sources_below_a_sixteenth_have_quotas(spark):
     assert out.join(df, "doc_id").groupBy("bin_id", "source").count().agg(F.max("count")).first()[0] <= 13
 
 
+def plain_bins(rows, capacity, quota):
+    """Best fit over (n, source, cluster, row), longest rest first, bin by bin."""
+    body, bins, full, place = capacity - 1, [], 0, {}
+    for n, source, cluster, row in sorted(rows, key=lambda r: (-(r[0] - max(r[0] - 1, 0) // body * body), -1 if r[2] is None else r[2], r[2] is not None, r[1] or "", r[3])):
+        full += max(n - 1, 0) // body
+        rest = n - max(n - 1, 0) // body * body + 1
+        fit = [b for b in bins if b[0] >= rest and (cluster is None or cluster not in b[2]) and (source is None or b[1][source] < quota.get(source, 1))]
+        best = min(fit, key=lambda b: b[0], default=None)
+        if best is None:
+            bins.append(best := [capacity, Counter(), set()])
+        best[0] -= rest
+        best[1][source] += 1
+        best[2].add(cluster)
+    return len(bins) + full
+
+
 def test_packing_query(spark, tiny):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     got = packing.op5_best_fit_packing(spark, tiny).collect()
-    total = Counter()
+    tokens = {r.doc_id: r.n_tokens for r in packing.token_count.op3_token_counts(spark, tiny).collect()}
+    near = {r.doc_id: r.component_id for r in packing.simhash.near_duplicates(spark.read.parquet(f"{tiny}/documents.parquet").withColumn("text", F.lower("text"))).collect()}
+    total, held, sources, clusters = Counter(), Counter(), {}, {}
     for r in got:
         total[r.doc_id] += r.n_units
-    assert total == {i: len(r.text.encode()) for i, r in docs.items()}
+        held[r.bin_id] += r.n_units + 1
+        if r.piece_start + r.n_units == tokens[r.doc_id]:
+            clusters.setdefault(r.bin_id, []).append(near[r.doc_id])
+    assert total == tokens and max(held.values()) <= packing.CAPACITY
+    assert all(len(set(c)) == len(c) for c in clusters.values())
+    units, mean = Counter(), sum(tokens.values()) + len(tokens)
+    for i, n in tokens.items():
+        units[docs[i].source] += n + 1
+    in_a_bin = max(1.0, packing.CAPACITY * len(tokens) / mean)
+    quota = {s: max(1, -int(-(u / mean * in_a_bin * packing.SLACK) // 1)) for s, u in units.items()}
+    rows = [(n, docs[i].source, near[i], i) for i, n in tokens.items()]
+    assert abs(len(held) - plain_bins(rows, packing.CAPACITY, quota)) <= 0.01 * len(held) + 1  # ties may go elsewhere
+
+
+def test_bins_hold_wherever_rows_lie(spark):
+    rows = [(i % 900, i * 37 % 300, f"s{i % 7}" if i % 9 else None, i % 50 if i % 3 else None) for i in range(2000)] + [(None, 9, "s1", None)] * 700
+    df = spark.createDataFrame(rows, "doc_id long, u long, source string, cluster long")
+    bins = [packing.pack_documents(d, d["u"], source=d["source"], cluster=d["cluster"], capacity=256, group=300).collect() for d in (df.coalesce(1), df.repartition(7))]
+    assert sorted(bins[0], key=str) == sorted(bins[1], key=str)
+    held = Counter()
+    for r in bins[0]:
+        held[r.bin_id] += r.n_units + 1
+    assert max(held.values()) <= 256 and sum(r.piece == 0 for r in bins[0]) == len(rows)
+
+
+def test_groups_pack_nearly_as_tight_as_one(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, rng.choice([rng.randint(1, 900), rng.randint(1, 90)]), f"s{rng.randint(0, 30)}") for i in range(6000)], "doc_id long, u long, source string").repartition(3)
+    one, many = (packing.pack_documents(df, df["u"], source=df["source"], capacity=1024, group=g).select("bin_id").distinct().count() for g in (10_000, 400))
+    assert many <= 1.01 * one + 1
 
 
 def test_near_copies_conflict(spark, tmp_path):

@@ -2,22 +2,29 @@
 
 Documents are packed into bins of ``capacity`` units, each followed by one
 separator.  A document that doesn't fit is cut: full pieces take a bin each, the rest is
-packed.  Rows are dealt evenly to groups of about ``GROUP`` rows by a hash of the
+packed.  Rests are dealt evenly to groups of about ``GROUP`` rows by a hash of the
 row, so a hot source or cluster is spread over all groups, and each group is packed
-by one task, longest rest first.
+by one task, longest rest first.  Bins that are more than 1 / ``LOOSE`` empty are then taken
+apart and their rests packed again, in as many fewer groups, and so on until one
+group is left or a round no longer shrinks them: what groups leave half empty fills up across groups.
 
 Open bins stand in order of what they have left, as a bitmap over residuals.  A
 bin carries a bitmap of its sources and one of its duplicate clusters.  It may hold one
-document of a cluster, and of a source as many as its share of all units calls for,
-which is one for a rare source.  The successor search starts at the smallest residual that fits
+document of a cluster, and of a source as many as its share of all units calls for
+times ``SLACK``, which is one for a rare source: a source that has a third of all units gets half
+of a bin's places, so that it can be packed at all.  The successor search starts at the smallest residual that fits
 and goes on until a bin without conflict is found, which is the tightest one; if
 there is none, a bin is opened.  Copies of equal length follow one another, so a
 search resumes where the last one ended: bins passed by still conflict.  For hot
 sources (at least 1/16 of all units, so at most 16) a bitmap of their own lists the residuals with a bin still open to them.
 
+Bins depend on what rows hold, not on how they are stored: a group and a place in it
+come from a hash of id, length, source and cluster.  Rows equal in all four are
+numbered, and which of them goes where makes no difference to the result.
+
 Cases: null and empty texts take the separator alone.  A null source or cluster
 conflicts with nothing.  Rows that repeat are packed each.  No row is dropped:
-pieces of a document add up to it.  An empty table gives an empty table.
+pieces of a document add up to it, however long.  Other columns may have any name.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import simhash
+from vertexloom.llm import simhash, token_count
 from vertexloom.llm.common import Shared, ship, table, text_of
 
-#: Units a bin holds (here bytes), rows a group holds, and what share makes a source hot, which is then indexed.
-CAPACITY, GROUP, HOT = 16_384, 16_384, 16
+#: Units a bin holds, rows a group holds, and what share (one in so many units) makes a source hot, which is then indexed.
+CAPACITY, GROUP, HOT = 4096, 16_384, 16
 SLACK = 1.5
+#: Bins are packed again if more than one in so many of their units is free, as long as a round leaves at most ``SHRINK`` of the rows it had.
+LOOSE, SHRINK = 64, 0.5
 
 
 class Bins:
@@ -141,32 +150,29 @@ def pack(sizes: Sequence[int], sources: Sequence[int], clusters: Sequence[int],
     return out, len(bins.left)
 
 
-def _pack_group(capacity: int, quota: dict[str, int], hot: list[str]):
-    body = capacity - 1
+def _pack_group(capacity: int, quota: dict[str, int], hot: list[str], first_turn: bool, last: bool):
+    """Pack the rests of a group; ``done`` is false for those of bins to be taken apart."""
 
     def run(t: pa.Table) -> pa.Table:
-        group = t.column("group")[0].as_py() if t.num_rows else 0
-        n = t.column("n").to_numpy()
+        rest, group = t.column("rest").to_numpy(), t.column("group")[0].as_py() if t.num_rows else 0
         source, cluster = t.column("source").to_pylist(), t.column("cluster").to_pylist()
-        names: dict[str, int] = {s: i for i, s in enumerate(quota)}
-        code = np.array([-1 if s is None else names.setdefault(s, len(names)) for s in source], np.int64)
-        kinds: dict[int, int] = {}
-        dup = np.array([-1 if c is None else kinds.setdefault(c, len(kinds)) for c in cluster], np.int64)
-        full = np.maximum(n - 1, 0) // body  # pieces that fill a bin, before the rest
-        rest = n - full * body + 1
+        names = {s: i for i, s in enumerate(dict.fromkeys([*quota, *sorted({s for s in source if s is not None})]))}
+        code = np.array([-1 if s is None else names[s] for s in source], np.int64)
+        kinds = {c: i for i, c in enumerate(sorted({c for c in cluster if c is not None}))}
+        dup = np.array([-1 if c is None else kinds[c] for c in cluster], np.int64)
         order = np.lexsort((t.column("row").to_numpy(), code, dup, -rest))
         spots, used = pack(rest[order].tolist(), code[order].tolist(), dup[order].tolist(), capacity, {names[s]: q for s, q in quota.items()}, [names[s] for s in hot])
-        pieces = full + 1
-        doc = np.repeat(np.arange(len(n)), pieces)
-        piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        last = piece == full[doc]
-        units = np.where(last, rest[doc] - 1, body)
-        bin_of, offset = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-        bin_of[~last] = used + np.arange((~last).sum())
-        by_doc = np.zeros((len(n), 2), np.int64)
-        by_doc[order] = np.array(spots, np.int64).reshape(-1, 2)
-        bin_of[last], offset[last] = by_doc[:, 0], by_doc[:, 1]
-        return pa.table({"id": t.column("id").combine_chunks().take(pa.array(doc)), "piece": pa.array(piece.astype(np.int32)), "piece_start": pa.array(piece.astype(np.int64) * body), "n_units": pa.array(units.astype(np.int64)), "bin_id": pa.array((group << 32) + bin_of), "bin_offset": pa.array(offset)})
+        spot = np.zeros((len(rest), 2), np.int64)
+        spot[order] = np.array(spots, np.int64).reshape(-1, 2)
+        held = np.bincount(spot[:, 0], rest, used)
+        done = (capacity - held) * LOOSE <= capacity if not last else np.ones(used, bool)
+        out = {n: t.column(n) for n in ("id", "n", "rest", "source", "cluster", "row", "copy")}
+        first = t.column("first").to_numpy(zero_copy_only=False)
+        if first_turn:  # bins of full pieces come after the others
+            pieces = (t.column("n").to_numpy() + 1 - rest) // (capacity - 1)
+            first = np.zeros(len(rest), np.int64)
+            first[order] = (group << 32) + used + np.cumsum(pieces[order]) - pieces[order]
+        return pa.table(out | {"first": pa.array(first), "bin": pa.array((group << 32) + spot[:, 0]), "at": pa.array(spot[:, 1]), "done": pa.array(done[spot[:, 0]])})
 
     return run
 
@@ -176,39 +182,51 @@ def pack_documents(df: DataFrame, units: Column, id_col: str = "doc_id", source:
     if capacity < 2:
         raise ValueError("a bin must hold a unit and a separator")
     ship(df.sparkSession)
-    shared = Shared(df.sparkSession)
-    none = F.lit(None)
+    shared, none, body = Shared(df.sparkSession), F.lit(None), capacity - 1
     slim = df.select(df[id_col].alias("id"), F.coalesce(units, F.lit(0)).cast("long").alias("n"), (none if source is None else source).cast("string").alias("source"), (none if cluster is None else cluster).cast("long").alias("cluster"))
-    slim = shared.save(slim.withColumn("row", F.monotonically_increasing_id()))
+    key = ["id", "n", "source", "cluster"]
+    slim = slim.groupBy(*key).agg(F.count("*").alias("times")).select(*key, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
+    full = F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / body)  # pieces that fill a bin, before the rest
+    slim = shared.save(slim.withColumns({"rest": (F.col("n") - full * body + 1).cast("long"), "row": F.xxhash64(F.col("id").cast("string"), "n", "source", "cluster", "copy"), "first": F.lit(0).cast("long")}))
     count, total = slim.agg(F.count("*"), F.coalesce(F.sum(F.col("n") + 1), F.lit(0))).first()
     by_source = slim.where("source IS NOT NULL").groupBy("source").agg(F.sum(F.col("n") + 1).alias("u"))
     in_a_bin = max(1.0, capacity * count / max(total, 1))
     large = by_source.where((F.col("u") * HOT >= total) | (F.col("u") * in_a_bin * SLACK > total)).collect()  # at most capacity * SLACK rows
     quota = {s: max(1, int(np.ceil(u / total * in_a_bin * SLACK))) for s, u in sorted(large, key=lambda x: x[0])}
     hot = sorted(s for s, u in large if u * HOT >= total)
-    groups = max(1, -(-count // group))
-    dealt = slim.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     kind = slim.schema["id"].dataType.simpleString()
-    out = dealt.groupBy("group").applyInArrow(_pack_group(capacity, quota, hot), f"id {kind}, piece int, piece_start bigint, n_units bigint, bin_id bigint, bin_offset bigint")
+    placed, rows, left, turn = [], slim, count, 0
+    while True:
+        groups = max(1, -(-left // group))
+        last = groups == 1
+        dealt = rows.withColumn("group", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)))
+        done = shared.save(dealt.groupBy("group").applyInArrow(_pack_group(capacity, quota, hot, not turn, last), f"id {kind}, n long, rest long, source string, cluster long, row long, copy long, first long, bin long, at long, done boolean"))
+        before, left = left, 0 if last else done.where("NOT done").count()
+        end = not left or left > SHRINK * before  # a further round would do no better: its bins stay as they are
+        placed.append((done if end else done.where("done")).select("id", "n", "rest", "first", (F.col("bin") + (turn << 56)).alias("bin"), "at"))
+        if end:
+            break
+        rows, turn = done.where("NOT done").drop("bin", "at", "done"), turn + 1
+    out = placed[0]
+    for p in placed[1:]:
+        out = out.unionByName(p)
+    pieces = F.floor((F.col("n") + 1 - F.col("rest")) / body)
+    out = out.select("*", F.explode(F.sequence(F.lit(0).cast("long"), pieces)).alias("piece"), pieces.alias("pieces"))
+    own = F.col("piece") == F.col("pieces")
+    out = out.select("id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * body).alias("piece_start"), F.when(own, F.col("rest") - 1).otherwise(F.lit(body)).cast("long").alias("n_units"), F.when(own, F.col("bin")).otherwise(F.col("first") + F.col("piece")).alias("bin_id"), F.when(own, F.col("at")).otherwise(F.lit(0)).alias("bin_offset"))
     return out.withColumnRenamed("id", id_col)
 
 
-def text_cluster(df: DataFrame, text_col: str = "text") -> Column:
-    """A cluster of texts that are equal but for case and outer white space; null for empty ones."""
-    text = F.lower(F.trim(text_of(df, text_col)))
-    return F.when(F.length(text) > 0, F.xxhash64(text))
+def near_copies(df: DataFrame, shared: Shared, text_col: str = "text") -> DataFrame:
+    """``df`` without its text, with ``cluster``: the least fingerprint of a text's near copies (operator 2, over lower-cased texts); null for texts without a word."""
+    rows = shared.save(simhash.with_fingerprint(df.withColumn(text_col, F.lower(text_of(df, text_col))), text_col, [c for c in df.columns if c != text_col]))
+    known = shared.save(simhash.linked(rows.select(F.col("fp").alias("id"), "fp"), shared).select("fp", "n", F.col("component_id").alias("cluster")))
+    out = simhash.hub_join(rows, known, "fp", "n")
+    return out.select(*[c for c in rows.columns if c != "fp"], F.when(F.col("fp") != 0, F.col("cluster")).alias("cluster"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths in UTF-8 bytes, as a byte-level model reads them; clusters of near copies.
-
-    Clusters are the components of operator 2 over rows and lower-cased texts, so those
-    that are equal but for case share one; texts without a word have none.
-    """
-    docs, shared = table(spark, sf_dir, "documents"), Shared(spark)
-    text = text_of(docs, "text")
-    rows = docs.select("doc_id", "source", F.octet_length(text).alias("units"), F.lower(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = shared.save(simhash.with_fingerprint(rows, "text", ["doc_id", "source", "units", "row"]))
-    near = simhash.linked(rows.select(F.col("row").alias("id"), "fp"), shared).select("fp", "component_id")
-    rows = rows.join(near, "fp")
-    return pack_documents(rows, rows["units"], source=rows["source"], cluster=F.when(rows["fp"] != 0, rows["component_id"]))
+    """Lengths in tokens of operator 3, clusters of near copies by operator 2."""
+    docs = token_count.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", F.col("n_tokens").alias("units"))
+    rows = near_copies(docs, Shared(spark))
+    return pack_documents(rows, rows["units"], source=rows["source"], cluster=rows["cluster"])
