@@ -45,6 +45,8 @@ CAPACITY, GROUP, HOT = 4096, 16_384, 16
 SLACK = 1.5
 #: Bins are packed again if more than one in so many of their units is free, as long as a round leaves at most ``SHRINK`` of the rows it had.
 LOOSE, SHRINK = 64, 0.5
+#: Equal rows are numbered in runs of so many, so no array gets longer.
+RUN = 1 << 16
 
 
 class Bins:
@@ -185,7 +187,8 @@ def pack_documents(df: DataFrame, units: Column, id_col: str = "doc_id", source:
     shared, none, body = Shared(df.sparkSession), F.lit(None), capacity - 1
     slim = df.select(df[id_col].alias("id"), F.coalesce(units, F.lit(0)).cast("long").alias("n"), (none if source is None else source).cast("string").alias("source"), (none if cluster is None else cluster).cast("long").alias("cluster"))
     key = ["id", "n", "source", "cluster"]
-    slim = slim.groupBy(*key).agg(F.count("*").alias("times")).select(*key, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
+    slim = slim.groupBy(*key).agg((F.count("*") - 1).alias("last")).select(*key, "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(RUN))).alias("from"))
+    slim = slim.select(*key, F.explode(F.sequence("from", F.least(F.col("from") + RUN - 1, "last"))).alias("copy"))
     full = F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / body)  # pieces that fill a bin, before the rest
     slim = shared.save(slim.withColumns({"rest": (F.col("n") - full * body + 1).cast("long"), "row": F.xxhash64(F.col("id").cast("string"), "n", "source", "cluster", "copy"), "first": F.lit(0).cast("long")}))
     count, total = slim.agg(F.count("*"), F.coalesce(F.sum(F.col("n") + 1), F.lit(0))).first()
