@@ -106,12 +106,34 @@ def field(spark, tiny):
     return pii.train(spark.read.parquet(f"{tiny}/documents.parquet"))
 
 
-def test_skip_edges_carry_labels(field):
-    phone = "call +1 (988) 555-2485 today"
-    ((base, every),) = field.spans([phone + " or just 555-2485 later"])
-    assert len(base) == 1
-    again = field.skip[4, 4] > 0 and field.skip[0, 0] >= 0
-    assert again and set(base) <= set(every)
+SECOND = [  # a mention that a pattern finds, the same in a form that none does, its kind
+    ("+1 (988) 555-2485", "555-2485", "phone"),
+    ("+19885552485", "19885552485", "phone"),
+    ("+1 (988) 555-2485", "9885552485", "phone"),
+    ("4337 1665 9846 4399", "166598464399", "card"),
+    ("password: hunterhunter", "hunterhunter", "secret"),
+    ("token=a1b2c3d4e5", "a1b2c3d4e5", "secret"),
+]
+
+
+@pytest.mark.parametrize("first, second, kind", SECOND)
+def test_skip_edges_carry_labels(field, first, second, kind):
+    import numpy as np
+
+    text = f"We said {first} today, or just {second} later."
+    at, k = text.rindex(second), pii.KINDS.index(kind)
+    ((base, every),) = field.spans([text])
+    assert set(base) <= set(every) and max(every)[1:] == (k, at + len(second)) and max(every)[0] >= at
+    loose = pii.Field(field.number, field.weight, field.near, np.zeros_like(field.skip))
+    found = loose.spans([text])[0][1]
+    assert not any(a == at and b == at + len(second) for a, _, b in found)  # nothing else would mark it
+    assert field.spans([f"We said nothing today, or just {second} later."])[0][1] == []
+
+
+def test_years_do_not_take_labels(field):
+    text = "card 4337 1665 9846 4399 was made in 1665 and 9846 times in 4399"
+    ((base, every),) = field.spans([text])
+    assert len(base) == 1 == len(every)
 
 
 def test_evidence_reaches_every_occurrence():

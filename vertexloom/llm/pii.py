@@ -39,7 +39,9 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 #: Documents drawn for training, about; share of a label's probability from which a word is marked.
 BOUND, SURE = 20_000, 0.9
-DAMPING, EVIDENCE, SPREAD = 0.5, 8.0, 4.0
+DAMPING, EVIDENCE, SPREAD = 0.5, 60.0, 4.0
+#: Share of masked occurrences that a skip edge must reach, what it has to spare, and its strength where none was seen.
+REACHED, SPARE, UNSEEN = 0.99, 1.0, 12.0
 #: A message is at rest once a step moves it less than STILL; one that has moved ROUNDS times swings, and each further step shrinks by CALM.
 STILL, ROUNDS, CALM = 5e-4, 64, 0.9
 
@@ -48,7 +50,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?)\S{6,}|\"[0-9a-f]{32,64}\"")
+_SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?)(\S{6,})|\"[0-9a-f]{32,64}\"")
+_KEY = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[=:]$")
+_NUMERIC = re.compile(r"[0-9+().,;-]*[0-9][0-9+().,;-]*")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MARKED = re.compile(r"[0-9@]")
 #: What a text holds that has a secret without digits, for Spark: at least what ``_SECRET`` finds.
@@ -98,16 +102,22 @@ def _size(n: int) -> str:
     return str(n) if n < 5 else "5+" if n < 9 else "9+" if n < 17 else "17+"
 
 
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
 def _feature_names(word: str, before: str, after: str) -> list[str]:
     shape = "".join((r[0] if not r[0].isalnum() else "9" if r[0].isdigit() else "A" if r[0].isupper() else "a") + (_size(len(r)) if r[0].isalnum() else "") for r in _RUNS.findall(word))
-    digits = [c for c in word if "0" <= c <= "9"]
+    digits = _digits(word)
     out = ["bias", "shape " + shape, "size " + _size(len(word)), "digits " + _size(len(digits))]
     if "@" in word:
         out.append("at")
     if 14 <= len(digits) <= 19:
-        out.append(f"luhn {luhn(''.join(digits))}")
+        out.append(f"luhn {luhn(digits)}")
     if word.count(".") == 3:
         out.append("quad")
+    if _KEY.search(before):
+        out.append("key")
     for name, other in (("before ", before), ("after ", after)):
         kind = "none" if not other else "marked" if _MARKED.search(other) else "ends " + other[-1] if other[-1] in ":=" else "plain"
         out.append(name + kind)
@@ -124,24 +134,30 @@ class Document:
     skip: list[tuple[int, int]]
     base: list[int]  # label of a node under a base span, 0 if none
     secret: list[bool]  # whether a secret format ends in the node
+    keys: list[str | None]  # what occurrences of an entity have in common
 
 
 def read(text: str, found: list[tuple[int, int, int]]) -> Document:
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    secrets = [m.end() for m in _SECRET.finditer(text)]
-    doc, last, previous, f, s = Document([], [], [], [], [], []), {}, -2, 0, 0
+    secrets, values = [], set()
+    for m in _SECRET.finditer(text):
+        secrets.append(m.end())
+        values.add((m[1] or m[0]).strip(_EDGE).casefold())
+    doc, last, previous, f, s, run = Document([], [], [], [], [], [], []), {}, -2, 0, 0, ""
     for i, (a, b) in enumerate(words):
         raw = text[a:b]
         while s < len(secrets) and secrets[s] <= a:
             s += 1
         secret = s < len(secrets) and secrets[s] <= b
-        if not secret and not _MARKED.search(raw):
-            continue
         word = raw.strip(_EDGE)
+        value = secret or (bool(values) and word.casefold() in values)
+        before = text[slice(*words[i - 1])] if i else ""
+        if not value and not _MARKED.search(raw) and not (before[-1:] in ("=", ":") and _KEY.search(before)):
+            continue
         start = a + len(raw) - len(raw.lstrip(_EDGE))
         n = len(doc.spans)
         doc.spans.append((start, start + len(word)))
-        doc.names.append(_feature_names(word, text[slice(*words[i - 1])] if i else "", text[slice(*words[i + 1])] if i + 1 < len(words) else ""))
+        doc.names.append(_feature_names(word, before, text[slice(*words[i + 1])] if i + 1 < len(words) else ""))
         while f < len(found) and found[f][2] <= a:
             f += 1
         under = [k for x, k, e in found[f : f + 5] if x < b and e > a]
@@ -149,9 +165,18 @@ def read(text: str, found: list[tuple[int, int, int]]) -> Document:
         doc.secret.append(secret and not under)
         if previous == i - 1:
             doc.near.append((n - 1, n))
-        previous = i
-        digits = "".join(c for c in word if "0" <= c <= "9")
-        key = digits[-7:] if len(digits) >= 7 else word.casefold() if len(word) >= 4 else None
+        numeric = _NUMERIC.fullmatch(raw)
+        run = (run if previous == i - 1 else "") + _digits(raw) if numeric else ""
+        previous, own, key = i, _digits(word), None
+        if len(own) >= 7:
+            key = own[-7:]
+        elif len(run) >= 7 and not (i + 1 < len(words) and _NUMERIC.fullmatch(text, *words[i + 1])):
+            key = run[-7:]
+        elif "@" in word or word.count(".") == 3:
+            key = word.casefold()
+        elif value:
+            key = "=" + re.split("[=:]", word.casefold())[-1].strip(_EDGE)
+        doc.keys.append(key)
         if key is not None:
             if key in last:
                 doc.skip.append((last[key], n))
@@ -245,18 +270,25 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True) if len(x) else x
 
 
-def _lesson(text: str) -> tuple[list[str], list[int], list[int]]:
-    """A text's nodes (label and feature names), and the label pairs of its edges."""
+def _lesson(text: str) -> tuple[list[str], list[int], list[str]]:
+    """A text's nodes (label and feature names), the label pairs of its neighbours, and mentions of its entities in forms that no pattern finds."""
     found = base_spans(text)
     doc = read(text, found)
-    secret = [m.span() for m in _SECRET.finditer(text)]
+    spans = [(m.span(), m) for m in _SECRET.finditer(text)]
     labels, s = [], 0
     for (a, b), k in zip(doc.spans, doc.base):
-        while s < len(secret) and secret[s][1] <= a:
+        while s < len(spans) and spans[s][0][1] <= a:
             s += 1
-        labels.append(k or (5 if s < len(secret) and secret[s][0] < b else 0))
-    code = lambda pairs: [labels[a] * 8 + labels[b] for a, b in pairs]
-    return ["\t".join([str(k), *names]) for k, names in zip(labels, doc.names)], code(doc.near), code(doc.skip)
+        labels.append(k or (5 if s < len(spans) and spans[s][0][0] < b else 0))
+    known = {key: k for key, k in zip(doc.keys, labels) if key is not None and k}
+    labels = [k or known.get(key, 0) for key, k in zip(doc.keys, labels)]
+    values = [(m[1] or m[0]).strip(_EDGE) for _, m in spans]
+    masked = [(5, w) for v in values for w in (v, re.sub("[0-9]", "a", v).lower())]  # with and without digits
+    for a, k, b in found:
+        bare = _digits(text[a:b])
+        masked += {2: [(3, bare), (3, bare[-12:]), (3, bare[-10:]), (3, bare[-8:])], 3: [(4, bare), (4, bare[-10:]), (4, bare[-7:]), (4, bare[-7:-4] + "-" + bare[-4:])]}.get(k, [])
+    line = lambda k, names: "\t".join([str(k), *names])
+    return [line(k, names) for k, names in zip(labels, doc.names)], [labels[a] * 8 + labels[b] for a, b in doc.near], [line(k, _feature_names(w, "a", after)) for k, w in masked if w for after in ("a", "")]
 
 
 def _association(pairs: Counter, prior: float) -> np.ndarray:
@@ -270,14 +302,16 @@ def _association(pairs: Counter, prior: float) -> np.ndarray:
     return np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -SPREAD, SPREAD)
 
 
-def fit(nodes: Counter, near: Counter, skip: Counter, rounds: int = 300) -> Field:
-    """Piecewise training from counted nodes and label pairs."""
+def _rows(nodes: Counter) -> list[tuple[int, list[str], int]]:
+    return [(int(k), names, times) for node, times in sorted(nodes.items()) for k, *names in [node.split("\t")]]
+
+
+def fit(nodes: Counter, near: Counter, masked: Counter, rounds: int = 300) -> Field:
+    """Piecewise training from counted nodes, label pairs and masked occurrences."""
     labels = len(KINDS) + 1
     seen = Counter()
-    rows = []
-    for node, times in sorted(nodes.items()):
-        k, *names = node.split("\t")
-        rows.append((int(k), names, times))
+    rows = _rows(nodes)
+    for _, names, times in rows:
         for f in names:
             seen[f] += times
     number = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 2))}
@@ -298,7 +332,19 @@ def fit(nodes: Counter, near: Counter, skip: Counter, rounds: int = 300) -> Fiel
     elif not number:
         number, weight = {"bias": 0}, np.zeros((1, labels))
         weight[0, 0] = 5
-    return Field(number, weight, _association(near, 1.0), _association(skip, 5.0))
+    need: dict[int, list[tuple[float, int]]] = {}
+    for k, names, times in _rows(masked):
+        own = weight[[number[f] for f in names if f in number]].sum(axis=0)
+        need.setdefault(k, []).append((float(np.log(np.exp(np.delete(own, k) - own[k]).sum())), times))
+    skip = np.zeros((labels, labels))
+    for k in range(1, labels):
+        gap, times = np.array(sorted(need.get(k, [(UNSEEN, 1)]))).T
+        most = gap[np.searchsorted(np.cumsum(times), REACHED * times.sum())]
+        strength = max(0.0, most) + np.log(SURE / (1 - SURE)) + SPARE
+        skip[k] -= strength / 2
+        skip[:, k] -= strength / 2
+        skip[k, k] += 1.5 * strength
+    return Field(number, weight, _association(near, 1.0), skip)
 
 
 def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", bound: int = BOUND) -> Field:
@@ -306,19 +352,19 @@ def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", bound:
 
     def run(texts: pa.Array) -> pa.Array:
         lessons = [_lesson(t) for t in texts.to_pylist()]
-        kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return struct(**{n: pa.array([x[i] for x in lessons], k) for i, (n, k) in enumerate(zip(("nodes", "near", "skip"), kinds))})
+        kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()))
+        return struct(**{n: pa.array([x[i] for x in lessons], k) for i, (n, k) in enumerate(zip(("nodes", "near", "masked"), kinds))})
 
     drawn = df.where(hash_share(F.col(id_col)) < share(bound, df.count())).where(_holds(df[text_col]))
-    got = extend(drawn, run, "struct<nodes:array<string>,near:array<int>,skip:array<int>>", text_of(drawn, text_col), [])
+    got = extend(drawn, run, "struct<nodes:array<string>,near:array<int>,masked:array<string>>", text_of(drawn, text_col), [])
 
     def tagged(c: str, kind: int) -> Column:
         return F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("x")))
 
-    kinds = [tagged(c, i) for i, c in enumerate(("nodes", "near", "skip"))]
+    kinds = [tagged(c, i) for i, c in enumerate(("nodes", "near", "masked"))]
     counted = got.select(F.explode(F.concat(*kinds)).alias("e")).groupBy("e.kind", "e.x").count().collect()
-    nodes, near, skip = (Counter({(x if i == 0 else int(x)): n for k, x, n in counted if k == i}) for i in range(3))
-    return fit(nodes, near, skip)
+    nodes, near, masked = (Counter({(int(x) if i == 1 else x): n for k, x, n in counted if k == i}) for i in range(3))
+    return fit(nodes, near, masked)
 
 
 def find(df: DataFrame, model: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
