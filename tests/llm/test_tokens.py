@@ -65,6 +65,14 @@ def test_encode_and_round_trip(reference):
     assert [i.tolist() for i in ids] == [reference.encode_ordinary(t) for t in texts]
     assert [e.decode(i).tobytes().decode() for i in ids] == texts
     assert all((np.diff(a) > 0).all() and (not len(a) or a[0] == 0) for a in at)
+    rng = random.Random(1)
+    for t, i, a in zip(texts, ids, at):
+        raw = t.encode()
+        low = rng.randint(0, len(raw))
+        high = rng.randint(low, len(raw))
+        assert e.window(i, a, low, high) == raw[low:high] and len(e.heads(i, a)) == len(a)
+    with pytest.raises(ValueError):
+        e.heads(ids[texts.index("we'll've")], at[texts.index("a  b")] + 1)
 
 
 @settings(max_examples=200, deadline=None)
@@ -102,7 +110,7 @@ def test_frames(spark, pieces, reference):
     for r in got:
         want = len(pieces.encode(r.text or ""))
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (want, len((r.text or "").encode()), want > 5)
-    coded = byte_bpe.decode(byte_bpe.encode(df, offsets=True))
+    coded = byte_bpe.decode(byte_bpe.encode(df, offsets=True), starts_col="piece_starts")
     for r in coded.collect():
         assert r.ids == reference.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
         assert len(r.piece_starts) <= len(r.ids)

@@ -8,6 +8,9 @@ Functions compose associatively, so boundaries come from a two-level scan:
 blocks are reduced to one composed function each, states are carried from block
 to block, and all blocks are replayed side by side.  The slices between
 boundaries are merged pair by pair, through a bounded cache of known slices.
+Where each slice begins, in bytes, is kept beside the ids.  Decoding lays slices out at
+these offsets, and fails if ids and offsets don't belong together; a window of bytes is decoded
+from the slices that reach into it alone.
 
 Null text counts as empty: no ids, and empty bytes when decoded.  Texts of any
 length are encoded whole.  Repeated rows are encoded each; an empty table gives
@@ -177,7 +180,7 @@ class ByteBpe(Cache):
         return np.array(ids, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
-        """Packed ids of each text, and where its slices begin, in code points."""
+        """Packed ids of each text, and the byte at which each of its slices begins."""
         joined = "".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -186,15 +189,33 @@ class ByteBpe(Cache):
         at = starts(codes, first)
         ends = np.append(at, len(codes)).tolist()
         pieces = list(map(joined.__getitem__, map(slice, ends, ends[1:])))
-        cut = np.searchsorted(at, bounds).tolist()
-        ids = [b"".join(map(self.__getitem__, pieces[a:b])) for a, b in zip(cut, cut[1:])]
-        return ids, [at[a:b] - s for a, b, s in zip(cut, cut[1:], bounds)]
+        cut = np.searchsorted(at, bounds)
+        place = np.concatenate([[0], np.cumsum((1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)), dtype=np.int64)])
+        byte, head = place[at], place[bounds]
+        ids = [b"".join(map(self.__getitem__, pieces[a:b])) for a, b in zip(cut.tolist(), cut[1:].tolist())]
+        return ids, [byte[a:b] - h for a, b, h in zip(cut, cut[1:], head)]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for, one token after the other."""
         size = self.size[ids]
         return self.bytes[np.repeat(self.place[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
+    def heads(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The first id of each slice, given the byte at which it begins; ValueError where no token begins there."""
+        before = np.cumsum(self.size[ids]) - self.size[ids]
+        at = np.searchsorted(before, begins)
+        if len(begins) and (at[-1] >= len(ids) or (before[at] != begins).any() or begins[0]) or (len(ids) and not len(begins)):
+            raise ValueError("these offsets aren't those of these ids")
+        return at
+
+    def window(self, ids: np.ndarray, begins: np.ndarray, low: int, high: int) -> bytes:
+        """Bytes ``low`` to ``high`` of a text, from the slices that reach into them."""
+        heads = np.append(self.heads(ids, begins), len(ids))
+        a, b = max(int(np.searchsorted(begins, low, side="right")) - 1, 0), int(np.searchsorted(begins, high))
+        if b <= a:
+            return b""
+        return self.decode(ids[heads[a] : heads[b]]).tobytes()[low - int(begins[a]) : high - int(begins[a])]
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ByteBpe:
@@ -207,7 +228,7 @@ def lists(of: list, kind: pa.DataType) -> pa.Array:
 
 
 def encode(df: DataFrame, text_col: str = "text", ranks: str = RANKS, offsets: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Append ``ids`` (array<int>) and, on request, ``piece_starts`` (array<int>), the code point at which each pre-token begins."""
+    """Append ``ids`` (array<int>) and, on request, ``piece_starts`` (array<int>), the byte at which each pre-token begins."""
 
     def run(texts: pa.Array) -> pa.Array:
         e, ids, at, sizes = encoder(tokenizer_file(ranks)), [], [], []
@@ -217,16 +238,20 @@ def encode(df: DataFrame, text_col: str = "text", ranks: str = RANKS, offsets: b
             ids.append(b"".join(i))
             at += s if offsets else []
         flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-        return struct(ids=pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat), **({"piece_starts": lists(at, pa.int32())} if offsets else {}))
+        return struct(ids=pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat), **({"piece_starts": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *at]), pa.int32()))} if offsets else {}))
 
     return extend(df, run, "struct<ids:array<int>" + ",piece_starts:array<int>" * offsets + ">", text_of(df, text_col), keep)
 
 
-def decode(df: DataFrame, ids_col: str = "ids", ranks: str = RANKS, keep: list[str] | None = None) -> DataFrame:
-    """Append ``decoded`` (binary), the bytes that the ids stand for; null ids give empty bytes."""
+def decode(df: DataFrame, ids_col: str = "ids", starts_col: str | None = None, ranks: str = RANKS, keep: list[str] | None = None) -> DataFrame:
+    """Append ``decoded`` (binary), the bytes that the ids stand for; null ids give empty bytes.
+
+    With ``starts_col`` (as ``piece_starts`` of ``encode``) each slice must begin at its offset.
+    """
 
-    def run(ids: pa.Array) -> pa.Array:
-        e, flat = encoder(tokenizer_file(ranks)), ids.flatten().to_numpy(zero_copy_only=False)
+    def run(rows: pa.Array) -> pa.Array:
+        e, ids = encoder(tokenizer_file(ranks)), rows.field("ids")
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
         out, bounds, done = [], np.zeros(len(ids) + 1, np.int32), 0
         for at in range(0, len(flat), STEP):
@@ -236,12 +261,17 @@ def decode(df: DataFrame, ids_col: str = "ids", ranks: str = RANKS, keep: list[s
             bounds[1 + inside] = done + np.cumsum(e.size[part])[ends[inside] - at - 1]
             done += len(out[-1])
         bounds = np.maximum.accumulate(bounds)  # texts without ids end where the one before does
+        if starts_col:  # over all texts at once: a slice begins at its text's first byte and its own offset
+            begins = rows.field("starts")
+            each = begins.value_lengths().to_numpy(zero_copy_only=False)
+            e.heads(flat, begins.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(bounds[:-1], each))
         return struct(decoded=pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(out))]))
 
-    return extend(df, run, "struct<decoded:binary>", F.coalesce(df[ids_col], F.array().cast("array<int>")), keep)
+    some = lambda c: F.coalesce(df[c], F.array().cast("array<int>"))
+    return extend(df, run, "struct<decoded:binary>", F.struct(some(ids_col).alias("ids"), *([some(starts_col).alias("starts")] if starts_col else [])), keep)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    coded = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"))
-    return decode(coded, keep=["doc_id", "n_tokens", "ids_sha256"]).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(table(spark, sf_dir, "documents"), offsets=True, keep=["doc_id"])
+    coded = coded.select("doc_id", "ids", "piece_starts", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"))
+    return decode(coded, starts_col="piece_starts", keep=["doc_id", "n_tokens", "ids_sha256"]).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
