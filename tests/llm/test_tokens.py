@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,8 +43,6 @@ def fuzz(n: int = 2000) -> list[str]:
 
 def test_counts(pieces):
     counter = token_count.PieceCounter(public_path(token_count.MODEL), cache=500)
-    import pyarrow as pa
-
     texts = fuzz()
     want = [len(x) for x in pieces.encode(texts, num_threads=1)]
     assert counter.count(pa.array(texts)).tolist() == want == counter.count(pa.array(texts)).tolist()
@@ -60,8 +59,10 @@ def test_forest_counts_as_the_heap_does():
 def test_encode_and_round_trip(reference):
     e = byte_bpe.ByteBpe(public_path(byte_bpe.RANKS), cache=500)
     texts = fuzz()
-    packed, at = e.encode(texts)
-    ids = [np.frombuffer(p, np.int32) for p in packed]
+    flat, ends, begins, cut = e.encode(pa.array(texts))
+    ids = [flat[a:b] for a, b in zip(ends, ends[1:])]
+    at = [begins[a:b] for a, b in zip(cut, cut[1:])]
+    assert len(e.new) <= 250 and len(e.old) <= 250
     assert [i.tolist() for i in ids] == [reference.encode_ordinary(t) for t in texts]
     assert [e.decode(i).tobytes().decode() for i in ids] == texts
     assert all((np.diff(a) > 0).all() and (not len(a) or a[0] == 0) for a in at)
@@ -86,10 +87,13 @@ def test_scan_width_does_not_matter(texts):
     assert all((byte_bpe.starts(codes, first, w) == wide).all() for w in (1, 2, 3, 7))
 
 
-def test_list_scan_merges_like_the_heap():
+def test_forest_merges_like_the_heap():
     e = byte_bpe.encoder(public_path(byte_bpe.RANKS))
-    for t in fuzz(300):
-        assert byte_bpe.scanned(t.encode(), e.ranks) == token_count.merged(t.encode(), e.ranks)
+    rng = random.Random(8)
+    pieces = [" " + "".join(rng.choice("thequickéñ.,AB1漢") for _ in range(rng.randint(0, 70))) for _ in range(2000)]
+    for p, ids in zip(pieces, e.fresh(pieces)):
+        raw = p.encode()
+        assert np.frombuffer(ids, np.int32).tolist() == ([e.ranks[raw]] if raw in e.ranks else [e.ranks[x] for x in token_count.merged(raw, e.ranks)])
 
 
 def test_classes_follow_the_library():

@@ -6,7 +6,7 @@ contraction, ...), which already holds what the pattern looks ahead for.  A
 class acts on the eight states of a small automaton as a transition function.
 Functions compose associatively, so boundaries come from a two-level scan:
 blocks are reduced to one composed function each, states are carried from block
-to block, and all blocks are replayed side by side.  The slices between
+to block, and all blocks are replayed side by side.  The distinct slices between
 boundaries are merged pair by pair, through a bounded cache of known slices.
 Where each slice begins, in bytes, is kept beside the ids.  Decoding lays slices out at
 these offsets, and fails if ids and offsets don't belong together; a window of bytes is decoded
@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import extend, steps, struct, table, text_of, tokenizer_file
-from vertexloom.llm.token_count import Cache, merged
+from vertexloom.llm.common import extend, flat, steps, struct, table, text_of, tokenizer_file
+from vertexloom.llm.token_count import TREES, WIDEST, Forest, Pairs, merged
 
 RANKS = "byte_bpe_50k.tiktoken"
 CACHE = 400_000
 #: Texts are worked on in steps of about so many bytes.
-STEP = 1 << 19
+STEP = 1 << 21
 
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, JOIN, ALONE = range(8)
 IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_JOIN, IN_BLANK, FRESH, ONE_MORE, TWO_MORE = range(8)
@@ -140,30 +140,11 @@ def starts(codes: np.ndarray, first: np.ndarray, width: int = 512) -> np.ndarray
     return np.flatnonzero(begins.T.ravel()[:n])
 
 
-def scanned(piece: bytes, ranks: dict) -> list[bytes]:
-    """What ``merged`` gives, by scanning a list for the lowest rank: faster for the usual short piece."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    get, none = ranks.get, 1 << 60
-    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-    while pairs:
-        rank = min(pairs)
-        if rank == none:
-            break
-        i = pairs.index(rank)
-        parts[i] += parts.pop(i + 1)
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
-        if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-    return parts
-
-
-class ByteBpe(Cache):
-    """Ids by slice of text, packed as 32-bit numbers: few objects are kept, and a text's ids are one join."""
+class ByteBpe:
+    """Ids by slice of text, packed as 32-bit numbers, so few objects are kept; a step looks up each distinct slice once."""
 
     def __init__(self, path: str, cache: int = CACHE):
-        super().__init__(cache)
+        self.most, self.new, self.old = cache // 2, {}, {}
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         tokens = [b""] * (max(self.ranks.values()) + 1)
@@ -173,27 +154,61 @@ class ByteBpe(Cache):
         self.size = np.array([len(t) for t in tokens])
         self.place = np.cumsum(self.size) - self.size
 
-    def make(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else [self.ranks[s] for s in (scanned if len(raw) <= 48 else merged)(raw, self.ranks)]
-        return np.array(ids, np.int32).tobytes()
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
-        """Packed ids of each text, and the byte at which each of its slices begins."""
-        joined = "".join(texts)
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        number = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.symbol, self.pair = number, Pairs([(self.ranks[t[:k]], self.ranks[t[k:]], r, r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks], len(tokens))
+
+    def fresh(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of slices that aren't remembered: a vocabulary entry as it is, others merged pair by pair, thousands at once."""
+        raw = [p.encode() for p in pieces]
+        out = [self.ranks.get(r) for r in raw]
+        size = np.array([len(r) if whole is None else 0 for r, whole in zip(raw, out)])
+        out = [b"" if whole is None else np.int32(whole).tobytes() for whole in out]
+        width = 1
+        while width < WIDEST:
+            width *= 2
+            rows = np.flatnonzero((size > width // 2) & (size <= width))
+            for at in range(0, len(rows), TREES):
+                own = rows[at : at + TREES]
+                text = np.frombuffer(b"".join(raw[i].ljust(width, b"\0") for i in own), np.uint8).reshape(-1, width)
+                forest = Forest(self.symbol[text], size[own], width, self.pair)
+                many = size[own] - forest.run()
+                ids, ends = forest.left().astype(np.int32).tobytes(), (np.cumsum(many) * 4).tolist()
+                for i, a, b in zip(own.tolist(), [0, *ends], ends):
+                    out[i] = ids[a:b]
+        for i in np.flatnonzero(size > WIDEST):
+            out[i] = np.array([self.ranks[x] for x in merged(raw[i], self.ranks)], np.int32).tobytes()
+        return out
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of distinct slices; two generations of ``most`` slices are remembered."""
+        new, old = self.new, self.old
+        out = [new.get(p) or old.get(p) for p in pieces]
+        miss = [i for i, ids in enumerate(out) if ids is None]
+        for at in range(0, len(miss), self.most):
+            own = miss[at : at + self.most]
+            names = [pieces[i] for i in own]
+            for i, ids in zip(own, got := self.fresh(names)):
+                out[i] = ids
+            if len(self.new) + len(own) > self.most:
+                self.old, self.new = self.new, {}
+            self.new.update(zip(names, got))
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts and where each text's end; the byte of its text at which each slice begins, and where each text's slices end."""
+        data, offsets = flat(texts)
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        byte = np.flatnonzero((data & 0xC0) != 0x80)  # where code points begin
         first = np.zeros(len(codes), bool)
-        first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
-        at = starts(codes, first)
-        ends = np.append(at, len(codes)).tolist()
-        pieces = list(map(joined.__getitem__, map(slice, ends, ends[1:])))
-        cut = np.searchsorted(at, bounds)
-        place = np.concatenate([[0], np.cumsum((1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)), dtype=np.int64)])
-        byte, head = place[at], place[bounds]
-        ids = [b"".join(map(self.__getitem__, pieces[a:b])) for a, b in zip(cut.tolist(), cut[1:].tolist())]
-        return ids, [byte[a:b] - h for a, b, h in zip(cut, cut[1:], head)]
+        first[np.searchsorted(byte, offsets[:-1][offsets[:-1] < offsets[1:]])] = True
+        begins = byte[starts(codes, first)]
+        slices = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        packed, kind = self.known(slices.dictionary.to_pylist()), slices.indices.to_numpy()
+        ids, many = np.frombuffer(b"".join(packed), np.int32), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        size, ends = many[kind], np.cumsum(many[kind])
+        ids = ids[np.repeat((np.cumsum(many) - many)[kind] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.searchsorted(begins, offsets)
+        return ids, np.append(0, ends)[cut], begins - np.repeat(offsets[:-1], np.diff(cut)), cut
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for, one token after the other."""
@@ -222,6 +237,13 @@ def encoder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """One array of lists from values and bounds of several."""
+    values = np.concatenate([np.zeros(0, np.int32), *[v for v, _ in parts]]).astype(np.int32)
+    sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(b) for _, b in parts]])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+
+
 def lists(of: list, kind: pa.DataType) -> pa.Array:
     flat = np.fromiter(chain.from_iterable(of), kind.to_pandas_dtype(), sum(map(len, of)))
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in of])]), pa.int32()), pa.array(flat, kind))
@@ -231,14 +253,11 @@ def encode(df: DataFrame, text_col: str = "text", ranks: str = RANKS, offsets: b
     """Append ``ids`` (array<int>) and, on request, ``piece_starts`` (array<int>), the byte at which each pre-token begins."""
 
     def run(texts: pa.Array) -> pa.Array:
-        e, ids, at, sizes = encoder(tokenizer_file(ranks)), [], [], []
+        e, parts = encoder(tokenizer_file(ranks)), []
         for part in steps(texts, STEP):
-            i, s = e.encode(part.to_pylist())
-            sizes += [len(x) // 4 for x in i]
-            ids.append(b"".join(i))
-            at += s if offsets else []
-        flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-        return struct(ids=pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat), **({"piece_starts": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *at]), pa.int32()))} if offsets else {}))
+            parts.append(e.encode(part))
+        lists = [_lists([p[i : i + 2] for p in parts]) for i in ((0, 2) if offsets else (0,))]
+        return struct(**dict(zip(("ids", "piece_starts"), lists)))
 
     return extend(df, run, "struct<ids:array<int>" + ",piece_starts:array<int>" * offsets + ">", text_of(df, text_col), keep)
 
@@ -251,11 +270,11 @@ def decode(df: DataFrame, ids_col: str = "ids", starts_col: str | None = None, r
 
     def run(rows: pa.Array) -> pa.Array:
         e, ids = encoder(tokenizer_file(ranks)), rows.field("ids")
-        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        every = ids.flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
         out, bounds, done = [], np.zeros(len(ids) + 1, np.int32), 0
-        for at in range(0, len(flat), STEP):
-            part = flat[at : at + STEP]
+        for at in range(0, len(every), STEP):
+            part = every[at : at + STEP]
             out.append(e.decode(part).tobytes())
             inside = np.flatnonzero((ends > at) & (ends <= at + len(part)))
             bounds[1 + inside] = done + np.cumsum(e.size[part])[ends[inside] - at - 1]
@@ -264,7 +283,7 @@ def decode(df: DataFrame, ids_col: str = "ids", starts_col: str | None = None, r
         if starts_col:  # over all texts at once: a slice begins at its text's first byte and its own offset
             begins = rows.field("starts")
             each = begins.value_lengths().to_numpy(zero_copy_only=False)
-            e.heads(flat, begins.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(bounds[:-1], each))
+            e.heads(every, begins.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(bounds[:-1], each))
         return struct(decoded=pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(out))]))
 
     some = lambda c: F.coalesce(df[c], F.array().cast("array<int>"))

@@ -37,6 +37,8 @@ MODEL = "piece_bpe_32k.model"
 CACHE = 800_000
 #: Symbols that a chunk of a forest has at most, and chunks in a forest.
 WIDEST, TREES = 64, 1 << 14
+#: Text bytes whose distinct chunks are looked up at a time.
+STEP = 8 << 20
 #: No pair; above every rank.
 NONE = np.int32(1 << 30)
 
@@ -103,24 +105,6 @@ def _fields(raw: bytes):
             at += size
 
 
-class Cache(dict):
-    """A dictionary that fills itself by ``make`` and stays bounded: two generations of ``most`` / 2 entries, of which the older goes."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most // 2, {}
-
-    def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Forest:
     """Chunks of at most ``width`` symbols (a power of two), each with a heap of its adjacent pairs and a linked list.
 
@@ -130,7 +114,7 @@ class Forest:
 
     def __init__(self, symbols: np.ndarray, sizes: np.ndarray, width: int, pair):
         self.width, self.pair, n = width, pair, len(symbols)
-        self.symbols, self.merges = symbols.ravel(), np.zeros(n, np.int64)
+        self.symbols, self.merges, self.gone = symbols.ravel(), np.zeros(n, np.int64), np.zeros(n * width, bool)
         self.after = np.tile(np.arange(1, width + 1, dtype=np.int8), n)
         self.before = np.tile(np.arange(-1, width - 1, dtype=np.int8), n)
         self.sizes = sizes
@@ -165,7 +149,7 @@ class Forest:
             base, i = live * width, best % width
             j = self.after[base + i].astype(np.int64)
             whole = self.pair(self.symbols[base + i], self.symbols[base + j])[1]
-            self.symbols[base + i] = whole
+            self.symbols[base + i], self.gone[base + j] = whole, True
             k = self.after[base + j].astype(np.int64)
             self.after[base + i] = k
             some = k < self.sizes[live]
@@ -180,6 +164,32 @@ class Forest:
                 self._set(live[some], h[some], self.pair(self.symbols[(base + h)[some]], whole[some])[0])
 
 
+    def left(self) -> np.ndarray:
+        """The symbols left after ``run``, chunk by chunk in order."""
+        inside = (np.arange(self.width) < self.sizes[:, None]).ravel()
+        return self.symbols[inside & ~self.gone]
+
+
+class Pairs:
+    """Which neighbouring symbols merge: (left, right, rank, whole) by number of symbol."""
+
+    def __init__(self, pairs: list[tuple[int, int, int, int]], many: int):
+        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 4)
+        self.many, self.keys = many, pairs[:, 0] * many + pairs[:, 1]
+        self.rank, self.whole = pairs[:, 2].astype(np.int32), pairs[:, 3].astype(np.int32)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of two neighbouring symbols, NONE if they don't merge, and what they merge to."""
+        at, hit = found(self.keys, left.astype(np.int64) * self.many + right)
+        return np.where(hit, self.rank[at], NONE), self.whole[at]
+
+
+def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` stand in sorted ``keys``, which are some, and whether they do."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class PieceCounter:
     """Token count by chunk; a chunk is a run of spaces and the other characters up to the next space."""
 
@@ -206,19 +216,9 @@ class PieceCounter:
         self.of = np.full(sys.maxunicode + 1, -1, np.int32)  # number of a character's piece
         self.of[[ord(c) for c in self.single]] = [number[c] for c in self.single]
         self.many = len(number)
-        pairs = sorted((number[p[:k]] * self.many + number[p[k:]], r, number[p]) for p, r in self.ranks.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
-        self.keys, self.rank, self.whole = np.array([x[0] for x in pairs], np.int64), np.array([x[1] for x in pairs], np.int32), np.array([x[2] for x in pairs], np.int32)
+        self.pair = Pairs([(number[p[:k]], number[p[k:]], r, number[p]) for p, r in self.ranks.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number], self.many)
         self.joined = np.array(sorted({number[a] * self.many + number[b] for p in self.ranks for a, b in pairwise(p)}), np.int64)
 
-    def _find(self, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-        return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-
-    def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rank of two neighbouring symbols, NONE if they don't merge, and what they merge to."""
-        at, hit = self._find(self.keys, left.astype(np.int64) * self.many + right)
-        return np.where(hit, self.rank[at], NONE), self.whole[at]
-
     def fresh(self, chunks: list[str]) -> np.ndarray:
         """Token counts of chunks that aren't remembered."""
         text = "".join(chunks)
@@ -226,7 +226,7 @@ class PieceCounter:
         begin = np.cumsum([0, *map(len, chunks)])
         symbol = self.of[codes]
         cut = symbol < 0  # no piece has the two characters at a cut side by side: merging stops there
-        cut[1:] |= (symbol[:-1] < 0) | ~self._find(self.joined, symbol[:-1].astype(np.int64) * self.many + symbol[1:])[1]
+        cut[1:] |= (symbol[:-1] < 0) | ~found(self.joined, symbol[:-1].astype(np.int64) * self.many + symbol[1:])[1]
         cut[begin[:-1]] = True
         part = np.flatnonzero(cut)
         sizes = np.diff(np.append(part, len(codes)))
@@ -261,7 +261,7 @@ class PieceCounter:
     def count(self, texts: pa.Array) -> np.ndarray:
         """Token counts of texts."""
         out = [np.zeros(0, np.int64)]
-        for part in steps(texts):
+        for part in steps(texts, STEP):
             part = pc.replace_substring(part.cast(pa.large_string()), "▁", " ")
             odd = pc.or_(pc.match_substring(part, "  "), pc.or_(pc.starts_with(part, " "), pc.ends_with(part, " "))).to_numpy(zero_copy_only=False)
             count = np.zeros(len(part), np.int64)
