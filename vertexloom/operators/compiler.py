@@ -18,7 +18,7 @@ from vertexloom.operators.predicates import literal, predicate
 from vertexloom.plans import ir
 from vertexloom.plans.hints import VertexHints, vertex_hints
 from vertexloom.plans.planner import bind, counts_used, fold_join, predicates
-from vertexloom.sources.spec import TYPENAME, EdgeArray, EdgeKeys, EdgeTable, Source, asked
+from vertexloom.sources.spec import TYPENAME, EdgeArray, EdgeKeys, EdgeTable, Source, asked, takes
 
 
 def _all(conditions) -> Column:
@@ -80,7 +80,7 @@ class Compiler:
 
     def hints(self, v: ir.Vertex, c: ir.Component, binding: bool = True) -> VertexHints:
         one = lambda f: fold_join(f, self.arguments, self.used_counts, f.from_vid in self.absent) in ("semi", "inner")
-        return vertex_hints(v, c, self.needed[v.vid], self.arguments, binding, one)
+        return vertex_hints(v, c, self.needed, self.arguments, binding, one)
 
     # columns
 
@@ -127,27 +127,35 @@ class Compiler:
     def _order(self, edge, target: str) -> tuple[str, ...]:
         return self.source.order_of(target) if getattr(edge, "order", None) is None else edge.order
 
-    def far(self, edge: EdgeKeys, target: str, parameters: dict, names: set[str], prefix: str, ordered: bool, hints: VertexHints | None = None) -> DataFrame:
+    def starts(self, df: DataFrame, edge: EdgeTable, own: str, hints: VertexHints | None) -> dict[str, DataFrame]:
+        """What a fetching edge starts from: distinct keys and the tags that its vertices are compared with."""
+        if not isinstance(edge, EdgeTable) or not takes(edge.rows, "starts"):
+            return {}
+        tags = [F.col(self.ref_name(t.ref)).alias(t.name) for t in (hints.tags if hints else ()) if self.ref_name(t.ref) in df.columns]
+        return {"starts": df.select(*[F.col(own + a).alias(a) for a in edge.uses], *tags).distinct()}
+
+    def far(self, edge: EdgeKeys, target: str, parameters: dict, names: set[str], prefix: str, ordered: bool, hints: VertexHints | None = None, starts: dict | None = None) -> DataFrame:
         """The far side of a keyed edge, its columns prefixed; keys are ``{prefix}key{i}``."""
         extra = {b for _, b in edge.on} | (set(self._order(edge, target)) if ordered else set())
         raw = None
         if isinstance(edge, EdgeTable):
-            raw = edge.rows(self.source.spark, **parameters, **asked(edge.rows, hints))
+            raw = edge.rows(self.source.spark, **parameters, **asked(edge.rows, hints), **(starts or {}))
         elif edge.where is not None:
             raw = self.source.table_of(target)[0].raw
             raw = raw.where(edge.where(lambda n: raw[n], **parameters))
-        df = self.source.frame(target, names | extra, "", raw)
+        df = self.source.frame(target, names | extra, "", raw, hints)
         columns = [F.col(n).alias(prefix + n) for n in sorted(names)] + [F.col(b).alias(f"{prefix}key{i}") for i, (_, b) in enumerate(edge.on)]
         if ordered:
             columns.append(F.struct(*[F.col(n) for n in self._order(edge, target)] or [F.lit(0)]).alias(prefix + "ord"))
         return df.select(*columns)
 
-    def hop(self, df: DataFrame, edge, target: str, parameters: dict, start: int | str, to: str, names: set[str], how: str, ordered: bool, hints: VertexHints | None = None) -> DataFrame:
-        """Append the columns ``{to}{name}`` of the neighbours; with ``how`` left also ``{to}exists``."""
+    def hop(self, df: DataFrame, edge, target: str, parameters: dict, start: int | str, to: str, names: set[str], how: str, ordered: bool, hints: VertexHints | None = None, only: str | None = None) -> DataFrame:
+        """Append the columns ``{to}{name}`` of the neighbours; with ``how`` left also ``{to}exists``.  Rows for which the column ``only`` is false have none."""
         own = self.name(start, "") if isinstance(start, int) else start
         if isinstance(edge, EdgeArray):
             array = edge.array(lambda n: F.col(own + n), **parameters)
             array = F.when(self.exists(start), array) if isinstance(start, int) and start in self.absent else array
+            array = F.when(F.col(only), array) if only else array
             explode = F.posexplode_outer if how == "left" else F.posexplode
             df = df.select("*", explode(array).alias(to + "pos", to + "at"))
             table, holder = self.source.table_of(target)
@@ -159,11 +167,11 @@ class Compiler:
             columns += [F.struct(F.col(to + "pos")).alias(to + "ord")] if ordered else []
             columns += [F.col(to + "pos").isNotNull().alias(to + "exists")] if how == "left" else []
             return df.select(*[c for c in df.columns if c not in (to + "pos", to + "at")], *columns)
-        right = self.far(edge, target, parameters, names, to, ordered, hints)
+        right = self.far(edge, target, parameters, names, to, ordered, hints, self.starts(df, edge, own, hints))
         if how == "left":
             right = right.withColumn(to + "exists", F.lit(True))
         on = _all(F.col(own + a) == F.col(f"{to}key{i}") for i, (a, _) in enumerate(edge.on))
-        df = df.join(right, on, how).drop(*[f"{to}key{i}" for i in range(len(edge.on))])
+        df = df.join(right, on & F.col(only) if only else on, how).drop(*[f"{to}key{i}" for i in range(len(edge.on))])
         return df.withColumn(to + "exists", F.coalesce(to + "exists", F.lit(False))) if how == "left" else df
 
     def follow(self, df: DataFrame, s: ir.Edge, c: ir.Component, ordered: bool) -> DataFrame:
@@ -182,31 +190,35 @@ class Compiler:
         return df
 
     def recurse(self, df: DataFrame, s: ir.Edge, edge, target: str, ordered: bool) -> DataFrame:
-        names, to, base = sorted(self.needed[s.to_vid]), self.name(s.to_vid, ""), df.columns
-        below = s.from_vid in self.absent
-        tail = [to + "exists"] if below else []
-        flag = [F.lit(True).alias(to + "exists")] if below else []
+        """A row for each vertex on the way, from the start on: one join a hop.
+
+        At each hop a row that still leads on is doubled: one copy stays as it is, the
+        other goes on to the neighbours and is dropped if there are none.  Rows that stay keep
+        their keys, so they spread over tasks like the others.
+        """
+        names, to, base, step = sorted(self.needed[s.to_vid]), self.name(s.to_vid, ""), df.columns, "n__"
+        below, live, go = s.from_vid in self.absent, step + "live", step + "go"
         deeper = self.source.find_edge(s.recursion.coerce_to or target, s.name)
-        level = df.select(*base, *[F.col(self.name(s.from_vid, n)).alias(to + n) for n in names], *([self.exists(s.from_vid).alias(to + "exists")] if below else []))
-        levels, step = [level], "n__"
+        here = self.exists(s.from_vid) if below else F.lit(True)
+        tail = [to + "exists"] if below else []
+        df = df.select(*base, *[F.col(self.name(s.from_vid, n)).alias(to + n) for n in names], *[here.alias(t) for t in tail], here.alias(live))
+        path = [to + "ord"] if ordered else []
         for k in range(s.recursion.depth):
+            on = F.col(live)
             if k and s.recursion.coerce_to:
-                level = level.where(F.col(to + TYPENAME).isin(self.schema.concrete(s.recursion.coerce_to)))
-            following = level.where(self.exists(s.to_vid)) if below else level
-            following = self.hop(following, deeper if k else edge, target, s.parameters, to, step, set(names), "inner", ordered)
-            path = []
+                on = on & F.col(to + TYPENAME).isin(self.schema.concrete(s.recursion.coerce_to))
+            both = F.when(on, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+            df = self.hop(df.select("*", F.explode(both).alias(go)), deeper if k else edge, target, s.parameters, to, step, set(names), "left", ordered, only=go)
+            came = F.col(step + "exists")
+            df = df.where(~F.col(go) | came)
+            ways = []
             if ordered:
                 one = F.array(F.col(step + "ord"))
-                path = [(F.concat(to + "ord", one) if k else one).alias(to + "ord")]
-            level = following.select(*base, *[F.col(step + n).alias(to + n) for n in names], *flag, *path)
-            levels.append(level)
-        if ordered:
-            kind = levels[1].schema[to + "ord"].dataType
-            levels[0] = levels[0].withColumn(to + "ord", F.array().cast(kind))
+                ways = [F.when(came, F.concat(to + "ord", one) if k else one).otherwise(F.col(to + "ord") if k else F.array().cast(df.select(one).schema[0].dataType)).alias(to + "ord")]
+            df = df.select(*base, *[F.when(came, F.col(step + n)).otherwise(F.col(to + n)).alias(to + n) for n in names], *[F.col(t) for t in tail], came.alias(live), *ways)
         if below:
             self.absent.add(s.to_vid)
-        columns = [*base, *[to + n for n in names], *tail, *([to + "ord"] if ordered else [])]
-        return reduce(DataFrame.unionAll, [x.select(*columns) for x in levels])
+        return df.select(*base, *[to + n for n in names], *tail, *path)
 
     # folds
 
@@ -222,7 +234,8 @@ class Compiler:
         carried = [c for c in carried if c not in {own + a for a in edge.uses}]
         keys = [own + a for a in edge.uses] + carried
         if isinstance(edge, EdgeKeys) and not carried:
-            inner = self.far(edge, target, s.parameters, names, to, ordered, self.hints(v, s.component))
+            own_hints = self.hints(v, s.component)
+            inner = self.far(edge, target, s.parameters, names, to, ordered, own_hints, self.starts(df, edge, own, own_hints))
             inner = inner.where(_all(F.col(f"{to}key{i}").isNotNull() for i in range(len(edge.on))))
             inner = inner.withColumnsRenamed({f"{to}key{i}": own + a for i, (a, _) in enumerate(edge.on)})
             if self.selective and ordered:  # lists don't shrink before the shuffle: collect only those asked for

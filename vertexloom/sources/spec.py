@@ -10,6 +10,7 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,24 @@ from vertexloom.types import Type
 
 #: Looks up a raw column of a vertex.
 Get = Callable[[str], Column]
+
+
+@dataclass(frozen=True)
+class Mapped:
+    """A property that follows from one raw column, larger where that is larger, with the way back.
+
+    ``inverse(value, type)`` is what a constant stands for among raw values of a type,
+    or None if it can't be said; so constants are converted, not the column, and reach the scan.
+    """
+
+    raw: str
+    forward: Callable[[Column], Column]
+    inverse: Callable[[object, str], Column | None]
+
+    def __call__(self, get: Get) -> Column:
+        return self.forward(get(self.raw))
+
+
 Property = str | Callable[[Get], Column]
 TYPENAME = "__typename"
 
@@ -64,7 +83,12 @@ class EdgeArray:
 
 @dataclass
 class EdgeTable(EdgeKeys):
-    """As keys, but the far side is whatever a function returns: raw columns of the target."""
+    """As keys, but the far side is whatever a function returns: raw columns of the target.
+
+    A function with a parameter ``starts`` gets the distinct keys that the query arrives
+    with (named as the start's columns), and beside them, under the names in ``hints.tags``, the tagged
+    values that neighbours are compared with: enough to fetch what is asked for and no more.
+    """
 
     rows: Callable[..., DataFrame] | None = None
 
@@ -140,13 +164,29 @@ class Source:
         found = self.table_of(type_name)
         return found[0].order if found else ()
 
-    def frame(self, type_name: str, names: Iterable[str], prefix: str = "", raw: DataFrame | None = None) -> DataFrame:
+    @staticmethod
+    def narrowed(raw: DataFrame, table: VertexTable, hints: VertexHints | None) -> DataFrame:
+        """Without rows that filters of ``hints`` on mapped properties would drop."""
+        for name, c in hints.candidates.items() if hints else ():
+            made = table.properties.get(name)
+            if not isinstance(made, Mapped) or made.raw not in raw.columns:
+                continue
+            kind, column = raw.schema[made.raw].dataType.simpleString(), raw[made.raw]
+            if c.values and None not in c.values and None not in (same := [made.inverse(v, kind) for v in c.values]):
+                raw = raw.where(reduce(lambda a, b: a | b, [column == v for v in same]))
+            if c.low and (v := made.inverse(c.low[0], kind)) is not None:
+                raw = raw.where(column >= v)
+            if c.high and (v := made.inverse(c.high[0], kind)) is not None:
+                raw = raw.where(column <= v)
+        return raw
+
+    def frame(self, type_name: str, names: Iterable[str], prefix: str = "", raw: DataFrame | None = None, hints: VertexHints | None = None) -> DataFrame:
         """All vertices of a type (or those of ``raw``) with the named columns."""
         names = sorted(names)
         found = self.table_of(type_name)
         if found:
             table, own = found
-            raw = table.raw if raw is None else raw
+            raw = self.narrowed(table.raw if raw is None else raw, table, hints)
             get = lambda n: raw[n]
             if own != type_name and table.typename:
                 raw = raw.where(table.typename(get).isin(self.schema.concrete(type_name)))
@@ -173,11 +213,11 @@ class Source:
         if root is None:
             raise SourceError("UnknownStartingEdge", name)
         if root.rows is None:
-            return self.frame(type_name, names, prefix)
+            return self.frame(type_name, names, prefix, hints=hints)
         found = self.table_of(type_name)
         if found is None:
             raise SourceError("StartingEdgeNeedsTable", name, type_name)
-        return self.frame(type_name, names, prefix, root.rows(found[0].raw, **parameters, **asked(root.rows, hints)))
+        return self.frame(type_name, names, prefix, root.rows(found[0].raw, **parameters, **asked(root.rows, hints)), hints)
 
     def joined_with(self, schema: Schema, *others: Source) -> Source:
         """One source over several backends, under a schema that spans them; edges between them can be added."""
@@ -191,7 +231,11 @@ class Source:
 
 def asked(rows: Callable, hints: VertexHints | None) -> dict[str, object]:
     """The hints, for a function that takes them."""
-    return {"hints": hints} if hints is not None and "hints" in inspect.signature(rows).parameters else {}
+    return {"hints": hints} if hints is not None and takes(rows, "hints") else {}
+
+
+def takes(rows: Callable, name: str) -> bool:
+    return name in inspect.signature(rows).parameters
 
 
 def check_source(source: Source) -> list[SourceError]:
@@ -206,7 +250,12 @@ def check_source(source: Source) -> list[SourceError]:
                 try:
                     edge = source.find_edge(t.name, f.name)
                     source.frame(t.name, edge.uses).schema  # noqa: B018
-                    if isinstance(edge, EdgeKeys) and not isinstance(edge, EdgeTable):
+                    if isinstance(edge, EdgeTable):
+                        if not takes(edge.rows, "starts") and not f.parameters:
+                            hints = {"hints": VertexHints(f.type.name, None, frozenset())} if takes(edge.rows, "hints") else {}
+                            rows = edge.rows(source.spark, **hints)
+                            rows.select(*[b for _, b in edge.on]).schema  # noqa: B018
+                    elif isinstance(edge, EdgeKeys):
                         source.frame(f.type.name, [b for _, b in edge.on]).schema  # noqa: B018
                 except SourceError as e:
                     out.append(e)

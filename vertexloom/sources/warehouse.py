@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vertexloom.schema import Schema
-from vertexloom.sources.spec import Source
+from vertexloom.sources.spec import Mapped, Source
 
 SDL = f"""
 schema {{ query: Query }}
@@ -72,9 +73,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_schemas[key]).parquet(path)
 
 
-def _micros(column: str):
+def _when(micros: object, kind: str) -> Column | None:
+    try:
+        return F.lit(str(datetime(1970, 1, 1) + timedelta(microseconds=micros))).cast("timestamp_ntz") if kind == "timestamp_ntz" else None
+    except (OverflowError, TypeError):
+        return None
+
+
+def _micros(column: str) -> Mapped:
     """Microseconds since 1970, whatever the session's time zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
+    return Mapped(column, lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz")), _when)
 
 
 def warehouse_source(spark: SparkSession, sf_dir: str) -> Source:
@@ -94,10 +102,10 @@ def warehouse_source(spark: SparkSession, sf_dir: str) -> Source:
     s.vertex("Customer", read("customer", "c_", c_custkey="key"), {"premium": lambda get: F.when(get("acctbal") > 5000, get("acctbal"))}, order=["key"])
     s.vertex("Supplier", read("supplier", "s_", s_suppkey="key"), order=["key"])
     s.vertex("Part", read("part", "p_", p_partkey="key"), {"words": lambda get: F.split(get("name"), " ")}, order=["key"])
-    orders = read("orders", "o_", {"orderdate": _micros("orderdate")}, o_orderkey="key", o_orderstatus="status", o_orderpriority="priority")
-    s.vertex("Order", orders, order=["key"])
-    s.vertex("LineItem", read("lineitem", "l_", {"shipdate": _micros("shipdate")}), order=["orderkey", "linenumber"])
-    s.vertex("Event", read("events", "", {"ts": _micros("ts")}, event_id="id", user_id="userId", event_type="eventType"), order=["id"])
+    orders = read("orders", "o_", o_orderkey="key", o_orderstatus="status", o_orderpriority="priority")
+    s.vertex("Order", orders, {"orderdate": _micros("orderdate")}, order=["key"])
+    s.vertex("LineItem", read("lineitem", "l_"), {"shipdate": _micros("shipdate")}, order=["orderkey", "linenumber"])
+    s.vertex("Event", read("events", event_id="id", user_id="userId", event_type="eventType"), {"ts": _micros("ts")}, order=["id"])
     messages = read("conversations", "", {"after": F.col("turn") + 1, "before": F.col("turn") - 1}, conv_id="convId")
     s.vertex("Message", messages, order=["convId", "turn"])
     s.vertex("Document", read("documents", doc_id="id", n_chars="nChars"), order=["id"])
