@@ -35,8 +35,8 @@ from vertexloom.llm.token_count import TREES, WIDEST, Forest, Pairs, merged
 
 RANKS = "byte_bpe_50k.tiktoken"
 CACHE = 400_000
-#: Texts are worked on in steps of about so many bytes.
-STEP = 1 << 21
+#: Texts are worked on in steps of about so many bytes, and ids of so many.
+STEP, IDS = 1 << 20, 1 << 18
 
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, JOIN, ALONE = range(8)
 IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_JOIN, IN_BLANK, FRESH, ONE_MORE, TWO_MORE = range(8)
@@ -151,8 +151,8 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.size = np.array([len(t) for t in tokens])
-        self.place = np.cumsum(self.size) - self.size
+        self.size = np.array([len(t) for t in tokens], np.int32)
+        self.place = np.cumsum(self.size, dtype=np.int32) - self.size
 
         number = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.symbol, self.pair = number, Pairs([(self.ranks[t[:k]], self.ranks[t[k:]], r, r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks], len(tokens))
@@ -273,17 +273,21 @@ def decode(df: DataFrame, ids_col: str = "ids", starts_col: str | None = None, r
         every = ids.flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
         out, bounds, done = [], np.zeros(len(ids) + 1, np.int32), 0
-        for at in range(0, len(every), STEP):
-            part = every[at : at + STEP]
+        head = np.zeros(int(e.size[every].sum()) + 1, bool)  # where tokens begin
+        for at in range(0, len(every), IDS):
+            part = every[at : at + IDS]
             out.append(e.decode(part).tobytes())
-            inside = np.flatnonzero((ends > at) & (ends <= at + len(part)))
-            bounds[1 + inside] = done + np.cumsum(e.size[part])[ends[inside] - at - 1]
+            inside, after = np.flatnonzero((ends > at) & (ends <= at + len(part))), done + np.cumsum(e.size[part])
+            head[after[:-1]] = head[done] = True
+            bounds[1 + inside] = after[ends[inside] - at - 1]
             done += len(out[-1])
         bounds = np.maximum.accumulate(bounds)  # texts without ids end where the one before does
-        if starts_col:  # over all texts at once: a slice begins at its text's first byte and its own offset
-            begins = rows.field("starts")
-            each = begins.value_lengths().to_numpy(zero_copy_only=False)
-            e.heads(every, begins.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(bounds[:-1], each))
+        if starts_col:
+            starts, each = rows.field("starts"), rows.field("starts").value_lengths().to_numpy(zero_copy_only=False)
+            begins = starts.flatten().to_numpy(zero_copy_only=False) + np.repeat(bounds[:-1], each)
+            some = np.diff(bounds) > 0
+            if not head[begins].all() or (some != (each > 0)).any() or (begins[(np.cumsum(each) - each)[some]] != bounds[:-1][some]).any():
+                raise ValueError("these offsets aren't those of these ids")
         return struct(decoded=pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(out))]))
 
     some = lambda c: F.coalesce(df[c], F.array().cast("array<int>"))
