@@ -94,11 +94,39 @@ def test_regex_dialect(spark):
     assert match(r"[[:alpha:]]{2}") == ["ab"] and match(r"(?m)1$") == ["é1\n"] and match(r"(?P<n>x)[\]]y") == ["x]y"] and match("(?i)AB") == ["ab"]
     assert regex.python("[[:alpha:]]+").search("é1b")[0] == "b" and match("^[[:alpha:]]") == ["ab", "a\rb", "x]y"] and regex.python(r"b\z").search("ab")
     assert match(r"^\p{L}\p{N}") == ["é1\n"] and regex.python(r"\p{Lu}").search("aB")
-    for bad in ("[[:^alpha:]]", "[[:nothing:]]", "(", "a(?=b)", "(?<!a)b", r"(a)\1", "(?U)a", r"\k<n>"):
+    assert match(r"^[[:^alpha:]]") == ["é1\n"] and regex.python("[[:^alpha:]]").search("ab1")[0] == "1" and match(r"[^[:^alpha:]]\]") == ["x]y"]
+    for bad in ("[[:^nothing:]]", "[[:nothing:]]", "(", "a(?=b)", "(?<!a)b", r"(a)\1", "(?U)a", r"\k<n>"):
         with pytest.raises(ValueError):
             regex.java(bad)
 
 
+def test_both_engines_find_the_same():
+    import pyarrow as pa
+
+    texts = ["é1\n", "ab", "a\rb", "x]y", "", None, "٣ four_5", "A-b c", "aaaa!", "\u2003x"]
+    patterns = [r"^\w\d", r"b$", r"\s\w+", "[[:alpha:]]{2}", "[[:^alpha:]]", r"\bfour", r"\p{L}\p{N}", r"\p{Alphabetic}", "(?i)a-B", r"[\w-]+ c", r"\S\D$", "(", "a(?=b)", r"[^\W\d]", "(?P<n>x).", r"(?m)1$", r"[a-c&&[b]]"]
+    for p in patterns:
+        try:
+            want = [t is not None and regex.python(p).search(t) is not None for t in texts]
+        except ValueError:
+            want = [False] * len(texts)
+        except regex.regex.error:
+            want = [False] * len(texts)
+        assert regex._search(pa.array(texts), p).to_pylist() == want, p
+    many = regex._matches(pa.array([t for t in texts for _ in patterns]), pa.array(patterns * len(texts)))
+    assert many.to_pylist() == [regex._search(pa.array([t], pa.string()), p).to_pylist()[0] for t in texts for p in patterns]
+    assert regex.linear(r"\d+") and regex.linear(r"\bx") is None
+
+
+def test_explosive_patterns_take_linear_time(spark):
+    for p in ("(a+)+$", "(a*)*b", "(?:x|a+){2,}!", "((a|b)+c*)+d"):
+        assert regex.explosive(p), p
+    for p in ("a+b*", "(ab)+", "^(AUTO|MACH).*[YE]$", r"\(+\)+", "[(+]+[)]+"):
+        assert not regex.explosive(p), p
+    df = spark.createDataFrame([("a" * 5000 + "!",), ("aaa",)], "t string")
+    assert [len(r.t) for r in df.where(predicate("regex", F.col("t"), None, "(a+)+$", True)).collect()] == [3]
+
+
 # plans
 
 
@@ -125,6 +153,32 @@ def test_columns_and_filters_reach_the_scan(spark, tiny):
     assert any(x.count(":") == 4 and "o_custkey" in x for x in scans) and not any("o_orderdate" in x or "c_acctbal" in x for x in scans)
 
 
+def test_time_ranges_reach_the_scan(spark, tiny):
+    s = warehouse_source(spark, tiny)
+    for text in ('{ Order { key @output orderdate ?(>= $a) ?(< $b) } }', '{ Customer { key @output order { orderdate ?(>= $a) ?(< $b) } } }'):
+        p = api.explain(run(s, text, {"a": 788918400000000, "b": 796694400000000}))
+        assert "GreaterThanOrEqual(o_orderdate,1995-01-01T00:00)" in p and "LessThanOrEqual(o_orderdate,1995-04-01T00:00)" in p
+    one = run(s, "{ Order { orderdate @output } }").first().orderdate
+    assert "EqualTo(o_orderdate" in api.explain(run(s, "{ Order { key @output orderdate ?(= $x) } }", {"x": one}))
+    assert run(s, "{ Order { key @output orderdate ?(= $x) } }", {"x": one}).count() > 0
+    assert run(s, "{ Order { key @output orderdate ?(< $x) } }", {"x": (1 << 63) - 1}).count() == run(s, "{ Order { key @output } }").count()
+    assert "GreaterThan" not in api.explain(run(s, '{ Customer { key @output order @optional { orderdate ?(>= $a) } } }', {"a": 1}))
+
+
+def test_recursion_joins_once_a_hop(spark, tiny):
+    s = warehouse_source(spark, tiny)
+    for depth in (1, 3, 6):
+        p = plan(run(s, f"{{ Message {{ turn @output next @recurse(depth: {depth}) {{ to: turn @output }} }} }}"))
+        assert p.count("Join ") == depth and p.count("FileScan") == depth + 1
+
+
+def test_trace_counts_rows(spark, tiny):
+    s = warehouse_source(spark, tiny)
+    steps = api.trace(run(s, '{ Region { name ?(= $r) nation { n: name @output } } }', {"r": "ASIA"}))
+    rows = [n for _, _, n in steps if n is not None]
+    assert steps[0][0] == 0 and 5 in rows and 1 in rows and max(d for d, _, _ in steps) >= 3
+
+
 def test_filters_stay_above_optional_edges(spark, tiny):
     s = warehouse_source(spark, tiny)
     q = '{ Customer { key @output order(minPrice: 400000.0) @optional { totalprice ?(< $p) } } }'
@@ -285,10 +339,11 @@ def test_files(spark, tmp_path):
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(body)
+    (tmp_path / "sub/none").mkdir()
     s = readers.files_source(spark, str(tmp_path))
     assert check_source(s) == []
     got = run(s, "{ OriginDirectory { out_Directory_Subdirectory @recurse(depth: 3) { path @output out_Directory_ContainsFile @fold { files: name @output size @output } } } }").collect()
-    assert {r.path: r.files for r in got} == {"": ["a.txt"], "sub": ["b.bin"], "sub/deep": ["c.md"]}
+    assert {r.path: r.files for r in got} == {"": ["a.txt"], "sub": ["b.bin"], "sub/deep": ["c.md"], "sub/none": []}
     lines = run(s, "{ OriginDirectory { out_Directory_ContainsFile { ... on TextFile { out_TextFile_HasLine { line_number @output trimmed_contents @output } } } } }").collect()
     assert sorted((r.line_number, r.trimmed_contents) for r in lines) == [(1, "one"), (2, "two")]
 
@@ -314,6 +369,16 @@ def test_paged_service(spark):
 
     df = read_pages(spark, f"http://127.0.0.1:{server.server_port}/x?page={{page}}", "id bigint", pages=3, field="rows", lenient=True)
     assert sorted(r.id for r in df.collect()) == [10, 11, 20, 21]
+    base = f"http://127.0.0.1:{server.server_port}/x?page="
+    every = read_pages(spark, base + "{page}", "id bigint", field="rows", lenient=True)
+    assert sorted(r.id for r in every.collect()) == [10, 11, 20, 21]
+    with pytest.raises(Exception, match="500"):
+        read_pages(spark, base + "{page}", "id bigint", field="rows").collect()
+    from vertexloom.sources.paged import read_each
+
+    keys = spark.createDataFrame([(1,), (2,), (5,), (2,), (None,)], "k long")
+    got = read_each(keys, base + "{key}", "rows array<struct<id:bigint>>").collect()
+    assert sorted((r.key, [x.id for x in r.rows]) for r in got) == [(1, [10, 11]), (2, [20, 21])]
     server.shutdown()
 
 

@@ -75,6 +75,27 @@ def test_functions_get_hints(spark):
     seen.clear()
     execute_query(s, '{ Thing { id @output tag @fold &count ?(>= $n) { word @output } } }', {"n": 2})
     assert seen[0].mandatory_edges == ("tag",)
+    edge = seen[0].first_edge("tag")
+    assert edge.fold and edge.mandatory and edge.depth == 0 and edge.far.required == {"word"} and seen[0].edges_named("other") == ()
+
+
+def test_functions_get_keys_and_tags(spark):
+    seen = []
+    s = make(spark, [])
+    tags = s.tables["Tag"].raw
+
+    def fetch(spark, starts, hints):
+        seen.append((starts.columns, sorted(map(tuple, starts.collect())), hints.tags))
+        return tags.join(starts.select("id").distinct(), tags["thing"] == starts["id"], "left_semi")
+
+    s.edge_table("Thing", "tag", fetch, [("id", "thing")])
+    text = '{ Thing { id @output ?(>= $a) name @tag tag { word @output ?(>= %name) } } }'
+    assert sorted(r.word for r in execute_query(s, text, {"a": 2}).collect()) == ["x"]
+    columns, rows, (tag,) = seen[0]
+    assert columns == ["id", "tag0"] and rows == [(2, "b"), (3, "c")] and (tag.property, tag.op, tag.name) == ("word", ">=", "tag0")
+    seen.clear()
+    execute_query(s, '{ Thing { id @output tag @fold { word @output } } }').collect()
+    assert seen[0][1] == [(1,), (2,), (3,)]
 
 
 def test_joined_sources(spark):

@@ -58,3 +58,27 @@ def as_json(df: DataFrame) -> DataFrame:
 def explain(df: DataFrame) -> str:
     """The plan that Spark chose, as text."""
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def trace(df: DataFrame) -> list[tuple[int, str, int | None]]:
+    """Run the query and tell how many rows each of its operations put out: (depth, operation, rows), from the result down; None where Spark doesn't count."""
+    query = df._jdf.queryExecution()
+    query.toRdd().count()
+    out: list[tuple[int, str, int | None]] = []
+
+    def walk(node, depth: int) -> None:
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan(), depth)
+        inner = node.plan() if name.startswith(("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage", "TableCacheQueryStage")) else None
+        if inner is not None:
+            return walk(inner, depth)
+        metrics = node.metrics()
+        rows = metrics.get("numOutputRows")
+        out.append((depth, name, rows.get().value() if rows.isDefined() else None))
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), depth + 1)
+
+    walk(query.executedPlan(), 0)
+    return out

@@ -72,5 +72,5 @@ def predicate(op: str, left: Column, right: Column | None = None, constant=None,
         case "has_substring":
             return _sure(left.contains(right))
         case "regex":
-            return _sure(left.rlike(regex.java(constant)) if has_constant else regex.matches_column(left, right))
+            return _sure(regex.matches_constant(left, constant) if has_constant else regex.matches_column(left, right))
     raise ValueError(f"no such operator: {op}")

@@ -38,13 +38,13 @@ _SIGHT = rf"[A-Z]{{4}} [0-9]{{6}}Z (?:AUTO )?{_WIND}(CAVOK|[0-9]{{4}}|[0-9/ ]+SM
 _METRES_A_MILE = 1609.344
 
 
-def weather_source(spark: SparkSession, path: str, check_header: bool = True) -> Source:
-    """Reports of a METAR file; lines of stations without a report ("AUTO NIL") are left out."""
-    if check_header:
-        found = [c.strip().lower() for c in (spark.read.text(path).first() or [""])[0].split(",")]
+def weather_source(spark: SparkSession, path: str | DataFrame, check_header: bool = True) -> Source:
+    """Reports of a METAR file, or of rows with its columns; lines of stations without a report ("AUTO NIL") are left out."""
+    if check_header and isinstance(path, str):
+        found = [c.strip().lower() for c in _first_line(spark, path).split(",")]
         if len(found) != len(_HEADER) or found[:7] != [c.lower() for c in _HEADER[:7]]:
             raise SourceError("UnexpectedHeader", path, found)
-    raw = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in METAR_COLUMNS), enforceSchema=True, escape='"')
+    raw = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in METAR_COLUMNS), enforceSchema=True, escape='"') if isinstance(path, str) else path
     raw = raw.where(~F.col("raw_text").contains("AUTO NIL"))
 
     def number(column: str, kind: str = "double"):
@@ -114,10 +114,16 @@ _IMAGE = "struct<url:string,title:string,description:string,width:bigint,height:
 _BODY = f"id string, language string, ttl bigint, title {_TEXT}, subtitle {_TEXT}, description {_TEXT}, rights {_TEXT}, copyright {_TEXT}, logo string, image {_IMAGE}, link {_LINKS}, entry array<{_ENTRY}>, item array<{_ENTRY}>"
 
 
-def feeds_source(spark: SparkSession, *paths: str) -> Source:
-    """Atom (``feed``) and RSS (``channel``) documents; the file's path is a feed's address."""
+def feeds_source(spark: SparkSession, *paths: str, documents: DataFrame | None = None) -> Source:
+    """Atom (``feed``) and RSS (``channel``) documents; the file's path is a feed's address.
+
+    ``documents`` are (url, xml), each holding one ``feed`` or one ``channel`` element, in place of files.
+    """
 
     def of(tag: str, kind: str) -> DataFrame:
+        if documents is not None:
+            element = F.regexp_extract("xml", f"(?s)<{tag}[\\s>].*</{tag}>", 0)
+            return documents.where(element != "").select(F.from_xml(element, _BODY).alias("x"), "url").select("x.*", F.lit(kind).alias("feed_type"), "url")
         return spark.read.format("xml").option("rowTag", tag).schema(_BODY).load(list(paths)).select("*", F.lit(kind).alias("feed_type"), F.col("_metadata.file_path").alias("url"))
 
     raw = of("feed", "Atom").unionByName(of("channel", "RSS"))
@@ -217,8 +223,34 @@ _SKIP = (".git", ".vscode", "target")
 _TEXT_FILES = ("", "txt", "md", "py", "rs", "toml", "json", "csv", "yml", "yaml", "graphql", "ron", "html", "js", "ts", "sql")
 
 
+def _folders(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all folders below one, its own being empty."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system, found = root.getFileSystem(spark._jsc.hadoopConfiguration()), [""]
+    for at in found:
+        for status in system.listStatus(spark._jvm.org.apache.hadoop.fs.Path(root, at) if at else root):
+            name = status.getPath().getName()
+            if status.isDirectory() and name not in _SKIP:
+                found.append(f"{at}/{name}" if at else name)
+    return found
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    """Of a file, or of the first of a folder; read without a job."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(str(s.getPath()) for s in (system.globStatus(place) or []) if s.isFile()) or sorted(str(s.getPath()) for s in system.listStatus(place) if s.isFile())
+    java = spark._jvm.java.io
+    reader = java.BufferedReader(java.InputStreamReader(system.open(spark._jvm.org.apache.hadoop.fs.Path(files[0])), "UTF-8")) if files else None
+    try:
+        return (reader.readLine() or "") if reader else ""
+    finally:
+        if reader:
+            reader.close()
+
+
 def files_source(spark: SparkSession, folder: str) -> Source:
-    """A folder tree; folders are those that hold a file somewhere below, but for .git, .vscode and target."""
+    """A folder tree without .git, .vscode and target; folders, empty ones too, are listed on the driver, as Spark lists files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     base = F.lit(spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/")
     full = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
@@ -229,7 +261,7 @@ def files_source(spark: SparkSession, folder: str) -> Source:
     files = files.withColumn("extension", F.when(F.col("name").contains("."), F.substring_index("name", ".", -1)).otherwise(""))
     steps = F.split("holder", "/")
     chain = F.concat(F.array(F.lit("")), F.when(F.col("holder") != "", F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).otherwise(F.array().cast("array<string>")))
-    folders = files.select(F.explode(chain).alias("path")).distinct()
+    folders = files.select(F.explode(chain).alias("path")).union(spark.createDataFrame([(p,) for p in _folders(spark, folder)], "path string")).distinct()
     folders = folders.select("path", F.substring_index("path", "/", -1).alias("name"), F.when(F.col("path") != "", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")).alias("above"))
     s = Source(spark, Schema(FILES_SDL))
     s.vertex("Directory", folders, order=["path"])

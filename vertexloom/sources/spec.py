@@ -172,7 +172,8 @@ class Source:
             if not isinstance(made, Mapped) or made.raw not in raw.columns:
                 continue
             kind, column = raw.schema[made.raw].dataType.simpleString(), raw[made.raw]
-            if c.values and None not in c.values and None not in (same := [made.inverse(v, kind) for v in c.values]):
+            same = [made.inverse(v, kind) for v in c.values or () if v is not None]
+            if c.values and len(same) == len(c.values) and all(v is not None for v in same):
                 raw = raw.where(reduce(lambda a, b: a | b, [column == v for v in same]))
             if c.low and (v := made.inverse(c.low[0], kind)) is not None:
                 raw = raw.where(column >= v)
