@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vertexloom import small_queries as small
 from vertexloom.api import as_json, execute_query
 from vertexloom.sources.introspection import introspection_source
 from vertexloom.sources.numbers import numbers_source
-from vertexloom.sources.warehouse import warehouse_source
+from vertexloom.sources.warehouse import SDL, warehouse_source
 from vertexloom.syntax import shorthand
 
 #: Query text, arguments and SQL by name; texts are given in the shorthand of ``syntax.shorthand``.
@@ -56,7 +58,7 @@ _customers("filter_eq", "mktsegment", "=", "c_mktsegment = 'BUILDING'", x="BUILD
 _customers("filter_ne", "premium", "!=", "(CASE WHEN c_acctbal > 5000 THEN c_acctbal END) IS DISTINCT FROM 9000.5", x=9000.5)
 _customers("filter_eq_null", "premium", "=", "c_acctbal <= 5000", x=None)
 _customers("filter_lt", "acctbal", "<", "c_acctbal < 1000", x=1000.0)
-_customers("filter_le", "key", "<=", "c_custkey <= 20", x=20)
+_customers("filter_le", "acctbal", "<=", "c_acctbal <= 4500.25", x=4500.25)
 _customers("filter_gt", "premium", ">", "c_acctbal > 7000", x=7000.0)
 _customers("filter_ge", "name", ">=", "c_name >= 'Customer#000000100'", x="Customer#000000100")
 _customers("filter_one_of", "mktsegment", "one_of", "c_mktsegment IN ('BUILDING', 'MACHINERY')", x=["BUILDING", "MACHINERY"])
@@ -69,6 +71,7 @@ _customers("filter_not_has_suffix", "name", "not_has_suffix", "NOT suffix(c_name
 _customers("filter_has_substring", "mktsegment", "has_substring", "contains(c_mktsegment, 'IL')", x="IL")
 _customers("filter_not_has_substring", "mktsegment", "not_has_substring", "NOT contains(c_mktsegment, 'IL')", x="IL")
 _customers("filter_regex", "mktsegment", "regex", "regexp_matches(c_mktsegment, '^(AUTO|MACH).*[YE]$')", x="^(AUTO|MACH).*[YE]$")
+_customers("filter_regex_nested", "name", "regex", "regexp_matches(c_name, '[1-3]+#*0*7$')", x="([1-3]+#*)+0*7$")
 _customers("filter_not_regex", "mktsegment", "not_regex", "NOT regexp_matches(c_mktsegment, '[AO]U')", x="[AO]U")
 _case("filter_is_null", '{ Customer { key @output premium ?(is_null) } }', _CUSTOMER + "c_acctbal <= 5000")
 _case("filter_is_not_null", '{ Customer { key @output premium ?(is_not_null) @output } }', "SELECT c_custkey AS key, c_acctbal AS premium FROM customer WHERE c_acctbal > 5000")
@@ -87,6 +90,11 @@ _case(
     '{ Nation { name @tag(name: "pattern") @output customer { key @output name ?(not_regex %pattern) } } }',
     "SELECT n_name AS name, c_custkey AS key FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE NOT contains(c_name, n_name)",
 )
+_case(
+    "filter_regex_tag_match",
+    '{ Document { id @output lang @tag(name: "code") text ?(regex %code) } }',
+    "SELECT doc_id AS id FROM documents WHERE contains(text, lang)",
+)
 _case(
     "edge_inner",
     "{ LineItem { linenumber @output order { order: key @output customer { name @output } } } }",
@@ -192,6 +200,18 @@ _case(
     f"SELECT a.conv_id AS convId, a.turn AS turn, b.turn AS \"to\" FROM conversations {_HOPS.format(3)} WHERE b.role = 'assistant'",
     r="assistant",
 )
+_case(
+    "recurse_optional",
+    "{ Message { convId @output turn @output next @optional @recurse(depth: 2) { to: turn @output } } }",
+    f"SELECT a.conv_id AS convId, a.turn AS turn, b.turn AS \"to\" FROM conversations {_HOPS.format(2)}",
+)
+_case(
+    "recurse_from_absent",
+    "{ Message { convId @output turn @output next @optional { via: turn @output next @recurse(depth: 2) { to: turn @output role @output } } } }",
+    """SELECT a.conv_id AS convId, a.turn AS turn, b.turn AS via, c.turn AS "to", c.role AS role FROM conversations a
+       LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+       LEFT JOIN conversations c ON c.conv_id = b.conv_id AND c.turn >= b.turn AND c.turn <= b.turn + 2""",
+)
 _case(
     "fold_list",
     "{ Nation { name @output supplier @fold { suppliers: name @output balances: acctbal @output } } }",
@@ -300,6 +320,20 @@ def _introspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute_query(introspection_source(spark, schema), text)
 
 
+def _introspected() -> str:
+    """The rows of ``introspect_types``, from the schema's text."""
+    kinds = re.findall(r"(interface|type) (\w+)(?: implements (\w+))? \{(.*?)\}", re.sub(r'".*?"', "", SDL.split("type Query")[1].split("}", 1)[1]), re.S)
+    names, rows = {k[1] for k in kinds}, []
+    quoted = lambda items, kind="VARCHAR": f"[{', '.join(items)}]::{kind}[]"
+    for kind, name, above, body in kinds:
+        fields = re.findall(r"(\w+)(?:\((\w+): \S+\))?: (\S+)", body)
+        own, edges = [f for f in fields if f[2].strip("[]!") not in names], [f for f in fields if f[2].strip("[]!") in names]
+        text = lambda part: [f"'{x}'" for x in part]
+        lists = [quoted(text([above] if above else [])), quoted(text(f[0] for f in own)), quoted(text(f[2] for f in own)), quoted(text(f[0] for f in edges)), quoted([str(f[2][0] == "[").upper() for f in edges], "BOOLEAN"), quoted(text(f[2].strip("[]!") for f in edges)), quoted([quoted(text([f[1]] if f[1] else [])) for f in edges], "VARCHAR[]")]
+        rows.append(f"('{name}', {str(kind == 'interface').upper()}, {', '.join(lists)})")
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(type, is_interface, parents, properties, kinds, edges, to_many, targets, parameters)"
+
+
 def _primes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute_query(numbers_source(spark), "{ Number(min: 2, max: 60) { ... on Composite { value @output primeFactor @fold { factors: value @output } } } }")
 
@@ -309,7 +343,7 @@ def _json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "introspect_types": (_introspect, None),
+    "introspect_types": (_introspect, _introspected()),
     "numbers_prime_factors": (
         _primes,
         """WITH n AS (SELECT unnest(range(2, 61)) AS v), d AS (SELECT a.v, b.v AS f FROM n a JOIN n b ON b.v < a.v AND a.v % b.v = 0),
@@ -323,5 +357,6 @@ EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "json_sink": (_json_sink, "SELECT '{\"key\":' || r_regionkey || ',\"name\":\"' || r_name || '\"}' AS json FROM region"),
 }
 
+EXTRA |= small.QUERIES
 QUERIES = {n: _run(n) for n in CASES} | {n: f for n, (f, _) in EXTRA.items()}
 SQL = {n: sql for n, (_, _, sql) in CASES.items()} | {n: sql for n, (_, sql) in EXTRA.items() if sql}

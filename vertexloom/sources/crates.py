@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.schema import Schema
@@ -21,9 +21,10 @@ _ITEM = "struct<name:string,docs:string,visibility:string,inner:map<string,strin
 _FILE = f"struct<root:string,crate_version:string,index:map<string,{_ITEM}>>"
 
 
-def crates_source(spark: SparkSession, path: str) -> Source:
-    """One file a library; ``Module.item`` are the items a module lists."""
-    files = spark.read.text(path, wholetext=True).select(F.from_json("value", _FILE).alias("c"), F.col("_metadata.file_path").alias("file"))
+def crates_source(spark: SparkSession, path: str | DataFrame) -> Source:
+    """One file, or row (file, value), a library; ``Module.item`` are the items a module lists."""
+    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")) if isinstance(path, str) else path
+    files = texts.select(F.from_json("value", _FILE).alias("c"), "file")
     crates = files.select("file", "c.root", "c.crate_version")
     items = files.select("file", F.explode("c.index").alias("id", "i")).select("file", "id", "i.name", "i.docs", "i.visibility", "i.inner")
     items = items.withColumn("kind", F.element_at(F.map_keys("inner"), 1))
