@@ -34,11 +34,11 @@ from vertexloom.llm.common import extend, per_text, steps, struct, table, text_o
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct chunks that a worker remembers before it starts afresh.
-CACHE = 800_000
+CACHE = 600_000
 #: Symbols that a chunk of a forest has at most, and chunks in a forest.
 WIDEST, TREES = 64, 1 << 14
 #: Text bytes whose distinct chunks are looked up at a time.
-STEP = 8 << 20
+STEP = 4 << 20
 #: No pair; above every rank.
 NONE = np.int32(1 << 30)
 
