@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACE = 1 << 30
+#: Range of ``hash_share``.
+SPACE = 1 << 30
 
 
 def hash_share(*cols) -> Column:
     """A number in [0, 2^30) that depends on the given columns alone."""
-    return F.pmod(F.xxhash64(F.lit(7), *cols), F.lit(_SPACE))
+    return F.pmod(F.xxhash64(F.lit(7), *cols), F.lit(SPACE))
 
 
 def share(bound: int, count: int) -> int:
-    return _SPACE if count <= bound else int(_SPACE * bound / count)
+    return SPACE if count <= bound else int(SPACE * bound / count)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, where: Column, id_col: str = "doc_id") -> DataFrame:

@@ -9,8 +9,9 @@ text gets the language of the centroid of largest cosine.  A text whose cosine i
 lower than nearly all of that language's own training texts is rejected.
 
 Document frequencies count every training text; centroids are fitted on a sample
-of about ``BOUND`` texts in all, spread over the languages (a parameter).  Only text and
-lang are learned from.
+of about ``BOUND`` different texts in all, or 20 a language if that is more, spread over the languages (a parameter).  Only text and
+lang are learned from.  Any number of languages can be learned: ``LANGUAGES`` at a time, which
+a text is then compared with one block after the other.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text if there is nothing to learn from.  Texts are read whole.  Repeated rows
@@ -30,10 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm.byte_bpe import lists
-from vertexloom.llm.common import crc_mod, extend, flat, ship, steps, struct, table, text_of
-from vertexloom.llm.labelled import hash_share, share
+from vertexloom.llm.common import Shared, crc_mod, extend, flat, fresh, ship, steps, struct, table, text_of
+from vertexloom.llm.labelled import SPACE, hash_share
 
-#: Sampled texts for the centroids in all; most languages; hashed dimensions; centroids a language.
+#: Sampled texts for the centroids in all; languages of a block; hashed dimensions; centroids a language.
 BOUND, LANGUAGES, BITS, CENTROIDS = 3200, 1000, 13, 4
 #: A text is rejected below this quantile of its language's training cosines, less a margin.
 QUANTILE, MARGIN = 0.005, 0.02
@@ -123,75 +124,94 @@ def k_means(v: np.ndarray, k: int, seed: int = 1, rounds: int = 15) -> np.ndarra
     return centre
 
 
-def _frequencies(weights: dict[str, float]):
-    """Per task, the weighted share of texts that have each gram; ``weights`` has what a text of a language counts."""
+@dataclass(frozen=True)
+class Blocks:
+    """Centroids of more languages than one block has; the nearest of all blocks counts."""
+
+    parts: tuple[Centroids, ...]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS)
-        for b in batches:
-            weight, at = np.array([weights[x] for x in b.column(0).to_pylist()], np.float32), 0
-            for grams in blocks(b.column(1)):
-                total += weight[at : at + len(grams)] @ (grams > 0)
-                at += len(grams)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["g", "p"])
 
-    return run
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task, the weighted share of texts that have each gram, from rows (weight, text)."""
+    total = np.zeros(1 << BITS)
+    for b in batches:
+        weight, at = b.column(0).to_numpy().astype(np.float32), 0
+        for grams in blocks(b.column(1)):
+            total += weight[at : at + len(grams)] @ (grams > 0)
+            at += len(grams)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["g", "p"])
 
 
-def train(df: DataFrame, where: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", bound: int = BOUND) -> Centroids:
+def train(df: DataFrame, where: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", bound: int = BOUND, block: int = LANGUAGES) -> Centroids | Blocks:
     """Learn from the rows of ``df`` with a text and a language for which ``where`` holds."""
     ship(df.sparkSession)
+    shared = Shared(df.sparkSession)
     known = df.where(F.lit(True) if where is None else where).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    langs = tuple(sorted(sizes))
-    if not langs:
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(known, text_col).alias("text"))
+    sizes = shared.save(known.groupBy("lang").agg(F.count("*").alias("n")))
+    many = sizes.count()
+    if not many:
         return Centroids((), np.zeros(0, int), np.zeros((0, 1 << BITS), np.float32), np.ones(1 << BITS, np.float32), np.zeros(0))
-    text = text_of(known, text_col)
-    weights = {lang: 1 / (n * len(langs)) for lang, n in sizes.items()}
-    shares = known.select(lang_col, text.alias("__text")).mapInArrow(_frequencies(weights), "g bigint, p double").groupBy("g").agg(F.sum("p"))
+    each = max(20, bound // many)
+    weights = sizes.select("lang", (1 / (F.col("n") * many)).alias("w"), F.least(F.lit(SPACE), F.floor(F.lit(float(SPACE * each)) / F.col("n"))).alias("odds"))
+    known = known.join(F.broadcast(weights) if many <= block else weights, "lang")  # a few bytes a language
+    shares = known.select("w", "text").mapInArrow(_frequencies, "g bigint, p double").groupBy("g").agg(F.sum("p"))
     p = np.zeros(1 << BITS)
     for g, x in shares.collect():  # at most 2^BITS rows
         p[g] = x
     idf = (np.log((1 + RARE) / (RARE + p.round(9))) + 1).astype(np.float32)
+    drawn = known.where(hash_share("id", F.xxhash64("text")) < F.col("odds")).groupBy("lang", F.xxhash64("text")).agg(F.first("text").alias("text"))  # copies count once
+    if many <= block:
+        return _centroids(drawn, idf)
+    parts = -(-many // block)
+    part = F.pmod(F.xxhash64("lang"), F.lit(parts))
+    drawn = shared.save(drawn.select("lang", "text", part.alias("part")))
+    return Blocks(tuple(_centroids(drawn.where(F.col("part") == i), idf) for i in range(parts)))
+
+
+def _centroids(drawn: DataFrame, idf: np.ndarray) -> Centroids:
+    """Of the languages of a block, from a bounded number of texts each."""
 
     def run(texts: pa.Array) -> pa.Array:
         grams = [g for block in blocks(texts) for g in block]
         at = [np.flatnonzero(g) for g in grams]
         return struct(at=lists(at, pa.int16()), n=lists([np.minimum(g[a], 32767) for g, a in zip(grams, at)], pa.int16()))
 
-    each = max(20, bound // len(langs))
-    odds = F.lit(0)
-    for lang in langs:
-        odds = F.when(F.col(lang_col) == lang, F.lit(share(each, sizes[lang]))).otherwise(odds)
-    drawn = known.where(hash_share(F.col(id_col), F.xxhash64(text)) < odds)
-    got = extend(drawn, run, "struct<at:array<smallint>,n:array<smallint>>", text, [lang_col]).toArrow()
-    order = np.array(got.column(lang_col).to_pylist(), object)
+    got = extend(drawn, run, "struct<at:array<smallint>,n:array<smallint>>", F.col("text"), ["lang"]).toArrow()
+    order = np.array(got.column("lang").to_pylist(), object)
+    langs = tuple(sorted(set(order)))
     owner, centre, least = [], [], []
     for k, lang in enumerate(langs):
         part = got.filter(pa.array(order == lang)).combine_chunks()
         grams = np.zeros((part.num_rows, 1 << BITS), np.int32)
         for i, (a, m) in enumerate(zip(part.column("at"), part.column("n"))):
             grams[i, a.values.to_numpy()] = m.values.to_numpy()
-        if not len(grams):
-            least.append(0.0)
-            continue
         v = vectors(grams, idf)
         v = v[np.lexsort(v[:, :3].T)]  # whatever order the rows came in
         c = k_means(v, CENTROIDS)
         owner += [k] * len(c)
         centre.append(c)
         least.append(float(np.quantile((v @ c.T).max(axis=1), QUANTILE)) - MARGIN)
-    if not centre:
-        return Centroids((), np.zeros(0, int), np.zeros((0, 1 << BITS), np.float32), idf, np.zeros(0))
-    return Centroids(langs, np.array(owner), np.concatenate(centre).astype(np.float32), idf, np.array(least))
+    centre = np.concatenate(centre).astype(np.float32) if centre else np.zeros((0, 1 << BITS), np.float32)
+    return Centroids(langs, np.array(owner, int), centre, idf, np.array(least))
 
 
-def identify(df: DataFrame, model: Centroids, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(df: DataFrame, model: Centroids | Blocks, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``lang_pred`` (string), ``score`` (cosine, 0 to 1) and ``rejected`` (boolean)."""
-    return extend(df, model.predict, "struct<lang_pred:string,score:double,rejected:boolean>", df[text_col].cast("string"), keep)
+    if isinstance(model, Centroids):
+        return extend(df, model.predict, "struct<lang_pred:string,score:double,rejected:boolean>", df[text_col].cast("string"), keep)
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score", "rejected")]
+    text = fresh(df, "__text")
+    out, names = df.select(*keep, df[text_col].cast("string").alias(text)), []
+    for part in model.parts:  # one after the other, so a worker holds one block
+        names.append(fresh(out, "__near"))
+        fields = ("lang_pred", "score", "rejected")
+        run = lambda texts, part=part, fields=fields, name=names[-1]: struct(**{f"{name}{i}": part.predict(texts).field(f) for i, f in enumerate(fields)})
+        out = extend(out, run, f"struct<{names[-1]}0:string,{names[-1]}1:double,{names[-1]}2:boolean>", F.col(text))
+        out = out.withColumn(names[-1], F.struct(F.col(names[-1] + "1").alias("score"), F.lit(-len(names)).alias("at"), F.col(names[-1] + "0").alias("lang"), F.col(names[-1] + "2").alias("rejected"))).drop(*[names[-1] + i for i in "012"])
+    best = F.greatest(*names)
+    return out.select(*keep, best["lang"].alias("lang_pred"), best["score"].alias("score"), best["rejected"].alias("rejected"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
