@@ -18,7 +18,7 @@ from vertexloom.operators.predicates import literal, predicate
 from vertexloom.plans import ir
 from vertexloom.plans.hints import VertexHints, vertex_hints
 from vertexloom.plans.planner import bind, counts_used, fold_join, predicates
-from vertexloom.sources.spec import TYPENAME, EdgeArray, EdgeKeys, EdgeTable, Source, asked, takes
+from vertexloom.sources.spec import TYPENAME, EdgeArray, EdgeKeys, EdgeTable, Source, asked, quoted, takes
 
 
 def _all(conditions) -> Column:
@@ -134,8 +134,8 @@ class Compiler:
         tags = [F.col(self.ref_name(t.ref)).alias(t.name) for t in (hints.tags if hints else ()) if self.ref_name(t.ref) in df.columns]
         return {"starts": df.select(*[F.col(own + a).alias(a) for a in edge.uses], *tags).distinct()}
 
-    def far(self, edge: EdgeKeys, target: str, parameters: dict, names: set[str], prefix: str, ordered: bool, hints: VertexHints | None = None, starts: dict | None = None) -> DataFrame:
-        """The far side of a keyed edge, its columns prefixed; keys are ``{prefix}key{i}``."""
+    def far(self, edge: EdgeKeys, target: str, parameters: dict, names: set[str], prefix: str, ordered: bool, hints: VertexHints | None = None, starts: dict | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+        """The far side of a keyed edge, its columns prefixed, and the expressions ``more``; keys are ``{prefix}key{i}``."""
         extra = {b for _, b in edge.on} | (set(self._order(edge, target)) if ordered else set())
         raw = None
         if isinstance(edge, EdgeTable):
@@ -144,10 +144,10 @@ class Compiler:
             raw = self.source.table_of(target)[0].raw
             raw = raw.where(edge.where(lambda n: raw[n], **parameters))
         df = self.source.frame(target, names | extra, "", raw, hints)
-        columns = [F.col(n).alias(prefix + n) for n in sorted(names)] + [F.col(b).alias(f"{prefix}key{i}") for i, (_, b) in enumerate(edge.on)]
+        columns = [f"{quoted(n)} AS {quoted(prefix + n)}" for n in sorted(names)] + [f"{quoted(b)} AS {prefix}key{i}" for i, (_, b) in enumerate(edge.on)]
         if ordered:
-            columns.append(F.struct(*[F.col(n) for n in self._order(edge, target)] or [F.lit(0)]).alias(prefix + "ord"))
-        return df.select(*columns)
+            columns.append(f"struct({', '.join(map(quoted, self._order(edge, target))) or '0'}) AS {prefix}ord")
+        return df.selectExpr(*columns, *more)
 
     def hop(self, df: DataFrame, edge, target: str, parameters: dict, start: int | str, to: str, names: set[str], how: str, ordered: bool, hints: VertexHints | None = None, only: str | None = None) -> DataFrame:
         """Append the columns ``{to}{name}`` of the neighbours; with ``how`` left also ``{to}exists``.  Rows for which the column ``only`` is false have none."""
@@ -167,12 +167,10 @@ class Compiler:
             columns += [F.struct(F.col(to + "pos")).alias(to + "ord")] if ordered else []
             columns += [F.col(to + "pos").isNotNull().alias(to + "exists")] if how == "left" else []
             return df.select(*[c for c in df.columns if c not in (to + "pos", to + "at")], *columns)
-        right = self.far(edge, target, parameters, names, to, ordered, hints, self.starts(df, edge, own, hints))
-        if how == "left":
-            right = right.withColumn(to + "exists", F.lit(True))
-        on = _all(F.col(own + a) == F.col(f"{to}key{i}") for i, (a, _) in enumerate(edge.on))
-        df = df.join(right, on & F.col(only) if only else on, how).drop(*[f"{to}key{i}" for i in range(len(edge.on))])
-        return df.withColumn(to + "exists", F.coalesce(to + "exists", F.lit(False))) if how == "left" else df
+        right = self.far(edge, target, parameters, names, to, ordered, hints, self.starts(df, edge, own, hints), (f"TRUE AS {to}here",) if how == "left" else ())
+        on = [f"{quoted(own + a)} = {to}key{i}" for i, (a, _) in enumerate(edge.on)]
+        out = [*map(quoted, df.columns), *[quoted(to + n) for n in sorted(names)], *([to + "ord"] if ordered else []), *([f"coalesce({to}here, FALSE) AS {to}exists"] if how == "left" else [])]
+        return df.join(right, F.expr(" AND ".join([*on, only] if only else on)), how).selectExpr(*out)
 
     def follow(self, df: DataFrame, s: ir.Edge, c: ir.Component, ordered: bool) -> DataFrame:
         v, source, to = c.vertices[s.to_vid], self.types[s.from_vid], self.name(s.to_vid, "")
@@ -196,29 +194,26 @@ class Compiler:
         other goes on to the neighbours and is dropped if there are none.  Rows that stay keep
         their keys, so they spread over tasks like the others.
         """
-        names, to, base, step = sorted(self.needed[s.to_vid]), self.name(s.to_vid, ""), df.columns, "n__"
+        names, to, base, step = sorted(self.needed[s.to_vid]), self.name(s.to_vid, ""), [*map(quoted, df.columns)], "n__"
         below, live, go = s.from_vid in self.absent, step + "live", step + "go"
         deeper = self.source.find_edge(s.recursion.coerce_to or target, s.name)
-        here = self.exists(s.from_vid) if below else F.lit(True)
-        tail = [to + "exists"] if below else []
-        df = df.select(*base, *[F.col(self.name(s.from_vid, n)).alias(to + n) for n in names], *[here.alias(t) for t in tail], here.alias(live))
-        path = [to + "ord"] if ordered else []
+        here = self.name(s.from_vid, "exists") if below else "TRUE"
+        tail, path = [to + "exists"] if below else [], [to + "ord"] if ordered else []
+        df = df.selectExpr(*base, *[f"{quoted(self.name(s.from_vid, n))} AS {quoted(to + n)}" for n in names], *[f"{here} AS {t}" for t in tail], f"{here} AS {live}")
+        leads = ", ".join(f"'{t}'" for t in self.schema.concrete(s.recursion.coerce_to)) if s.recursion.coerce_to else ""
         for k in range(s.recursion.depth):
-            on = F.col(live)
-            if k and s.recursion.coerce_to:
-                on = on & F.col(to + TYPENAME).isin(self.schema.concrete(s.recursion.coerce_to))
-            both = F.when(on, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-            df = self.hop(df.select("*", F.explode(both).alias(go)), deeper if k else edge, target, s.parameters, to, step, set(names), "left", ordered, only=go)
-            came = F.col(step + "exists")
-            df = df.where(~F.col(go) | came)
-            ways = []
+            on = f"{live} AND {quoted(to + TYPENAME)} IN ({leads})" if k and leads else live
+            df = df.selectExpr("*", f"explode(CASE WHEN {on} THEN array(FALSE, TRUE) ELSE array(FALSE) END) AS {go}")
+            df = self.hop(df, deeper if k else edge, target, s.parameters, to, step, set(names), "left", ordered, only=go)
+            came, ways = step + "exists", []
             if ordered:
-                one = F.array(F.col(step + "ord"))
-                ways = [F.when(came, F.concat(to + "ord", one) if k else one).otherwise(F.col(to + "ord") if k else F.array().cast(df.select(one).schema[0].dataType)).alias(to + "ord")]
-            df = df.select(*base, *[F.when(came, F.col(step + n)).otherwise(F.col(to + n)).alias(to + n) for n in names], *[F.col(t) for t in tail], came.alias(live), *ways)
+                one = f"array({step}ord)"
+                before = to + "ord" if k else f"slice({one}, 1, 0)"
+                ways = [f"CASE WHEN {came} THEN {f'concat({to}ord, {one})' if k else one} ELSE {before} END AS {to}ord"]
+            df = df.where(f"NOT {go} OR {came}").selectExpr(*base, *[f"CASE WHEN {came} THEN {quoted(step + n)} ELSE {quoted(to + n)} END AS {quoted(to + n)}" for n in names], *tail, f"{came} AS {live}", *ways)
         if below:
             self.absent.add(s.to_vid)
-        return df.select(*base, *[to + n for n in names], *tail, *path)
+        return df.selectExpr(*base, *[quoted(to + n) for n in names], *tail, *path)
 
     # folds
 
@@ -284,5 +279,5 @@ class Compiler:
         root_type = v.coerced_from or v.type_name
         df = self.source.start(q.root_name, root_type, q.root_parameters, self.needed[c.root], self.name(c.root, ""), self.hints(v, c))
         df = self.component(self.enter(df, v), c, False)
-        of = {n: F.col(self.ref_name(r)) for n, r in c.outputs.items()}
-        return df.select(*[of.get(n, F.col(f"o__{n}")).alias(n) for n in sorted(c.all_outputs())])
+        of = {n: self.ref_name(r) for n, r in c.outputs.items()}
+        return df.selectExpr(*[f"{quoted(of.get(n, f'o__{n}'))} AS {quoted(n)}" for n in sorted(c.all_outputs())])

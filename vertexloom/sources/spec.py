@@ -157,8 +157,21 @@ class Source:
             return table.typename(get) if table.typename else F.lit(type_name)
         made = table.properties.get(name, name)
         out = get(made) if isinstance(made, str) else made(get)
+        f = self._declared(type_name, name)
+        return out.cast(f.type.spark()) if f else out
+
+    def named(self, type_name: str, name: str, get: Get, alias: str) -> Column:
+        """``column`` under another name; said as one expression where it is a raw column, for each call to Spark takes its time."""
+        table, _ = self.table_of(type_name)
+        made = table.properties.get(name, name)
+        if name == TYPENAME or not isinstance(made, str):
+            return self.column(type_name, name, get).alias(alias)
+        f = self._declared(type_name, name)
+        return F.expr(f"CAST({quoted(made)} AS {f.type.spark()}) AS {quoted(alias)}" if f else f"{quoted(made)} AS {quoted(alias)}")
+
+    def _declared(self, type_name: str, name: str):
         f = next((x for t in [type_name, *self.schema.subtypes(type_name)] if (x := self.schema.field(t, name))), None)
-        return out.cast(f.type.spark()) if f is not None and not self.schema.is_edge(f) else out
+        return f if f is not None and not self.schema.is_edge(f) else None
 
     def order_of(self, type_name: str) -> tuple[str, ...]:
         found = self.table_of(type_name)
@@ -192,7 +205,7 @@ class Source:
             if own != type_name and table.typename:
                 raw = raw.where(table.typename(get).isin(self.schema.concrete(type_name)))
             view = own if table.typename else type_name
-            return raw.select(*[self.column(view, n, get).alias(prefix + n) for n in names])
+            return raw.select(*[self.named(view, n, get, prefix + n) for n in names])
         parts = []
         for t in self.schema.concrete(type_name):
             found = self.table_of(t)
@@ -230,6 +243,11 @@ class Source:
         return out
 
 
+def quoted(name: str) -> str:
+    """A column's name in an expression."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def asked(rows: Callable, hints: VertexHints | None) -> dict[str, object]:
     """The hints, for a function that takes them."""
     return {"hints": hints} if hints is not None and takes(rows, "hints") else {}

@@ -88,11 +88,11 @@ def _micros(column: str) -> Mapped:
 def warehouse_source(spark: SparkSession, sf_dir: str) -> Source:
     """Vertices over the parquet tables of a folder."""
 
-    def read(name: str, prefix: str = "", made: dict[str, Column] | None = None, **renamed: str) -> Callable[[], DataFrame]:
+    def read(name: str, prefix: str = "", made: tuple[str, ...] = (), **renamed: str) -> Callable[[], DataFrame]:
         def rows() -> DataFrame:
             df = read_table(spark, f"{sf_dir}/{name}.parquet")
-            df = df.select(*[F.col(c).alias(renamed.get(c, c.removeprefix(prefix))) for c in df.columns])
-            return df.withColumns(made) if made else df
+            df = df.toDF(*[renamed.get(c, c.removeprefix(prefix)) for c in df.columns])
+            return df.selectExpr("*", *made) if made else df
 
         return rows
 
@@ -106,7 +106,7 @@ def warehouse_source(spark: SparkSession, sf_dir: str) -> Source:
     s.vertex("Order", orders, {"orderdate": _micros("orderdate")}, order=["key"])
     s.vertex("LineItem", read("lineitem", "l_"), {"shipdate": _micros("shipdate")}, order=["orderkey", "linenumber"])
     s.vertex("Event", read("events", event_id="id", user_id="userId", event_type="eventType"), {"ts": _micros("ts")}, order=["id"])
-    messages = read("conversations", "", {"after": F.col("turn") + 1, "before": F.col("turn") - 1}, conv_id="convId")
+    messages = read("conversations", "", ("turn + 1 AS after", "turn - 1 AS before"), conv_id="convId")
     s.vertex("Message", messages, order=["convId", "turn"])
     s.vertex("Document", read("documents", doc_id="id", n_chars="nChars"), order=["id"])
     s.vertex("Label", read("labels", doc_id="docId"), order=["docId"])
