@@ -26,6 +26,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ BASE = KINDS[:4]
 #: Documents drawn for training, about; share of a label's probability from which a word is marked.
 BOUND, SURE = 20_000, 0.9
 DAMPING, EVIDENCE, SPREAD = 0.5, 60.0, 4.0
+#: Distinct lessons that training looks at, the most frequent ones; runs of characters that a word's shape tells apart.
+LESSONS, RUNS = 200_000, 12
 #: Share of masked occurrences that a skip edge must reach, what it has to spare, and its strength where none was seen.
 REACHED, SPARE, UNSEEN = 0.99, 1.0, 12.0
 #: A message is at rest once a step moves it less than STILL; one that has moved ROUNDS times swings, and each further step shrinks by CALM.
@@ -107,7 +111,7 @@ def _digits(text: str) -> str:
 
 
 def _feature_names(word: str, before: str, after: str) -> list[str]:
-    shape = "".join((r[0] if not r[0].isalnum() else "9" if r[0].isdigit() else "A" if r[0].isupper() else "a") + (_size(len(r)) if r[0].isalnum() else "") for r in _RUNS.findall(word))
+    shape = "".join((r[0] if not r[0].isalnum() else "9" if r[0].isdigit() else "A" if r[0].isupper() else "a") + (_size(len(r)) if r[0].isalnum() else "") for r in islice(map(itemgetter(0), _RUNS.finditer(word)), RUNS))
     digits = _digits(word)
     out = ["bias", "shape " + shape, "size " + _size(len(word)), "digits " + _size(len(digits))]
     if "@" in word:
@@ -362,7 +366,7 @@ def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", bound:
         return F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("x")))
 
     kinds = [tagged(c, i) for i, c in enumerate(("nodes", "near", "masked"))]
-    counted = got.select(F.explode(F.concat(*kinds)).alias("e")).groupBy("e.kind", "e.x").count().collect()
+    counted = got.select(F.explode(F.concat(*kinds)).alias("e")).groupBy("e.kind", "e.x").count().orderBy(F.desc("count"), "kind", "x").limit(LESSONS).collect()
     nodes, near, masked = (Counter({(int(x) if i == 1 else x): n for k, x, n in counted if k == i}) for i in range(3))
     return fit(nodes, near, masked)
 

@@ -7,7 +7,8 @@ whole batch.  A feature counts once a document.  Training goes through the sampl
 documents with a learning rate of its own for each weight and an L1 term that
 leaves most weights at 0; the others are sent to the workers.
 
-Training takes a sample of about ``BOUND`` labelled rows (a parameter).  Labels,
+Training takes a sample of about ``BOUND`` labelled rows (a parameter); features in
+fewer than ``LEAST`` of them are counted and left out before the driver sees the rows.  Labels,
 lang, source and doc_id are no features.
 
 Cases: null, empty and wordless texts score by the bias alone.  Without labels, or
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.llm.byte_bpe import lists
-from vertexloom.llm.common import crc_mod, extend, flat, per_text, steps, struct, table, text_of
+from vertexloom.llm.common import Shared, crc_mod, extend, flat, per_text, steps, struct, table, text_of
 from vertexloom.llm.labelled import sample
 
 #: Labelled rows that training looks at, about; buckets of the hash (2^BITS).
@@ -148,8 +149,20 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
 
     rows = sample(docs.select("doc_id", text_col), labels, label, bound, F.lit(True) if where is None else where)
     rows = extend(rows, run, "struct<buckets:array<int>>", text_of(rows, text_col), ["doc_id", "__label"])
-    order = F.xxhash64(F.lit(11), "doc_id")
-    got = rows.groupBy("doc_id").agg(F.min(F.struct("__label", "buckets")).alias("r")).select("doc_id", "r.*").orderBy(order, "doc_id").toArrow()
+    rows = Shared(docs.sparkSession).save(rows.groupBy("doc_id").agg(F.min(F.struct("__label", "buckets")).alias("r")).select("doc_id", "r.*"))
+    seen = rows.select(F.explode("buckets").alias("b")).groupBy("b").count().where(F.col("count") >= LEAST).select("b").toArrow()  # at most 2^bits
+    often = np.zeros(1 << bits, bool)
+    often[seen.column("b").to_numpy()] = True
+
+    def known(buckets: pa.Array) -> pa.Array:
+        """Without features that are too rare, which are most of a long text's."""
+        every = buckets.flatten()
+        hit = often[every.to_numpy(zero_copy_only=False)]
+        ends = np.append(0, np.cumsum(buckets.value_lengths().to_numpy(zero_copy_only=False)))
+        return struct(buckets=pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(hit))[ends], pa.int32()), every.filter(pa.array(hit))))
+
+    kept = extend(rows, known, "struct<buckets:array<int>>", F.col("buckets"), ["doc_id", "__label"])
+    got = kept.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").toArrow()
     rows = [x.values.to_numpy() for c in got.column("buckets").chunks for x in c]
     return ftrl(rows, got.column("__label").to_numpy().astype(int), bits)
 
