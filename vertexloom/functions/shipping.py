@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 
 #: Bytes of an Arrow batch, unless the session says otherwise: bounds what a worker holds, however long texts are.
-BATCH = 16 << 20
+BATCH = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
