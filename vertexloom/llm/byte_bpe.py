@@ -34,9 +34,9 @@ from vertexloom.llm.common import extend, flat, steps, struct, table, text_of, t
 from vertexloom.llm.token_count import TREES, WIDEST, Forest, Pairs, merged
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE = 400_000
+CACHE = 300_000
 #: Texts are worked on in steps of about so many bytes, and ids of so many.
-STEP, IDS = 1 << 20, 1 << 18
+STEP, IDS = 1 << 19, 1 << 17
 
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, JOIN, ALONE = range(8)
 IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_JOIN, IN_BLANK, FRESH, ONE_MORE, TWO_MORE = range(8)
@@ -155,7 +155,7 @@ class ByteBpe:
         self.place = np.cumsum(self.size, dtype=np.int32) - self.size
 
         number = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.symbol, self.pair = number, Pairs([(self.ranks[t[:k]], self.ranks[t[k:]], r, r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks], len(tokens))
+        self.symbol, self.pair = number, Pairs(((self.ranks[t[:k]], self.ranks[t[k:]], r, r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks), len(tokens))
 
     def fresh(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of slices that aren't remembered: a vocabulary entry as it is, others merged pair by pair, thousands at once."""
@@ -208,7 +208,7 @@ class ByteBpe:
         size, ends = many[kind], np.cumsum(many[kind])
         ids = ids[np.repeat((np.cumsum(many) - many)[kind] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         cut = np.searchsorted(begins, offsets)
-        return ids, np.append(0, ends)[cut], begins - np.repeat(offsets[:-1], np.diff(cut)), cut
+        return ids, np.append(0, ends)[cut], (begins - np.repeat(offsets[:-1], np.diff(cut))).astype(np.int32), cut
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for, one token after the other."""
@@ -239,7 +239,7 @@ def encoder(path: str) -> ByteBpe:
 
 def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
     """One array of lists from values and bounds of several."""
-    values = np.concatenate([np.zeros(0, np.int32), *[v for v, _ in parts]]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int32), *[v for v, _ in parts]])
     sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(b) for _, b in parts]])
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
 
@@ -273,7 +273,7 @@ def decode(df: DataFrame, ids_col: str = "ids", starts_col: str | None = None, r
         every = ids.flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
         out, bounds, done = [], np.zeros(len(ids) + 1, np.int32), 0
-        head = np.zeros(int(e.size[every].sum()) + 1, bool)  # where tokens begin
+        head = np.zeros(sum(int(e.size[every[at : at + IDS]].sum()) for at in range(0, len(every), IDS)) + 1, bool)  # where tokens begin
         for at in range(0, len(every), IDS):
             part = every[at : at + IDS]
             out.append(e.decode(part).tobytes())

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
@@ -173,10 +174,11 @@ class Forest:
 class Pairs:
     """Which neighbouring symbols merge: (left, right, rank, whole) by number of symbol."""
 
-    def __init__(self, pairs: list[tuple[int, int, int, int]], many: int):
-        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 4)
-        self.many, self.keys = many, pairs[:, 0] * many + pairs[:, 1]
-        self.rank, self.whole = pairs[:, 2].astype(np.int32), pairs[:, 3].astype(np.int32)
+    def __init__(self, pairs: Iterable[tuple[int, int, int, int]], many: int):
+        pairs = np.fromiter(chain.from_iterable(pairs), np.int32).reshape(-1, 4)
+        keys = pairs[:, 0].astype(np.int64) * many + pairs[:, 1]
+        order = np.argsort(keys)
+        self.many, self.keys, self.rank, self.whole = many, keys[order], pairs[order, 2], pairs[order, 3]
 
     def __call__(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rank of two neighbouring symbols, NONE if they don't merge, and what they merge to."""
@@ -216,7 +218,7 @@ class PieceCounter:
         self.of = np.full(sys.maxunicode + 1, -1, np.int32)  # number of a character's piece
         self.of[[ord(c) for c in self.single]] = [number[c] for c in self.single]
         self.many = len(number)
-        self.pair = Pairs([(number[p[:k]], number[p[k:]], r, number[p]) for p, r in self.ranks.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number], self.many)
+        self.pair = Pairs(((number[p[:k]], number[p[k:]], r, number[p]) for p, r in self.ranks.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number), self.many)
         self.joined = np.array(sorted({number[a] * self.many + number[b] for p in self.ranks for a, b in pairwise(p)}), np.int64)
 
     def fresh(self, chunks: list[str]) -> np.ndarray:
