@@ -14,7 +14,7 @@ CLASHES = "score predicted held_out n_tokens n_bytes fp fingerprint n_near compo
 def folders(spark, tmp_path_factory):
     body = " ".join(f"word{i}" for i in range(90))
     rows = [(None, None, None, None, None), (1, None, "en", "a", 3), (2, "", "fr", None, 0), *[(3, body, None, "a", 9)] * 3, (4, body + " x@y.zz 1.2.3.4", "de", "b", None)]
-    rows += [(5, "lorem ipsum " * 60_000, "en", "c", 1), (6, "1" * 100_000, "en", "c", 1), (7, "a@" * 30_000, "es", "c", 1), (8, "\x00\x0b\x1c 漢字 \U0001f600 ÿ", "xx", "d", 2), (None, "no id at all", "en", "a", 1)]
+    rows += [(5, "lorem ipsum " * 190_000, "en", "c", 1), (6, "1" * 100_000, "en", "c", 1), (7, "a@" * 30_000, "es", "c", 1), (8, "\x00\x0b\x1c 漢字 \U0001f600 ÿ", "xx", "d", 2), (None, "no id at all", "en", "a", 1)]
     rows += [(100 + i, f"{body} {i % 3}", "en", "hot", 5) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.withColumns({c: F.lit("clash") for c in CLASHES.split()})

@@ -130,3 +130,12 @@ def test_queries(spark, tiny, reference):
     for r in byte_bpe.op4_byte_bpe(spark, tiny).collect():
         ids = reference.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(texts[r.doc_id].encode()))
+
+
+def test_token_count_query(spark, tiny, pieces):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    got = token_count.op3_token_counts(spark, tiny).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = len(pieces.encode(texts[r.doc_id] or ""))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((texts[r.doc_id] or "").encode()), want, want > 4096)

@@ -10,7 +10,7 @@ Training takes a sample of about ``BOUND`` labelled rows (a parameter).  Labels,
 lang, source and doc_id are no features.
 
 Cases: null and empty texts have all-zero statistics and get a score like any
-other.  Without labels, or with one class only, the score is the smoothed share of
+other; texts are read whole, however long.  Without labels, or with one class only, the score is the smoothed share of
 label 1.  Repeated rows are scored each; an empty table gives an empty table.  In the query a
 null doc_id is in neither fold (``held_out`` is null).
 Input columns named as a result column are replaced.

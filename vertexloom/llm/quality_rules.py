@@ -6,6 +6,7 @@ of bits that reject, so verdicts under any version, and what each rule alone
 costs, come from the ledger by bitwise operations, without reading texts again.
 
 Cases: null or wordless text has all measurements 0 and fails ``too_few_words``.
+Texts are read whole, however long.
 Repeated rows are judged each; an empty table gives an empty ledger.  Input
 columns named as a measurement, ``failures`` or ``kept`` are replaced.
 """
