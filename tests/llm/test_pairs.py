@@ -121,7 +121,7 @@ def test_visits_meet_each_pair_once(spark):
     df = spark.createDataFrame([(int(x), 1) for x in fps.view(np.int64)], "fp long, n long")
     shared = simhash.Shared(spark)
     for cell, hot in ((64, 40), (1 << 20, 1 << 20)):
-        rows = simhash.in_cells(df, shared, cell, hot).collect()
+        rows = simhash.in_cells(df, len(fps), shared, cell, hot).collect()
         owner, met = {r.fp: r.cell for r in rows if r.apart == 0}, {}
         assert len(owner) == len(fps) == sum(r.apart == 0 for r in rows)
         for r in rows:

@@ -308,13 +308,22 @@ def components(edges: DataFrame, shared: Shared, hub: int = HUB) -> DataFrame:
         if now == state or not now[0]:
             return edges
         state = now
-        both = edges.union(edges.select("b", "a"))
-        low = shared.save(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).select("a", F.least("a", "m").alias("m"), "d"))
-        large = shared.save(hub_join(both.where("b > a"), low, "a", "d", hub).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = shared.save(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")))
-        small = hub_join(large, least, "a", "d", hub).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct()
-        before, edges = edges, shared.save(small)
-        for x in (before, low, large, least):
+        both, held = edges.union(edges.select("b", "a")), [edges]
+
+        def save(df: DataFrame) -> DataFrame:
+            """Written where a key may be a hub, which is then looked up."""
+            if 2 * now[0] > hub:
+                held.append(df := shared.save(df))
+            return df
+
+        def joined_by_a(rows: DataFrame, known: DataFrame) -> DataFrame:
+            return hub_join(rows, known, "a", "d", hub) if 2 * now[0] > hub else rows.join(known, "a")
+
+        low = save(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).select("a", F.least("a", "m").alias("m"), "d"))
+        large = save(joined_by_a(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = save(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")))
+        edges = shared.save(joined_by_a(large, least).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct())
+        for x in held:
             shared.drop(x)
 
 
@@ -327,9 +336,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return hub_join(docs, found, "fp", "n", hub).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
-def in_cells(classes: DataFrame, shared: Shared, cell: int = CELL, hot: int = HOT) -> DataFrame:
-    """The saved ``classes`` (fp, n) in every cell that they own or visit."""
-    many, depth, done = classes.count(), 0, None
+def in_cells(classes: DataFrame, many: int, shared: Shared, cell: int = CELL, hot: int = HOT) -> DataFrame:
+    """The ``many`` saved ``classes`` (fp, n) in every cell that they own or visit."""
+    depth, done = 0, None
     more = max(0, many - 1).bit_length() - (cell - 1).bit_length()
     rows, own = classes.select("fp", "n", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("apart")), classes.select("fp")
     while True:
@@ -350,14 +359,16 @@ def linked(docs: DataFrame, shared: Shared, cell: int = CELL, hot: int = HOT, hu
     """One row per ``fp`` of the saved ``docs`` (id, fp): ``fp``, ``n`` (rows), ``n_near`` and ``component_id``."""
     classes = shared.save(docs.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")))
     order = [F.col("cell"), F.col("apart") > 0, gray_rank(F.col("fp"))]
-    rows = in_cells(classes.select("fp", "n"), shared, cell, hot).repartition("cell").sortWithinPartitions(*order)
+    many = classes.count()
+    rows = in_cells(classes.select("fp", "n"), many, shared, cell, hot).repartition("cell").sortWithinPartitions(*order)
     found = shared.save(rows.select("cell", "apart", "fp", "n").mapInArrow(_cells, "fp bigint, links bigint, root bigint"))
     star = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")), shared, hub)
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     about = classes.join(links, "fp", "left").join(star.withColumnRenamed("a", "fp"), "fp", "left")
-    about = shared.save(about.select("fp", "n", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_near"), F.coalesce("b", "fp").alias("root")))
-    smallest = shared.save(about.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("d")))
-    return hub_join(about, smallest, "root", "d", hub).select("fp", "n", "n_near", "component_id")
+    save = shared.save if many > hub else lambda df: df
+    about = save(about.select("fp", "n", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_near"), F.coalesce("b", "fp").alias("root")))
+    smallest = save(about.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("d")))
+    return (hub_join(about, smallest, "root", "d", hub) if many > hub else about.join(smallest, "root")).select("fp", "n", "n_near", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
