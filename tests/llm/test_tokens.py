@@ -56,6 +56,37 @@ def test_forest_counts_as_the_heap_does():
     assert counter.fresh(chunks).tolist() == [len(token_count.merged(c, counter.ranks)) for c in chunks]
 
 
+def test_a_word_is_merged_once_whatever_follows_it(pieces, monkeypatch):
+    counter, rng, merged = token_count.PieceCounter(public_path(token_count.MODEL)), random.Random(3), []
+    fresh = counter.fresh
+    monkeypatch.setattr(counter, "fresh", lambda parts: merged.extend(parts) or fresh(parts))
+    words = ["".join(rng.choice("etaoinshr") for _ in range(8)) for _ in range(300)]
+    texts = ["", *["".join(f" {w}{end}{w}" for w in words) for end in ("\n", ",\n", "\t", "漢", "\x00", "  ")], "▁", "🙂 " * 3]
+    assert counter.count(pa.array(texts)).tolist() == [len(x) for x in pieces.encode(texts, num_threads=1)]
+    assert len(set(merged)) == len(merged) < 4 * len(words)  # words with one space, two or none, and marks; not words by mark
+    assert (counter.count(pa.array(texts)) > 0).sum() == len(texts) - 1 and len(set(merged)) == len(merged)  # none again
+
+
+def test_parts_do_not_depend_on_blocks(monkeypatch):
+    counter, text = token_count.PieceCounter(public_path(token_count.MODEL)), " " + " ".join(fuzz(200))
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    inner = {p[k : k + 2] for p in counter.ranks for k in range(len(p) - 1)}
+    want = [i for i in range(len(text)) if not i or text[i - 1 : i + 1] not in inner]
+    for block in (1, 2, 7, 1 << 17):
+        monkeypatch.setattr(token_count, "BLOCK", block)
+        assert counter.parts(codes, np.array([0])).tolist() == want
+
+
+def test_slots_find_what_they_hold():
+    rng = np.random.default_rng(4)
+    for many, high in ((0, 9), (1, 9), (5, 9), (3000, 6000), (3000, 1 << 50)):
+        keys = rng.permutation(np.unique(rng.integers(0, high, many)))
+        slots = token_count.Slots(keys)
+        place = {k: i for i, k in enumerate(keys[slots.order].tolist())}
+        wanted = np.concatenate([keys, rng.integers(0, high, 5000)])
+        assert slots(wanted).tolist() == [place.get(k, len(keys)) for k in wanted.tolist()]
+
+
 def test_encode_and_round_trip(reference):
     e = byte_bpe.ByteBpe(public_path(byte_bpe.RANKS), cache=500)
     texts = fuzz()

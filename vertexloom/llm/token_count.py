@@ -1,16 +1,17 @@
 """Operator 3, token counts: heap-and-linked-list byte-pair merging.
 
-A text is cut into chunks that no vocabulary piece can cross.  Within a chunk
+A text is cut into parts that no vocabulary piece can cross: before each run of spaces, and wherever
+no piece has the two characters side by side.  Within a part
 the adjacent pair of lowest rank is popped from a heap again and again and its
 two symbols are joined in a doubly linked list.  The count is the number of
 initial symbols less the merges, which are counted as they are made; token ids
-are never put out.  A step's distinct chunks are looked up in a bounded cache, since words
-repeat; those not in it go through ``Forest``, which holds a heap (as a tree of
-winners) and a linked list for each of thousands of chunks in arrays and makes a merge in all of
+are never put out.  A step's distinct parts are looked up in a bounded cache, since words
+repeat, whatever mark or line end follows them; those not in it go through ``Forest``, which holds a heap (as a tree of
+winners) and a linked list for each of thousands of parts in arrays and makes a merge in all of
 them at once.  Parts of more than ``WIDEST`` symbols are merged one by one.
 
 Null text counts as empty (0 bytes, 0 tokens).  A text of any length is handled
-whole; merging takes n log n steps in the longest chunk.  Rows that repeat are
+whole; merging takes n log n steps in the longest part.  Rows that repeat are
 counted each.  Columns of the input stay, except that ``n_bytes``, ``n_tokens``
 and ``over_limit`` are replaced if the input has them.  An empty table gives an
 empty table.
@@ -18,12 +19,11 @@ empty table.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain, pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +31,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import extend, per_text, steps, struct, table, text_of, tokenizer_file
+from vertexloom.llm.common import extend, flat, steps, struct, table, text_of, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
-#: Distinct chunks that a worker remembers before it starts afresh.
+#: Distinct parts that a worker remembers before it starts afresh.
 CACHE = 600_000
 #: Symbols that a chunk of a forest has at most, and chunks in a forest.
 WIDEST, TREES = 64, 1 << 14
-#: Text bytes whose distinct chunks are looked up at a time.
+#: Text bytes whose distinct parts are looked up at a time.
 STEP = 4 << 20
+#: Characters that are cut into parts at a time.
+BLOCK = 1 << 17
 #: No pair; above every rank.
 NONE = np.int32(1 << 30)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def merges(chunk, ranks: dict) -> int:
@@ -121,7 +124,7 @@ class Forest:
         self.sizes = sizes
         ranks = np.full((n, width), NONE, np.int32)
         inside = np.arange(1, width) < sizes[:, None]
-        ranks[:, :-1][inside] = self.pair(symbols[:, :-1][inside], symbols[:, 1:][inside])[0]
+        ranks[:, :-1][inside] = self.pair.rank(symbols[:, :-1][inside], symbols[:, 1:][inside])
         heap = np.full((n, 2 * width), NONE, np.int32)
         heap[:, width:] = np.where(ranks < NONE, ranks * width + np.arange(width, dtype=np.int32), NONE)
         at = width
@@ -149,20 +152,20 @@ class Forest:
             self.merges[live] += 1
             base, i = live * width, best % width
             j = self.after[base + i].astype(np.int64)
-            whole = self.pair(self.symbols[base + i], self.symbols[base + j])[1]
+            whole = self.pair.whole(self.symbols[base + i], self.symbols[base + j])
             self.symbols[base + i], self.gone[base + j] = whole, True
             k = self.after[base + j].astype(np.int64)
             self.after[base + i] = k
             some = k < self.sizes[live]
             self.before[(base + k)[some]] = i[some]
             right = np.full(len(live), NONE, np.int32)
-            right[some] = self.pair(whole[some], self.symbols[(base + k)[some]])[0]
+            right[some] = self.pair.rank(whole[some], self.symbols[(base + k)[some]])
             self._set(live, j, np.full(len(live), NONE, np.int32))
             self._set(live, i, right)
             h = self.before[base + i]
             some = h >= 0
             if some.any():
-                self._set(live[some], h[some], self.pair(self.symbols[(base + h)[some]], whole[some])[0])
+                self._set(live[some], h[some], self.pair.rank(self.symbols[(base + h)[some]], whole[some]))
 
 
     def left(self) -> np.ndarray:
@@ -171,29 +174,53 @@ class Forest:
         return self.symbols[inside & ~self.gone]
 
 
+class Slots:
+    """Places of different numbers from 0 on, by hash: those of one slot stand side by side."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        slot = self._slot(keys)
+        self.order = np.argsort(slot, kind="stable")
+        slot = slot[self.order]
+        self.keys = np.append(keys[self.order], -1)  # the last is none
+        self.more = np.append(slot[1:] == slot[:-1], [False] * min(len(keys) + 1, 2))  # whether the next is of the same slot
+        self.first = np.searchsorted(slot, np.arange(1 << (64 - int(self.shift)))).astype(np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _ODD >> self.shift).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """Where ``wanted`` stand in ``order``, its length for those that don't."""
+        at = self.first[self._slot(wanted)]
+        todo = np.flatnonzero(self.keys[at] != wanted)
+        while len(todo):
+            on = self.more[at[todo]]
+            at[todo[~on]] = len(self.order)
+            todo = todo[on]
+            at[todo] += 1
+            todo = todo[self.keys[at[todo]] != wanted[todo]]
+        return at
+
+
 class Pairs:
     """Which neighbouring symbols merge: (left, right, rank, whole) by number of symbol."""
 
     def __init__(self, pairs: Iterable[tuple[int, int, int, int]], many: int):
         pairs = np.fromiter(chain.from_iterable(pairs), np.int32).reshape(-1, 4)
-        keys = pairs[:, 0].astype(np.int64) * many + pairs[:, 1]
-        order = np.argsort(keys)
-        self.many, self.keys, self.rank, self.whole = many, keys[order], pairs[order, 2], pairs[order, 3]
+        self.many, self.slots = many, Slots(pairs[:, 0].astype(np.int64) * many + pairs[:, 1])
+        self._rank, self._whole = (np.append(pairs[self.slots.order, k], none).astype(np.int32) for k, none in ((2, NONE), (3, 0)))
 
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rank of two neighbouring symbols, NONE if they don't merge, and what they merge to."""
-        at, hit = found(self.keys, left.astype(np.int64) * self.many + right)
-        return np.where(hit, self.rank[at], NONE), self.whole[at]
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of two neighbouring symbols, NONE if they don't merge."""
+        return self._rank[self.slots(left.astype(np.int64) * self.many + right)]
 
-
-def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where ``wanted`` stand in sorted ``keys``, which are some, and whether they do."""
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+    def whole(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What two neighbouring symbols that merge become."""
+        return self._whole[self.slots(left.astype(np.int64) * self.many + right)]
 
 
 class PieceCounter:
-    """Token count by chunk; a chunk is a run of spaces and the other characters up to the next space."""
+    """Token counts by part of a text, see ``parts``."""
 
     def __init__(self, path: str, cache: int = CACHE):
         import sentencepiece
@@ -219,7 +246,21 @@ class PieceCounter:
         self.of[[ord(c) for c in self.single]] = [number[c] for c in self.single]
         self.many = len(number)
         self.pair = Pairs(((number[p[:k]], number[p[k:]], r, number[p]) for p, r in self.ranks.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number), self.many)
-        self.joined = np.array(sorted({number[a] * self.many + number[b] for p in self.ranks for a, b in pairwise(p)}), np.int64)
+        inner = {(ord(a), ord(b)) for p in self.ranks for a, b in pairwise(p)}
+        lefts, rights = (sorted({x[k] for x in inner}) for k in (0, 1))
+        self.left, self.right = np.zeros(sys.maxunicode + 1, np.int32), np.zeros(sys.maxunicode + 1, np.int32)
+        self.left[lefts], self.right[rights] = np.arange(1, len(lefts) + 1) * (len(rights) + 1), np.arange(1, len(rights) + 1)
+        self.joined = np.zeros((len(lefts) + 1) * (len(rights) + 1), bool)  # by what is left and what is right, 0 for all that no piece has there
+        self.joined[[self.left[a] + self.right[b] for a, b in inner]] = True
+
+    def parts(self, codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Where parts begin, at ``begin`` among others: no piece has the two characters at a cut side by side, so merging stops there."""
+        cut = np.empty(len(codes), bool)
+        for at in range(0, len(codes), BLOCK):
+            own = codes[max(at - 1, 0) : at + BLOCK]
+            cut[max(at, 1) : at + BLOCK] = ~self.joined[self.left[own[:-1]] + self.right[own[1:]]]
+        cut[begin] = True
+        return np.flatnonzero(cut)
 
     def fresh(self, chunks: list[str]) -> np.ndarray:
         """Token counts of chunks that aren't remembered."""
@@ -227,10 +268,7 @@ class PieceCounter:
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         begin = np.cumsum([0, *map(len, chunks)])
         symbol = self.of[codes]
-        cut = symbol < 0  # no piece has the two characters at a cut side by side: merging stops there
-        cut[1:] |= (symbol[:-1] < 0) | ~found(self.joined, symbol[:-1].astype(np.int64) * self.many + symbol[1:])[1]
-        cut[begin[:-1]] = True
-        part = np.flatnonzero(cut)
+        part = self.parts(codes, begin[:-1])
         sizes = np.diff(np.append(part, len(codes)))
         tokens = np.where(symbol < 0, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), 1)
         tokens = np.add.reduceat(tokens, part)
@@ -246,15 +284,17 @@ class PieceCounter:
             tokens[i] -= merges(text[part[i] : part[i] + sizes[i]], self.ranks)
         return np.add.reduceat(tokens, np.searchsorted(part, begin[:-1]))
 
-    def known(self, chunks: list[str]) -> np.ndarray:
-        """Token counts of distinct chunks, each given without its first space."""
+    def known(self, parts: list[str]) -> np.ndarray:
+        """Token counts of distinct parts."""
         new, old = self.new, self.old
-        out = np.fromiter((new.get(c, 0) or old.get(c, 0) for c in chunks), np.int64, len(chunks))
+        out = np.fromiter(map(new.get, parts, repeat(0)), np.int64, len(parts))
         miss = np.flatnonzero(out == 0)
+        out[miss] = np.fromiter(map(old.get, [parts[i] for i in miss.tolist()], repeat(0)), np.int64, len(miss))
+        miss = miss[out[miss] == 0]
         for at in range(0, len(miss), self.most):
             own = miss[at : at + self.most]
-            names = [chunks[i] for i in own.tolist()]
-            out[own] = self.fresh([" " + c for c in names])
+            names = [parts[i] for i in own.tolist()]
+            out[own] = self.fresh(names)
             if len(self.new) + len(own) > self.most:
                 self.old, self.new = self.new, {}
             self.new.update(zip(names, out[own].tolist()))
@@ -263,26 +303,24 @@ class PieceCounter:
     def count(self, texts: pa.Array) -> np.ndarray:
         """Token counts of texts."""
         out = [np.zeros(0, np.int64)]
-        for part in steps(texts, STEP):
-            part = pc.replace_substring(part.cast(pa.large_string()), "▁", " ")
-            odd = pc.or_(pc.match_substring(part, "  "), pc.or_(pc.starts_with(part, " "), pc.ends_with(part, " "))).to_numpy(zero_copy_only=False)
-            count = np.zeros(len(part), np.int64)
-            plain = np.flatnonzero(~odd & (pc.binary_length(part).to_numpy() > 0))
-            words = pc.split_pattern(part.take(pa.array(plain)), " ")
-            found = words.flatten().dictionary_encode()
-            count[plain] = per_text(self.known(found.dictionary.to_pylist())[found.indices.to_numpy()], np.append(0, np.cumsum(words.value_lengths().to_numpy())))
-            if odd.any():  # runs of spaces
-                chunks = [[c[1:] for c in _CHUNK.findall(" " + t)] for t in part.filter(pa.array(odd)).to_pylist()]
-                kinds = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(chunks)))}
-                each = self.known(list(kinds))[np.fromiter((kinds[c] for c in chain.from_iterable(chunks)), np.int64, sum(map(len, chunks)))]
-                count[odd] = per_text(each, np.cumsum([0, *map(len, chunks)]))
+        for step in steps(texts, STEP):
+            step = pc.replace_substring(step.cast(pa.large_string()), "▁", " ")
+            some = pc.binary_length(step).to_numpy() > 0
+            count = np.zeros(len(step), np.int64)
+            if some.any():
+                data, offsets = flat(pc.utf8_replace_slice(step.filter(pa.array(some)), 0, 0, " "))
+                codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+                byte = None if len(codes) == len(data) else np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin, unless each is a byte
+                begin = offsets[:-1] if byte is None else np.searchsorted(byte, offsets[:-1])
+                part = self.parts(codes, begin)
+                ends = np.append(part if byte is None else byte[part], len(data))
+                found = pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+                each = self.known(found.dictionary.to_numpy(zero_copy_only=False).tolist())[found.indices.to_numpy()]
+                count[some] = np.add.reduceat(each, np.searchsorted(part, begin))
             out.append(count)
         return np.concatenate(out)
 
 
-_CHUNK = re.compile(" +[^ ]*")
-
-
 @lru_cache(maxsize=4)
 def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
