@@ -12,6 +12,7 @@ from vertexloom import api
 from vertexloom.errors import SourceError
 from vertexloom.functions import regex
 from vertexloom.operators.predicates import literal, predicate
+from vertexloom.queries import QUERIES
 from vertexloom.schema import Schema
 from vertexloom.sources import readers, sdl
 from vertexloom.sources.introspection import introspection_source
@@ -348,6 +349,18 @@ def test_files(spark, tmp_path):
     assert sorted((r.line_number, r.trimmed_contents) for r in lines) == [(1, "one"), (2, "two")]
 
 
+def test_tables_of_parts_are_files(spark, tmp_path):
+    for name in ("a.parquet", "b.parquet/part-0.parquet", "b.parquet/part-1.parquet", "c.parquet/lang=en/part-0.parquet", "sub/d.parquet/part-0.parquet", "e.txt/part-0.parquet"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("12345")
+    s = readers.files_source(spark, str(tmp_path), whole=("parquet",))
+    assert check_source(s) == []
+    got = run(s, "{ OriginDirectory { out_Directory_Subdirectory @recurse(depth: 3) { path @output out_Directory_ContainsFile @fold { files: name @output sizes: size @output } } } }").collect()
+    assert {r.path: (r.files, r.sizes) for r in got} == {"": (["a.parquet", "b.parquet", "c.parquet"], [5, 10, 5]), "sub": (["d.parquet"], [5]), "e.txt": (["part-0.parquet"], [5])}
+    assert sorted(QUERIES["folder_files"](spark, str(tmp_path)).collect()) == [("BinaryFile", n) for n in "abc"]
+
+
 def test_paged_service(spark):
     import http.server
     import json
