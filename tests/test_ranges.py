@@ -77,3 +77,26 @@ def test_lists(graph, monkeypatch, op):
 def test_pairs_are_made_by_all_tasks(spark, tiny):
     df = QUERIES["tag_theta"](spark, tiny)
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@pytest.mark.parametrize("op", OPS)
+def test_counts(graph, op):
+    text = f'{{ A {{ id @output x @tag(name: "t") up {{ b @fold &count %s {{ y ?({op} %%t) good ?(!= $bad) }} }} }} }}'
+    want = {a[0]: len(found(op, a, (0, 1))) for a in A if a[1]}
+    assert sorted(run(graph, text % '@output(name: "n")', bad=2)) == sorted(want.items())
+    assert sorted(run(graph, text % '?(>= $n)', bad=2, n=1)) == sorted((i,) for i, n in want.items() if n)
+    assert sorted(run(graph, text % '?(= $n)', bad=2, n=0)) == sorted((i,) for i, n in want.items() if not n)
+    assert sorted(run(graph, text % '?(>= $n) @output(name: "n")', bad=2, n=2)) == sorted((i, n) for i, n in want.items() if n >= 2)
+
+
+@pytest.mark.parametrize("op", OPS)
+def test_counts_by_a_tag_that_may_be_absent(graph, op):
+    got = run(graph, f'{{ A {{ id @output peer @optional {{ x @tag(name: "t") }} up {{ b @fold &count @output(name: "n") {{ y ?({op} %t) }} }} }} }}')
+    assert sorted(got) == sorted((a[0], sum(b[1] == a[1] and (a[3] not in P or meets(op, b[2], P[a[3]])) for b in B)) for a in A if a[1])
+
+
+def test_counts_make_no_pairs(spark, tiny):
+    larger = tiny.replace("sf0.001", "sf0.01")
+    rows = api.trace(QUERIES["fold_imported_tag"](spark, larger))
+    read = sum(spark.read.parquet(f"{larger}/{t}.parquet").count() for t in ("supplier", "customer", "nation"))
+    assert max(n for _, _, n in rows if n is not None) <= read
